@@ -150,3 +150,22 @@ def severity(value: Column, limit_95: float, limit_99: float) -> Column:
 
 def status_of(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATUSES]), code + 1)
+
+
+def append_columns(df: DataFrame, compute, fields: Sequence[T.StructField]) -> DataFrame:
+    """Add columns computed from Arrow batches; `compute` maps a pandas batch to a dict.
+
+    Columns travel under neutral names, as dotted ones cannot be passed to Python.
+    """
+    names = df.columns
+    safe = [f"c{i}" for i in range(len(names))]
+    added = [f.name for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            values = compute(batch.set_axis(names, axis=1))
+            yield batch.assign(**{n: values[n] for n in added})
+
+    renamed = df.toDF(*safe)
+    result = renamed.mapInPandas(run, T.StructType([*renamed.schema.fields, *fields]))
+    return result.toDF(*names, *added)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procmon.functions.columns import col, from_micros, is_finite, micros, parse_feature
+from procmon.functions.columns import append_columns, col, from_micros, is_finite, micros, parse_feature
 from procmon.operators.runs import runs
 from procmon.operators.scoring import Model, dot, exceeds, standardised
 
@@ -23,16 +23,15 @@ def _magnitudes(df: DataFrame, model: Model) -> DataFrame:
         features = list(model.features)
         array = T.ArrayType(T.DoubleType())
 
-        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                z = (batch[features].to_numpy(dtype=float) - model.mean) / model.scale
-                t = z @ model.components.T
-                pull = (t / model.eigenvalues[:k]) @ model.components
-                rest = z - t @ model.components
-                yield batch.assign(_c_t2=list(np.abs(z * pull)), _c_spe=list(rest**2))
+        def multiply(batch: pd.DataFrame) -> dict:
+            z = (batch[features].to_numpy(dtype=float) - model.mean) / model.scale
+            t = z @ model.components.T
+            pull = (t / model.eigenvalues[:k]) @ model.components
+            rest = z - t @ model.components
+            return {"_c_t2": list(np.abs(z * pull)), "_c_spe": list(rest**2)}
 
         fields = [T.StructField("_c_t2", array), T.StructField("_c_spe", array)]
-        return df.mapInPandas(multiply, T.StructType([*df.schema.fields, *fields]))
+        return append_columns(df, multiply, fields)
     df = standardised(df, model)
     ts = [F.col(f"_t{i}") for i in range(k)]
     weights = model.components / model.eigenvalues[:k, None]

@@ -152,7 +152,7 @@ def preprocess(
 
     if semantics == "schema5":
         rows = _classify_inputs(rows, lay, config, list(ranges), exclude_engineering_range)
-        rows = _segments_of_kept(rows, lay, config)
+        rows = _segments_of_kept(rows, lay, config, exclude_engineering_range and bool(ranges))
         rows = _filter_rows(rows, lay, config, "rin", "kept", width)
         rows = _lag_rows(rows, lay, config)
     else:
@@ -317,7 +317,7 @@ def _classify_inputs(rows, lay, config, ranged, exclude) -> DataFrame:
     return rows.withColumn("kept", F.col("cls").isNull())
 
 
-def _segments_of_kept(rows, lay, config) -> DataFrame:
+def _segments_of_kept(rows, lay, config, excluding) -> DataFrame:
     """Number the kept rows inside their final segments (`rin`, from 1).
 
     A kept row starts a segment when a physical gap or an excluded out-of-range row lies
@@ -327,7 +327,9 @@ def _segments_of_kept(rows, lay, config) -> DataFrame:
     """
     over_all = shard_window(lay.keys, "us").rowsBetween(Window.unboundedPreceding, 0)
     usable = F.col("kept") | (F.col("cls") == "state_filtered")
-    counts = {"forced": F.count_if(F.col("cls") == "engineering_range").over(over_all)}
+    counts = {}
+    if excluding:
+        counts["forced"] = F.count_if(F.col("cls") == "engineering_range").over(over_all)
     if config.state_filters:
         counts["usable"] = F.count_if(usable).over(over_all)
     for name, value in counts.items():
@@ -337,8 +339,9 @@ def _segments_of_kept(rows, lay, config) -> DataFrame:
         F.lag("us").over(window).isNull()
         | (F.lag("seg").over(window) != F.col("seg"))
         | (F.col("us") - F.lag("us").over(window) > config.gap_us)
-        | (F.lag("forced").over(window) != F.col("forced"))
     )
+    if excluding:
+        starts = starts | (F.lag("forced").over(window) != F.col("forced"))
     if config.state_filters:
         starts = starts | (F.col("usable") - F.lag("usable").over(window) > 1)
     return _row_in_segment(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from procmon.functions.columns import (
     NOT_SCORED,
     all_finite,
+    append_columns,
     col,
     is_finite,
     parse_feature,
@@ -124,17 +125,16 @@ def _statistics_by_matrix(df: DataFrame, model: Model) -> DataFrame:
     fields = [T.StructField(n, T.DoubleType()) for n in [*model.pcs, "t2", "spe"]]
     names, features = [f.name for f in fields], list(model.features)
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            z = (batch[features].to_numpy(dtype=float) - model.mean) / model.scale
-            with np.errstate(all="ignore"):
-                t = z @ model.components.T
-                r = z - t @ model.components
-                t2 = (t**2 / model.eigenvalues[: model.k]).sum(axis=1)
-                values = np.column_stack([t, t2, (r**2).sum(axis=1)])
-            yield pd.concat([batch, pd.DataFrame(values, columns=names, index=batch.index)], axis=1)
-
-    return df.mapInPandas(multiply, T.StructType([*df.schema.fields, *fields]))
+    def multiply(batch: pd.DataFrame) -> dict:
+        z = (batch[features].to_numpy(dtype=float) - model.mean) / model.scale
+        with np.errstate(all="ignore"):
+            t = z @ model.components.T
+            r = z - t @ model.components
+            t2 = (t**2 / model.eigenvalues[: model.k]).sum(axis=1)
+            columns = [*t.T, t2, (r**2).sum(axis=1)]
+        return dict(zip(names, columns))
+
+    return append_columns(df, multiply, fields)
 
 
 def score(df: DataFrame, model: Model, reason: Column | None = None) -> DataFrame:
