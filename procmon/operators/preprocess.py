@@ -109,7 +109,8 @@ def preprocess(
     outside it are classed `partial_bin`. With resampling, the raw step must be known:
     `source_interval_minutes`, which `segments.modal_interval` measures.
 
-    Result: keys, `ts`, `row_class`, `bucket_rows`, `raw_segment_start`, `segment_start`,
+    Result: keys, `ts`, `row_class`, `bucket_rows`, `bucket_first`, `bucket_last` (raw
+    rows behind the row and their times), `raw_segment_start`, `segment_start`,
     tag values on the target grid, one column per feature; with `intermediates` also
     `{tag}__filtered`; with `segment_ids` also `raw_segment_id` and `final_segment_id`.
     """
@@ -148,7 +149,13 @@ def preprocess(
     if config.resamples:
         rows = _resample(rows, lay, config, list(ranges), bounds)
     else:
-        rows = rows.withColumn("n", F.lit(1).cast("long")).withColumn("partial", F.lit(False))
+        rows = rows.select(
+            "*",
+            F.lit(1).cast("long").alias("n"),
+            F.lit(False).alias("partial"),
+            F.col("us").alias("first_us"),
+            F.col("us").alias("last_us"),
+        )
 
     if semantics == "schema5":
         rows = _classify_inputs(rows, lay, config, list(ranges), exclude_engineering_range)
@@ -247,6 +254,8 @@ def _resample(rows, lay, config, ranged, bounds) -> DataFrame:
     carried = ["lo", "hi"] if bounds else []
     buckets = rows.groupBy(*[col(k) for k in lay.keys], SHARD, "label").agg(
         F.count(F.lit(1)).alias("n"),
+        F.min("us").alias("first_us"),
+        F.max("us").alias("last_us"),
         F.min("seg").alias("seg"),
         F.max("seg").alias("seg_last"),
         *[reduced(F.col(x)).alias(x) for x in lay.xs],
@@ -283,6 +292,8 @@ def _resample(rows, lay, config, ranged, bounds) -> DataFrame:
         "seg",
         (real & F.col("gap")).alias("gap"),
         F.when(real, F.col("n")).otherwise(F.lit(0)).alias("n"),
+        F.when(real, F.col("first_us")).alias("first_us"),
+        F.when(real, F.col("last_us")).alias("last_us"),
         *[F.when(real, F.col(x)).alias(x) for x in lay.xs],
         *[(real & F.col(e)).alias(e) for e in flags],
         *carried,
@@ -559,6 +570,8 @@ def _project(rows, lay, config, intermediates, segment_ids) -> DataFrame:
         from_micros(F.col("us")).alias("ts"),
         F.col("cls").alias("row_class"),
         F.col("n").alias("bucket_rows"),
+        from_micros(F.col("first_us")).alias("bucket_first"),
+        from_micros(F.col("last_us")).alias("bucket_last"),
         F.col("gap").alias("raw_segment_start"),
         F.coalesce(F.col("starts"), F.lit(False)).alias("segment_start"),
         *([F.col("raw_segment_id"), F.col("final_segment_id")] if segment_ids else []),
