@@ -16,6 +16,7 @@ from procmon.config import ExplorationConfig
 from procmon.functions.columns import col, covered_minutes, feature_name, micros
 from procmon.operators.quantiles import exact_quantiles
 from procmon.operators.runs import longest_runs, runs, tag_runs
+from procmon.session import ensure_checkpoint_dir
 
 STARTS = 10  # k-means initialisations; the cheapest wins
 MAD_SCALE = 1.4826
@@ -172,7 +173,15 @@ def cluster_candidates(
 ) -> DataFrame:
     """Long, calm stretches near their cluster's center, best first within each cluster."""
     same = ["cluster_id", *([segment] if segment else [])]
-    tagged = tag_runs(points, interval_us, keys=keys, same=same, width=width)
+    tagged = tag_runs(
+        points.select(
+            *[col(k) for k in keys], "ts", *[col(s) for s in same], "center_distance", *[col(p) for p in pcs]
+        ),
+        interval_us, keys=keys, same=same, width=width,
+    )
+    # Read four times below; written once so that the runs are not found again each time.
+    ensure_checkpoint_dir(points.sparkSession)
+    tagged = tagged.checkpoint()
     by = [*keys, "cluster_id", "run_start"]
     means = tagged.groupBy(*[col(b) for b in by]).agg(
         F.max("ts").alias("run_end"),

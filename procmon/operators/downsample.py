@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 
 from procmon.config import MINUTE
 from procmon.functions.columns import STATUSES, col, is_finite, micros
-from procmon.operators.shards import broadcast_if_small, default_width, number_rows, with_previous
+from procmon.operators.shards import (
+    annotate,
+    broadcast_if_small,
+    default_width,
+    number_rows,
+    with_previous,
+)
+from procmon.session import ensure_checkpoint_dir
 
 CHART_POINTS = 1200
 
@@ -28,16 +35,10 @@ def _with_totals(rows: DataFrame, keys: Sequence[str], **totals: Column) -> Data
     return rows.join(broadcast_if_small(found), list(keys))
 
 
-def _numbered(rows: DataFrame, keys: Sequence[str], ts: str, width: int) -> DataFrame:
-    shaped = rows.withColumn("_us", micros(col(ts)))
-    return _with_totals(number_rows(shaped, keys, "_us", width, "_pos"), keys, _n=F.count(F.lit(1)))
-
-
-def _neighbours(rows: DataFrame, keys: Sequence[str], flagged: Column) -> DataFrame:
-    """Positions of flagged rows and of the rows just before them."""
-    return rows.where(flagged).select(
-        *[col(k) for k in keys], F.explode(F.array(F.col("_pos"), F.col("_pos") - 1)).alias("_pos")
-    )
+def _keep(rows: DataFrame) -> DataFrame:
+    """Write the marked rows once; the choices below read them several times."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def _spread(rows: DataFrame, keys, width: int, room: str, rounded: bool) -> DataFrame:
@@ -46,8 +47,7 @@ def _spread(rows: DataFrame, keys, width: int, room: str, rounded: bool) -> Data
     `rounded` places them like a rounded-down linear grid that includes both ends,
     otherwise by whole-number steps from the first row.
     """
-    placed = number_rows(rows, keys, "_us", width, "_rank")
-    placed = _with_totals(placed, keys, _m=F.count(F.lit(1)))
+    placed = number_rows(rows, keys, "_us", width, "_rank", total="_m")
     room_col, m, rank = F.col(room), F.col("_m"), F.col("_rank")
     if rounded:
         step = (m - 1) / F.greatest(room_col - 1, F.lit(1))
@@ -89,17 +89,19 @@ def downsample_trend(
     required = list(values if required is None else required)
     columns = rows.columns
     key_cols = [col(k) for k in keys]
-    numbered = _numbered(rows, keys, ts, width)
-    sides = _neighbours(numbered, keys, col(gap) & (F.col("_pos") > 0)).distinct()
     missing = reduce(lambda a, b: a | b, [col(r).isNull() for r in required], F.lit(False))
-    marked = numbered.join(sides.withColumn("_side", F.lit(True)), [*keys, "_pos"], "left")
+    marked = annotate(
+        rows.withColumn("_us", micros(col(ts))), keys, "_us", width,
+        following={"_gap_next": col(gap)}, position="_pos", total="_n",
+    )
     critical = (
-        F.coalesce(F.col("_side"), F.lit(False))
+        (col(gap) & (F.col("_pos") > 0))
+        | F.coalesce(F.col("_gap_next"), F.lit(False))
         | missing
         | (F.col("_pos") == 0)
         | (F.col("_pos") == F.col("_n") - 1)
     )
-    marked = marked.withColumn("_critical", critical).drop("_side")
+    marked = _keep(marked.withColumn("_critical", critical))
     marked = _with_totals(marked, keys, _kept=F.count_if("_critical"))
 
     whole = F.col("_n") <= limit
@@ -154,22 +156,26 @@ def downsample_scores(
     columns = scores.columns
     key_cols = [col(k) for k in keys]
     statuses = ("status", "t2_status", "spe_status")
-    shaped = with_previous(
+    numbered = annotate(
         scores.withColumn("_us", micros(col(ts))), keys, "_us", width,
-        {f"_was_{s}": F.col(s) for s in statuses},
+        previous={f"_was_{s}": F.col(s) for s in statuses},
+        following={f"_then_{s}": F.col(s) for s in statuses},
+        position="_pos", total="_n",
     )
-    numbered = _numbered(shaped, keys, ts, width)
     rank = F.lit(-1)
     for code, name in enumerate(STATUSES):
         rank = F.when(F.col("status") == name, code).otherwise(rank)
-    numbered = numbered.withColumn("_sev", rank)
     switched = reduce(
-        lambda a, b: a | b, [F.col(f"_was_{s}") != F.col(s) for s in statuses]
+        lambda a, b: a | b,
+        [
+            F.coalesce(F.col(f"{side}{s}") != F.col(s), F.lit(False))
+            for s in statuses
+            for side in ("_was_", "_then_")
+        ],
     )
-    sides = _neighbours(numbered, keys, F.coalesce(switched, F.lit(False))).distinct()
+    numbered = _keep(numbered.withColumn("_sev", rank).withColumn("_side", switched))
     first_of = lambda order: F.min_by("_pos", F.struct(*order, F.col("_pos")))
     low = lambda name: -F.coalesce(F.col(name), F.lit(float("-inf")))
-    numbered = numbered.join(sides.withColumn("_side", F.lit(True)), [*keys, "_pos"], "left")
     numbered = _with_totals(
         numbered, keys,
         _top_t2=first_of([low("t2")]), _top_spe=first_of([low("spe")]),
@@ -181,7 +187,7 @@ def downsample_scores(
         | (F.col("_sev") > 0)
         | (F.col("_pos") == F.col("_top_t2"))
         | (F.col("_pos") == F.col("_top_spe"))
-        | F.coalesce(F.col("_side"), F.lit(False))
+        | F.col("_side")
     )
     numbered = _with_totals(numbered.withColumn("_critical", critical), keys, _kept=F.count_if("_critical"))
     whole = F.col("_n") <= limit
@@ -262,11 +268,17 @@ def downsample_states(
     width = width or default_width(interval_us)
     columns = points.columns
     key_cols = [col(k) for k in keys]
-    broken = mark_breaks(points, interval_us, ts=ts, keys=keys, segment=segment, name="_brk", width=width)
-    shaped = with_previous(
-        broken.withColumn("_us", micros(col(ts))), keys, "_us", width, {"_was": F.col("cluster_id")}
+    near = {"_us_": F.col("_us"), "_cluster_": F.col("cluster_id")}
+    if segment:
+        near["_segment_"] = col(segment)
+    numbered = annotate(
+        points.withColumn("_us", micros(col(ts))), keys, "_us", width,
+        previous=near, position="_pos", total="_n",
     )
-    numbered = _numbered(shaped, keys, ts, width)
+    broken = F.col("_us") - F.col("_us_") != interval_us
+    if segment:
+        broken = broken | (F.col("_segment_") != col(segment))
+    numbered = _keep(numbered.withColumn("_brk", F.coalesce(broken, F.lit(False))))
     pairs = lambda flag, level: numbered.where(flag).select(
         *key_cols,
         F.lit(level).alias("_level"),
@@ -298,7 +310,7 @@ def downsample_states(
     )
     wanted = (
         ends.unionByName(pairs(F.col("_brk"), 1))
-        .unionByName(pairs(F.coalesce(F.col("_was") != F.col("cluster_id"), F.lit(False)), 2))
+        .unionByName(pairs(F.coalesce(F.col("_cluster_") != F.col("cluster_id"), F.lit(False)), 2))
         .unionByName(extremes)
         .groupBy(*key_cols, "_pos")
         .agg(F.min(F.struct("_level", "_order")).alias("_p"))

@@ -571,9 +571,7 @@ def suggested_split(
     """
     key_cols = [col(k) for k in keys]
     times = df.where(col(ts).isNotNull()).select(*key_cols, micros(col(ts)).alias("us")).distinct()
-    placed = number_rows(times, keys, "us", width or default_width(5 * MINUTE))
-    totals = times.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"))
-    placed = placed.join(totals, list(keys)) if keys else placed.crossJoin(F.broadcast(totals))
+    placed = number_rows(times, keys, "us", width or default_width(5 * MINUTE), total="n")
     split = F.greatest(F.lit(0), F.least(F.col("n") - 2, F.floor(F.col("n") * 0.65)))
     at = lambda position: F.max(F.when(F.col("position") == position, F.col("us")))
     found = placed.groupBy(*key_cols).agg(

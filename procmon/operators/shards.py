@@ -96,42 +96,68 @@ def scan(
     return joined.drop(*[f"_{part}_{n}" for n in measures for part in "mlb"])
 
 
+def annotate(
+    df: DataFrame,
+    keys: Sequence[str],
+    us: str,
+    width: int,
+    *,
+    previous: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
+    position: str | None = None,
+    total: str | None = None,
+) -> DataFrame:
+    """Facts about a row's place in its series, all from one pass and one shard summary.
+
+    `previous` and `following` copy values from the row before and after (NULL at the
+    ends), however far away it is; `position` is the zero-based row number and `total` the
+    row count of the series.
+    """
+    key_cols = [col(k) for k in keys]
+    order = shard_window(keys, us)
+    pack = lambda values: F.struct(*[v.alias(n) for n, v in values.items()])
+    local = shard_rows(df, us, width)
+    along = Window.partitionBy(*key_cols).orderBy(SHARD)
+    facts, summary = [F.count(F.lit(1)).alias("_count")], []
+    if previous:
+        local = local.withColumn("_out", pack(previous)).withColumn("_prev", F.lag("_out").over(order))
+        facts.append(F.max_by("_out", col(us)).alias("_tail"))
+        summary.append(F.lag("_tail").over(along).alias("_far_prev"))
+    if following:
+        local = local.withColumn("_back", pack(following)).withColumn("_next", F.lead("_back").over(order))
+        facts.append(F.min_by("_back", col(us)).alias("_head"))
+        summary.append(F.lead("_head").over(along).alias("_far_next"))
+    if position:
+        local = local.withColumn("_rn", F.row_number().over(order))
+        before = F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        summary.append(F.coalesce(before, F.lit(0)).alias("_before"))
+    if total:
+        summary.append(F.sum("_count").over(Window.partitionBy(*key_cols)).alias(total))
+    ends = local.groupBy(*key_cols, col(SHARD)).agg(*facts).select(*key_cols, SHARD, *summary)
+    joined = local.join(ends, [*keys, SHARD])
+    added = []
+    if position:
+        added.append((F.col("_before") + F.col("_rn") - 1).alias(position))
+    if total:
+        added.append(F.col(total))
+    for values, near, far in ((previous, "_prev", "_far_prev"), (following, "_next", "_far_next")):
+        packed = F.coalesce(F.col(near), F.col(far)) if values else None
+        added += [packed.getField(n).alias(n) for n in values or {}]
+    return joined.select(*[col(c) for c in df.columns], *added)
+
+
 def number_rows(
-    df: DataFrame, keys: Sequence[str], us: str, width: int, name: str = "position"
+    df: DataFrame, keys: Sequence[str], us: str, width: int, name: str = "position", total: str | None = None
 ) -> DataFrame:
     """Zero-based position of every row in its series, without one task per series."""
-    sharded = shard_rows(df, us, width)
-    return (
-        scan(sharded, keys, us, {name: ("sum", F.lit(1).cast("long"))})
-        .withColumn(name, col(name) - 1)
-        .drop(SHARD, OWN)
-    )
+    return annotate(df, keys, us, width, position=name, total=total)
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], us: str, width: int, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], us: str, width: int, values: Mapping[str, Column]
 ) -> DataFrame:
-    """Add, per row, `values` taken from the row before it in the series (NULL for the first).
-
-    Inside a shard that is a plain lag; the first row of a shard reads the last row of the
-    nearest earlier shard from the shard summary, however far back it is.
-    """
-    sharded = shard_rows(df, us, width)
-    window = shard_window(keys, us)
-    packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    local = sharded.withColumn("_packed", packed).withColumn("_prev", F.lag("_packed").over(window))
-    tail = (
-        local.groupBy(*[col(k) for k in keys], col(SHARD))
-        .agg(F.max_by("_packed", col(us)).alias("_tail"))
-        .withColumn(
-            "_tail",
-            F.lag("_tail").over(Window.partitionBy(*[col(k) for k in keys]).orderBy(SHARD)),
-        )
-    )
-    joined = local.join(tail, [*keys, SHARD]).withColumn("_prev", F.coalesce("_prev", "_tail"))
-    for name in values:
-        joined = joined.withColumn(name, F.col("_prev").getField(name))
-    return joined.drop("_packed", "_prev", "_tail", SHARD, OWN)
+    """Copy values from the row before in the series (NULL for the first)."""
+    return annotate(df, keys, us, width, previous=values)
 
 
 def default_width(interval_us: int) -> int:

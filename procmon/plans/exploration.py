@@ -16,6 +16,7 @@ from procmon.operators.losses import loss_ratios, loss_summary
 from procmon.operators.performance import performance_candidates
 from procmon.operators.preprocess import feature_names, preprocess
 from procmon.operators.scoring import Model, score
+from procmon.session import ensure_checkpoint_dir
 
 # Thresholds of the warnings.
 FEW_ROWS = 3
@@ -76,14 +77,12 @@ def explore(
         *[col(k) for k in keys], "ts", "final_segment_id", *[col(f) for f in features],
         *(["_performance"] if "_performance" in valid.columns else []),
     )
-    from procmon.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(readings.sparkSession)
     valid = valid.checkpoint()
     model = dpca.fit(valid, features)
     scored = score(valid, model).where("score_valid")
     centers = clustering.fit_centers(scored, model.pcs, exploration.cluster_count, exploration.random_state)
-    points = clustering.assign(scored, model.pcs, centers)
+    points = clustering.assign(scored, model.pcs, centers).checkpoint()
     interval = config.interval_us
     segment = "final_segment_id"
     candidates = clustering.cluster_candidates(
