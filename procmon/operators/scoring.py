@@ -107,16 +107,27 @@ def standardised(df: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def fence(df: DataFrame, before: Sequence[str], **values: Column) -> DataFrame:
+    """Compute columns behind a one-element generator.
+
+    A filter on a score must not be pushed into these long sums: Catalyst would copy them
+    into the filter and into every constraint it derives from it.
+    """
+    row = F.struct(*[v.alias(n) for n, v in values.items()])
+    return df.select(*[col(c) for c in before], F.inline(F.array(row)))
+
+
 def _statistics_by_expression(df: DataFrame, model: Model) -> DataFrame:
     before = df.columns
     df = standardised(df, model)
     ts = [F.col(f"_t{i}") for i in range(model.k)]
     rs = [F.col(f"_r{j}") for j in range(len(model.features))]
-    return df.select(
-        *[col(c) for c in before],
-        *[t.alias(pc) for t, pc in zip(ts, model.pcs)],
-        dot([t * t for t in ts], 1.0 / model.eigenvalues[: model.k]).alias("t2"),
-        reduce(lambda a, b: a + b, [r * r for r in rs]).alias("spe"),
+    return fence(
+        df,
+        before,
+        **dict(zip(model.pcs, ts)),
+        t2=dot([t * t for t in ts], 1.0 / model.eigenvalues[: model.k]),
+        spe=reduce(lambda a, b: a + b, [r * r for r in rs]),
     )
 
 
