@@ -412,7 +412,7 @@ def series_models(spark, sf):
 def series_scores(spark, sf):
     rows = vectors(spark, sf)
     features = [vector_feature(j) for j in range(8)]
-    return dpca.score_series(rows, dpca.fit_series(rows, features), features).select(
+    return dpca.score_series(rows, dpca.fit_series(rows, features, n_components=3), features).select(
         "series_id", "vec_id", "t2", "spe", "status"
     )
 
@@ -421,7 +421,7 @@ def series_scores(spark, sf):
 def model_checks(spark, sf):
     """Integrity faults of the per-label models; sound models give no rows."""
     features = [vector_feature(j) for j in range(8)]
-    models = dpca.fit_series(vectors(spark, sf), features)
+    models = dpca.fit_series(vectors(spark, sf), features, n_components=3)
     return model_store.model_problems(model_store.series_model_tables(models, features))
 
 

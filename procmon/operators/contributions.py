@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from procmon.functions.columns import append_columns, col, from_micros, is_finite, micros, parse_feature
 from procmon.operators.runs import runs
-from procmon.operators.scoring import Model, dot, exceeds, standardised
+from procmon.operators.scoring import Model, dot, exceeds, fence, standardised
 
 
 def _magnitudes(df: DataFrame, model: Model) -> DataFrame:
@@ -206,8 +206,9 @@ def event_contributions(
     )
     at_peak = _magnitudes(events.join(rows, [*keys, "peak_ts"]), model)
     values = F.when(F.col("statistic") == "t2", F.col("_c_t2")).otherwise(F.col("_c_spe"))
-    return at_peak.withColumn("tags", tag_shares(values, model.features, tag_configs)).drop(
-        "_c_t2", "_c_spe", *model.features
+    found = fence(at_peak, events.columns, magnitudes=values)
+    return found.withColumn("tags", tag_shares(F.col("magnitudes"), model.features, tag_configs)).drop(
+        "magnitudes"
     )
 
 

@@ -21,6 +21,7 @@ from procmon.functions.distributions import f_quantile, normal_quantile
 from procmon.operators.quantiles import exact_quantiles
 from procmon.operators.scoring import EPS, Model, score
 from procmon.operators.shards import broadcast_if_small
+from procmon.session import ensure_checkpoint_dir
 
 LEVELS = (0.95, 0.99)
 NEAR_CONSTANT = 1e-6
@@ -288,7 +289,9 @@ def fit_series(
             yield pd.DataFrame(out, columns=columns)
 
     fields = T.StructType([rows.schema[k] for k in keys] + T._parse_datatype_string(MODEL_FIELDS).fields)
-    models = joined.mapInPandas(decompose, fields)
+    # One small row per series, read again below and by every caller; written once.
+    ensure_checkpoint_dir(dynamic.sparkSession)
+    models = joined.mapInPandas(decompose, fields).checkpoint()
     return _fill_q_limits(models, rows, names, keys)
 
 
