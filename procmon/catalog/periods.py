@@ -371,7 +371,7 @@ def _stability(spark, sf):
         n="SELECT statistic, count(DISTINCT id) AS m FROM es GROUP BY 1",
         top="SELECT statistic, max(c) AS c FROM (SELECT statistic, tag, count(*) AS c FROM rk WHERE place = 1 GROUP BY 1, 2) GROUP BY 1",
     )
-    + f"""SELECT statistic, m AS event_count, 3 AS top_k, {r('c / CAST(m AS DOUBLE)')} AS top1_consistency_rate, 1.0 AS average_top_k_jaccard_similarity,
+    + f"""SELECT statistic, m AS event_count, 3 AS top_k, {r('c / CAST(m AS DOUBLE)')} AS top1_consistency_rate, 1e0 AS average_top_k_jaccard_similarity,
       {r('(q - m) / (CAST(m AS DOUBLE) * (m - 1))')} AS average_contribution_cosine_similarity FROM n JOIN cs USING (statistic) JOIN top USING (statistic)""",
 )
 def contribution_stability(spark, sf):

@@ -65,7 +65,8 @@ def loss_summary(
 def loss_ratios(summary: DataFrame) -> DataFrame:
     """Share of resampled rows that were lost, and share that can be explored.
 
-    Rows an exclusion took before the state filter count as state-filter loss here.
+    State-filter loss here is everything that did not pass the state filter, so invalid
+    inputs count in it as well as on their own.
     """
     state = F.greatest(
         F.lit(0), F.col("resampled_row_count") - F.col("state_filter_output_rows")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from procmon.functions.columns import STATUSES, col, covered_minutes, micros, minutes
 from procmon.operators.quantiles import exact_quantiles
 from procmon.operators.scoring import Model, exceeds
+from procmon.session import ensure_checkpoint_dir
 
 WINDOW_FACTS = ("window_type", "window_start", "window_end")
 
@@ -180,7 +181,9 @@ def contribution_stability(events: DataFrame, tags: Sequence[str], by: Sequence[
             lambda e: e["tag"],
         ).alias("top"),
     )
-    ranked = ranked.withColumn("top1", F.get("top", F.lit(0)))
+    # One short row per event, read by every part below; written once.
+    ensure_checkpoint_dir(events.sparkSession)
+    ranked = ranked.withColumn("top1", F.get("top", F.lit(0))).checkpoint()
 
     # Per tag: leading counts, mean and median share.
     cells = ranked.select(*by_cols, "top", "top1", F.posexplode("v").alias("at", "share")).withColumn(
