@@ -194,14 +194,14 @@ TARGET = PerformanceConfig("total", "target_range", 120000.0, 180000.0, minimum_
           avg(greatest(120000 - total, total - 180000, 0)) OVER f AS off FROM o
           WINDOW k AS (PARTITION BY series_id ORDER BY ts), f AS (PARTITION BY series_id ORDER BY ts ROWS 2 PRECEDING)""",
     )
-    + f"""SELECT series_id, {t('first')} AS start, {t('ts')} AS stop, {r('mean')} AS mean, {r('median')} AS median, {r('ratio')} AS target_ratio,
-      {r('off')} AS mean_target_deviation FROM x WHERE whole""",
+    + f"""SELECT series_id, {t('first')} AS start, {t('ts')} AS stop, {r('mean', 3)} AS mean, {r('median', 3)} AS median, {r('ratio', 3)} AS target_ratio,
+      {r('off', 3)} AS mean_target_deviation FROM x WHERE whole""",
 )
 def sliding_windows(spark, sf):
     w = performance.sliding_windows(order_days(spark, sf), "total", TARGET, DAY * MINUTE, width=200 * DAY * MINUTE)
     return w.select(
         "series_id", text_time(F.col("start")).alias("start"), text_time(F.col("end")).alias("stop"),
-        *[rounded(F.col(c)).alias(c) for c in ("mean", "median", "target_ratio", "mean_target_deviation")],
+        *[rounded(F.col(c), 3).alias(c) for c in ("mean", "median", "target_ratio", "mean_target_deviation")],
     )
 
 

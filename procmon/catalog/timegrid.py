@@ -102,8 +102,13 @@ CLASSES = with_ctes(**class_ctes())
 TS = t("make_timestamp(us)")
 
 
+def digits(name: str) -> int:
+    """Prices run to five figures, so they are compared to fewer decimals."""
+    return 3 if name.startswith("price") else 6
+
+
 def _values(df, names):
-    return [rounded(F.col(f"`{n}`")).alias(n) for n in names]
+    return [rounded(F.col(f"`{n}`"), digits(n)).alias(n) for n in names]
 
 
 # ---- segments ------------------------------------------------------------------------
@@ -148,7 +153,7 @@ def segment_gaps_tolerance(spark, sf):
 def _resample_sql(method):
     return (
         with_ctes(**grid_ctes(method))
-        + f"SELECT series_id, {TS} AS ts, n AS bucket_rows, {r('qty')} AS qty, {r('price')} AS price, {r('disc')} AS disc FROM g"
+        + f"SELECT series_id, {TS} AS ts, n AS bucket_rows, {r('qty')} AS qty, {r('price', 3)} AS price, {r('disc')} AS disc FROM g"
     )
 
 
@@ -201,7 +206,7 @@ def _filtered(spark, sf, config):
 
 def _filtered_sql(ctes):
     return ctes + f"SELECT series_id, {TS} AS ts, " + ", ".join(
-        f"{r(f'{v}_f')} AS {v}__filtered" for v in TAGS
+        f"{r(f'{v}_f', digits(v))} AS {v}__filtered" for v in TAGS
     )
 
 
@@ -238,7 +243,7 @@ def first_order(spark, sf):
 
 FEATURES = [feature_name(v, lag) for lag in BASE.lags for v in TAGS]
 _FEATURE_SQL = ", ".join(
-    f"{r(f'{v}_l{i}')} AS {feature_name(v, lag)}" for i, lag in enumerate(BASE.lags) for v in TAGS
+    f"{r(f'{v}_l{i}', digits(v))} AS {feature_name(v, lag)}" for i, lag in enumerate(BASE.lags) for v in TAGS
 )
 
 
