@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import query
-from procmon.llm import exact_dedup, mixing, url_filter
-from procmon.llm.common import read
+from procmon.llm import exact_dedup, language_id, mixing, toxicity, url_filter
+from procmon.llm.common import fold, read
 
 # ---------------------------------------------------------------- sources to target weights
 
@@ -97,3 +97,33 @@ def op10_url_filter(spark, sf_dir):
     """All pages judged by the listed rules, then by the blocked words."""
     rules = [url_filter.host_rule(*r) for r in URL_RULES] + [url_filter.word_rule(w) for w in URL_WORDS]
     return url_filter.judge(read(spark, sf_dir, "pages"), rules)
+
+
+# ---------------------------------------------------------------- language and toxicity
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold("doc_id", 4).alias("part"))
+    model = language_id.train(docs.where("part <> 2"))
+    return language_id.identify(docs.withColumn("held_out", F.col("part") == 2), model, keep=("doc_id", "held_out"))
+
+
+def labelled(docs, labels):
+    """Documents with their toxic label; a document labelled twice counts with the higher label."""
+    told = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.join(told, "doc_id")
+
+
+def toxicity_model(spark, docs, sf_dir):
+    """Learned from the labelled documents outside the held-out fifth."""
+    rows = labelled(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return toxicity.train(rows.where(fold("doc_id", 5) != 0))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.score(model, F.col("text"), spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
