@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import query
-from procmon.llm import exact_dedup, language_id, mixing, toxicity, url_filter
+from procmon.llm import context_tree, exact_dedup, language_id, mixing, toxicity, url_filter
 from procmon.llm.common import fold, read
 
 # ---------------------------------------------------------------- sources to target weights
@@ -127,3 +127,12 @@ def op9_toxicity(spark, sf_dir):
     model = toxicity_model(spark, docs, sf_dir)
     scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.score(model, F.col("text"), spark).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+# ---------------------------------------------------------------- language-model scores
+
+
+@query("op1_context_tree")
+def op1_context_tree(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    return context_tree.score_documents(docs, "held_out")
