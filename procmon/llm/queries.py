@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import query
-from procmon.llm import context_tree, exact_dedup, language_id, mixing, toxicity, url_filter
+from procmon.llm import context_tree, cross_polytope, exact_dedup, language_id, mixing, toxicity, url_filter
 from procmon.llm.common import fold, read
 
 # ---------------------------------------------------------------- sources to target weights
@@ -136,3 +136,11 @@ def op9_toxicity(spark, sf_dir):
 def op1_context_tree(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
     return context_tree.score_documents(docs, "held_out")
+
+
+# ---------------------------------------------------------------- near-duplicate embeddings
+
+
+@query("op3_near_embeddings")
+def op3_near_embeddings(spark, sf_dir):
+    return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
