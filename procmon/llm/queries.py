@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import query
-from procmon.llm import bag_minhash, context_tree, cross_polytope, exact_dedup, language_id, mixing, toxicity, url_filter
+from procmon.llm import bag_minhash, context_tree, cross_polytope, exact_dedup, language_id, mixing, repeats, toxicity, url_filter
 from procmon.llm.common import fold, read
 
 # ---------------------------------------------------------------- sources to target weights
@@ -152,3 +152,11 @@ def op3_near_embeddings(spark, sf_dir):
 @query("op2_near_documents")
 def op2_near_documents(spark, sf_dir):
     return bag_minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("row")
+
+
+# ---------------------------------------------------------------- repeated passages
+
+
+@query("op8_repeats")
+def op8_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
