@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import query
-from procmon.llm import bag_minhash, context_tree, cross_polytope, exact_dedup, language_id, mixing, repeats, toxicity, url_filter
+from procmon.llm import (
+    bag_minhash, context_tree, cross_polytope, exact_dedup, language_id, mixing, pieces, repeats, toxicity, url_filter,
+)
 from procmon.llm.common import fold, read
 
 # ---------------------------------------------------------------- sources to target weights
@@ -160,3 +162,18 @@ def op2_near_documents(spark, sf_dir):
 @query("op8_repeats")
 def op8_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- pieces
+
+
+def coded(docs, keep=("doc_id",)):
+    """Ids of all texts, their number, and the SHA-256 of the text that the ids decode to."""
+    proto = pieces.model_bytes()
+    back = pieces.decode(pieces.encode(docs, proto, keep=keep), proto, out="decoded")
+    return back.select(*keep, "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op5_pieces")
+def op5_pieces(spark, sf_dir):
+    return coded(read(spark, sf_dir, "documents"))
