@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Written once into the shared folder, bucketed and sorted by `key`: grouping and joining by it need no exchange."""
+    spark = df.sparkSession
+    n, name = partitions(spark), f"bucketed_{uuid.uuid4().hex[:12]}"
+    rows = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    rows.option("path", shared_folder(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -122,6 +131,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 __all__ = [
-    "batches", "components", "fold", "mix64", "offsets", "partitions", "read", "shared_folder", "stored",
+    "batches", "bucketed", "components", "fold", "mix64", "offsets", "partitions", "read", "shared_folder", "stored",
     "text_bytes", "whole_text",
 ]

@@ -6,12 +6,12 @@ probability of a node is half its own KT estimate and half the product of its ch
 logarithm of the probability under the mixture over all depths that this weighting gives after training.
 
 Everything a byte's probability depends on is its gram: the DEPTH bytes before it and itself. Documents are
-dealt into blocks of about BLOCK_BYTES by a hash. A block names its distinct grams and words with their counts
-in training documents; the counts are summed over all blocks; the tree is weighted; and each block gets back
-one number for each gram and word that it named. So no table of the corpus is broadcast or collected, and what
-travels is one row for each block and distinct gram or word.
+packed where they are read into blocks of about BLOCK_BYTES, which are written compressed. A block names its
+distinct grams and words with their counts in training documents; the counts are summed over all blocks; the
+tree is weighted; and each block gets back one number for each gram and word that it named. So no table of the
+corpus is broadcast or collected, and what travels is one row for each block and distinct gram or word.
 
-    blocks -> (block, key, count) -> sums by key -> tree below two context bytes, by those two bytes
+    documents -> packed blocks -> (block, key, count), bucketed by key -> sums by key -> tree below two context bytes, by those two bytes
            -> levels 1 and 0 (at most 256 rows) -> value of each key -> back to the blocks -> documents
 
 Every text begins after DEPTH marks and ends with a mark, the byte 255, which UTF-8 never uses.
@@ -23,20 +23,23 @@ score as often as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmon.llm.common import partitions, text_bytes, whole_text
+from procmon.llm.common import batches, bucketed, partitions, stored, text_bytes, whole_text
 
 #: Bytes of context, at most 7: a gram fits into 64 bits.
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 16 << 20
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 MARK = 255
 #: First byte of a key: a word, the end of a text, a gram, the number of tokens, the number of different tokens.
 WORD, END, GRAM, TOKENS, TYPES = b"w", b"e", b"g", b"n", b"v"
@@ -88,10 +91,36 @@ def _unpacked(keys: pa.Array) -> np.ndarray:
     return wide.view(">u8").reshape(-1).astype(np.uint64)
 
 
-def _asked(key: tuple, block: pa.Table) -> pa.Table:
-    """The keys of one block with their counts in its training documents."""
-    taught = ~np.asarray(block.column("held_out"), bool)
-    data, at = text_bytes(block.column("text"))
+def _pack(batches_in):
+    """Rows of one block each: ids, held_out flags and ends of its texts, and their bytes compressed."""
+    number = TaskContext.get().partitionId() << 32
+    for number, table in enumerate(batches(batches_in, BLOCK_BYTES), number):
+        data, at = text_bytes(table.column("text"))
+        whole = lambda c: table.column(c).combine_chunks()
+        one = pa.array([0, table.num_rows], pa.int32())
+        listed = lambda x: pa.ListArray.from_arrays(one, x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number]), listed(whole("doc_id")), listed(whole("held_out")), listed(pa.array(at[1:])), pa.array([zstandard.compress(data.tobytes(), 3)])],
+            ["block", "doc_id", "held_out", "ends", "packed"],
+        )
+
+
+def _opened(batch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, held_out) of the texts of one block."""
+    ends = np.asarray(batch.column("ends")[row].values, np.int64)
+    data = np.frombuffer(zstandard.decompress(batch.column("packed")[row].as_py(), max(1, int(ends[-1]))), np.uint8)
+    return data, np.concatenate([[0], ends]), np.asarray(batch.column("held_out")[row].values.to_numpy(zero_copy_only=False), bool)
+
+
+def _asked(batches_in):
+    """The keys of each block with their counts in its training documents."""
+    for batch in batches_in:
+        for row in range(batch.num_rows):
+            yield from _keys(batch.column("block")[row].as_py(), *_opened(batch, row)).to_batches(max_chunksize=1 << 16)
+
+
+def _keys(block: int, data: np.ndarray, at: np.ndarray, held: np.ndarray) -> pa.Table:
+    taught = ~held
     found, counts = [], []
     for gram, owner in grams_of(data, at):
         codes, distinct = pd.factorize(gram)
@@ -100,21 +129,23 @@ def _asked(key: tuple, block: pa.Table) -> pa.Table:
     codes, grams = pd.factorize(np.concatenate(found))
     grams_n = np.bincount(codes, weights=np.concatenate(counts)).astype(np.int64)
 
-    words, others, tokens = Counter(), set(), 0
-    raw = data.tobytes().lower()
+    words: Counter = Counter()
+    tokens = 0
     for i, teaches in enumerate(taught):
-        split = raw[at[i] : at[i + 1]].split()
+        split = data[at[i] : at[i + 1]].tobytes().lower().split()
         if teaches:
             words.update(split)
             tokens += len(split) + 1
         else:
-            others.update(split)
-    others.difference_update(words)
-    listed = [WORD + w for w in words] + [WORD + w for w in others] + [END, TOKENS, TYPES]
-    words_n = np.array([*words.values(), *[0] * len(others), int(taught.sum()), tokens, 0], np.int64)
+            # Named with a count of zero.
+            words.update(dict.fromkeys(split, 0))
+    listed = [WORD + w for w in words] + [END, TOKENS, TYPES]
+    words_n = np.fromiter(words.values(), np.int64, len(words))
+    words_n = np.append(words_n, [int(taught.sum()), tokens, 0])
+    del words
     keys = pa.concat_arrays([pa.array(listed, pa.binary()), _packed(grams)])
     n = np.concatenate([words_n, grams_n])
-    return pa.table({"block": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "key": keys, "n": pa.array(n)})
+    return pa.table({"block": pa.array(np.full(len(n), block, np.int64)), "key": keys, "n": pa.array(n)})
 
 
 def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
@@ -128,14 +159,15 @@ def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
     grams, cost = _unpacked(keys.filter(pa.array(is_gram))), value[is_gram]
     order = np.argsort(grams)
     grams, cost = grams[order], cost[order]
-    rest = dict(zip(keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist()))
+    rest = {k: v for k, v in zip(keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist())}
     tokens, types, ends = rest.pop(TOKENS), rest.pop(TYPES), rest.pop(END)
-    # Words without their leading kind byte.
-    known = {k[1:]: v for k, v in rest.items()}
-    logs = {k: np.log10(v + 0.5) for k, v in known.items()}
-    end_log, scale = float(np.log10(ends + 0.5)), float(np.log10(tokens + 0.5 * (types + 1)))
+    # Logarithm of each word's count and a half; a word that was never taught has the smallest possible one.
+    unknown = math.log10(0.5)
+    logs = {k[1:]: math.log10(v + 0.5) for k, v in rest.items()}
+    del rest
+    end_log, scale = math.log10(ends + 0.5), math.log10(tokens + 0.5 * (types + 1))
 
-    data, at = text_bytes(block.column("text"))
+    data, at, held = _opened(block, 0)
     n = len(at) - 1
     score = np.zeros(n)
     for gram, owner in grams_of(data, at):
@@ -143,15 +175,13 @@ def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
         each = cost[np.searchsorted(grams, distinct)][codes]
         score += np.bincount(owner, weights=each, minlength=n)
     n_tokens, n_known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    raw = data.tobytes().lower()
     for i in range(n):
-        split = raw[at[i] : at[i + 1]].split()
-        n_tokens[i] = len(split) + 1
-        n_known[i] = sum(map(bool, map(known.__getitem__, split))) + (ends > 0)
-        base[i] = sum(map(logs.__getitem__, split)) + end_log - n_tokens[i] * scale
-    columns = {c: block.column(c) for c in ("doc_id", "held_out")}
+        each = list(map(logs.__getitem__, data[at[i] : at[i + 1]].tobytes().lower().split()))
+        n_tokens[i] = len(each) + 1
+        n_known[i] = len(each) - each.count(unknown) + (ends > 0)
+        base[i] = sum(each) + end_log - n_tokens[i] * scale
     return pa.table({
-        **columns, "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, int(tokens), np.int64)),
+        "doc_id": block.column("doc_id")[0].values, "held_out": pa.array(held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, int(tokens), np.int64)),
         "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(np.diff(at)),
     })
 
@@ -259,12 +289,13 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     spark = docs.sparkSession
     parts = partitions(spark)
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), whole_text(text).alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(parts, -(-total // BLOCK_BYTES))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_asked, "block long, key binary, n long").repartition(parts, "key")
-    sums = asked.groupBy("key").agg(F.sum("n").alias("n"))
+    id_type = own.schema["doc_id"].dataType.simpleString()
+    # Documents reach a task a few at a time; it holds one block of them and that block's keys.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    blocks = stored(own.mapInArrow(_pack, f"block long, doc_id array<{id_type}>, held_out array<boolean>, ends array<long>, packed binary"), "blocks")
+    asked = bucketed(blocks.mapInArrow(_asked, "block long, key binary, n long"), "key")
     kind = lambda k: F.substring("key", 1, 1) == F.lit(k)
+    sums = asked.groupBy("key").agg(F.sum("n").alias("n"))
 
     grams = sums.where(kind(GRAM)).withColumn("part", F.pmod(F.xxhash64(F.substring("key", DEPTH, 2)), F.lit(8 * parts)))
     tree = grams.groupBy("part").applyInArrow(
@@ -276,11 +307,11 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     joined = tree.where("prefix < 0").join(F.broadcast(crown), "near")
     bits = [f"log10(c0[cast({2 << b} + (symbol >> {7 - b}) as int)] + c1[cast({2 << b} + (symbol >> {7 - b}) as int)] * q[{b}])" for b in range(8)]
     gram_values = joined.select("key", F.expr(" + ".join(bits)).alias("value"))
-    counted = kind(WORD) | kind(END)
-    types = sums.where(counted & (F.col("n") > 0)).agg(F.count("*").cast("double").alias("value")).select(F.lit(TYPES).alias("key"), "value")
-    word_values = sums.where(counted | kind(TOKENS)).select("key", F.col("n").cast("double").alias("value"))
-    values = gram_values.union(word_values).union(types)
+    counted = asked.where(kind(WORD) | kind(END)).groupBy("key").agg(F.sum("n").alias("n"))
+    types = counted.where("n > 0").agg(F.count("*").cast("double").alias("value")).select(F.lit(TYPES).alias("key"), "value")
+    # Words, the end and the number of tokens have their sums as value.
+    values = sums.join(gram_values.union(types), "key", "left").select("key", F.coalesce("value", F.col("n").cast("double")).alias("value"))
     told = asked.select("block", "key").join(values.hint("merge"), "key")
-    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored, schema.format(own.schema["doc_id"].dataType.simpleString()))
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored, schema)
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10.0)) / F.col("n_bytes")))
