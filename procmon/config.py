@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, inf, isfinite, log
+from math import ceil, inf, isfinite
 
 MINUTE = 60_000_000  # microseconds
 
@@ -150,26 +150,24 @@ class PreprocessingConfig:
         step = max(self.gap_us, raw_gap_us, self.interval_us)
         return (self.lag_rows + self.filter_rows + 1) * step + 2 * self.interval_us
 
-    def shard_us(self, raw_gap_us: int, shard_minutes: int | None = None) -> int:
-        """Width of a time shard, a multiple of the interval and no shorter than the halo."""
+    def shard_us(
+        self, raw_gap_us: int, shard_minutes: int | None = None, source_interval_minutes: float | None = None
+    ) -> int:
+        """Width of a time shard, a multiple of the interval and no shorter than the halo.
+
+        A shard holds raw rows first, so its width follows whichever interval is shorter.
+        """
         interval = self.interval_us
-        rows = SHARD_ROWS if shard_minutes is None else ceil(shard_minutes * MINUTE / interval)
-        need = self.margin_us(raw_gap_us)
         if shard_minutes is None:
-            need *= 8
+            densest = min(interval, int((source_interval_minutes or self.sample_interval_minutes) * MINUTE))
+            rows = max(1, SHARD_ROWS * densest // interval)
+        else:
+            rows = ceil(shard_minutes * MINUTE / interval)
+        need = self.margin_us(raw_gap_us)
         rows = max(rows, ceil(need / interval))
-        if self.filter_method == "first_order" and self.first_order_alpha < 1:
-            # Far enough apart that FOLD_SHARDS shards damp any state to zero in a double.
-            decay = -log(1 - self.first_order_alpha)
-            step = max(self.gap_us, interval)
-            rows = max(rows, ceil(750 / (FOLD_SHARDS * decay)) * ceil(step / interval))
         return rows * interval
 
 
-# Shards folded to carry a first-order state; see PreprocessingConfig.shard_us.
-FOLD_SHARDS = 64
-
-
 @dataclass(frozen=True)
 class ExplorationConfig:
     cluster_count: int = 4

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from math import floor, log
+from math import ceil, exp, floor, log1p
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procmon.config import FOLD_SHARDS, MINUTE, PreprocessingConfig
+from procmon.config import MINUTE, PreprocessingConfig
 from procmon.functions.columns import (
     all_finite,
     bucket_label,
@@ -26,6 +26,7 @@ from procmon.functions.columns import (
     micros,
     near_integer,
     outside,
+    present,
     require_columns,
     to_number,
     within,
@@ -129,12 +130,12 @@ def preprocess(
     ranges = {t: r for t, r in (engineering_ranges or {}).items() if t in tags}
 
     raw_gap_us = raw_threshold_us(config, source_interval_minutes)
-    width = config.shard_us(raw_gap_us, shard_minutes)
+    width = config.shard_us(raw_gap_us, shard_minutes, source_interval_minutes)
     margin = config.margin_us(raw_gap_us)
 
     numeric = readings.select(
-        *[col(k) for k in keys],
-        micros(col(ts)).alias("us"),
+        *[present(readings, k).alias(k) for k in keys],
+        micros(present(readings, ts)).alias("us"),
         *[to_number(readings, n).alias(x) for n, x in zip(names, lay.xs)],
         *([micros(col(bounds[0])).alias("lo"), micros(col(bounds[1])).alias("hi")] if bounds else []),
     )
@@ -224,7 +225,14 @@ def _raw_segments(rows, lay, config, raw_gap_us, source_interval_minutes) -> Dat
         else config.interval_us
     )
     step = F.col("us") - F.lag("us").over(window)
-    off_grid = (step < step_us) | ~near_integer(step / F.lit(float(step_us)))
+    # The first row of a shard without a neighbour in the halo is measured against the shards before.
+    ends = rows.where(F.col(OWN)).groupBy(*[col(k) for k in lay.keys], SHARD).agg(F.max("us").alias("end"))
+    along = Window.partitionBy(*[col(k) for k in lay.keys]).orderBy(SHARD)
+    ends = ends.select(*[col(k) for k in lay.keys], SHARD, F.lag("end").over(along).alias("before"))
+    rows = rows.join(ends, [*lay.keys, SHARD], "left")
+    since = F.when(F.col("step").isNull() & F.col(OWN), F.col("us") - F.col("before"))
+    since = F.coalesce(F.col("step"), since)
+    off_grid = (since < step_us) | ~near_integer(since / F.lit(float(step_us)))
     rows = rows.withColumn("step", step).withColumn(
         "gap",
         F.when(off_grid, _fail("timestamps must follow the sampling grid", "boolean")).otherwise(
@@ -234,7 +242,7 @@ def _raw_segments(rows, lay, config, raw_gap_us, source_interval_minutes) -> Dat
     return rows.withColumn(
         "seg",
         F.sum(F.col("gap").cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-    ).drop("step")
+    ).drop("step", "before")
 
 
 def _resample(rows, lay, config, ranged, bounds) -> DataFrame:
@@ -393,12 +401,14 @@ def _first_order(rows, lay, config, width) -> DataFrame:
     shard contributes one (slope, offset) pair and the pairs are folded in order.
     """
     a = float(config.first_order_alpha)
-    b = 1.0 - a
-    if b == 0.0:
+    if a == 1.0:
         return rows.select("*", *[F.col(x).alias(y) for x, y in zip(lay.xs, lay.ys)])
-    block = max(2, min(1_000_000, floor(230 / -log(b))))  # b**block is about 1e-100
+    decay = -log1p(-a)
+    # After a block a state has shrunk to about 1e-100. The slower the filter, the longer the block.
+    block = max(2, min(1 << 62, floor(230 / decay)))
     reach = config.lag_rows * max(config.gap_us, config.interval_us)
-    power = lambda exponent: F.pow(F.lit(b), exponent)
+    power = lambda exponent: F.exp(exponent * F.lit(-decay))
+    b_block = exp(-decay * block)
 
     # The stride of a shard starts `reach` before it, so lagged values are its own too.
     rows = rows.withColumn("act", F.col("kept") & (F.col("us") >= F.col(SHARD) - reach))
@@ -432,7 +442,7 @@ def _first_order(rows, lay, config, width) -> DataFrame:
     )
     rows = rows.select("*", *[ended(F.col(z)).alias(f"p{z}") for z in zs])
     rows = rows.select(
-        "*", *[ended(F.col(z) + F.col(f"p{z}") * (b**block)).alias(f"q{z}") for z in zs]
+        "*", *[ended(F.col(z) + F.col(f"p{z}") * b_block).alias(f"q{z}") for z in zs]
     )
     inner = [F.col(z) + F.col(f"q{z}") * power(F.col("jm") + 1) for z in zs]
     rows = rows.select("*", *[v.alias(f"i{z}") for v, z in zip(inner, zs)])
@@ -449,21 +459,9 @@ def _first_order(rows, lay, config, width) -> DataFrame:
             ).alias("state")
         )
     )
-    history = (
-        Window.partitionBy(*[col(k) for k in lay.keys])
-        .orderBy(SHARD)
-        .rowsBetween(-FOLD_SHARDS, -1)
-    )
-    nothing = F.array(*[F.lit(0.0)] * len(zs))
-    entry = states.select(
-        *[col(k) for k in lay.keys],
-        SHARD,
-        F.aggregate(
-            F.collect_list("state").over(history),
-            nothing,
-            lambda y, s: F.zip_with(y, s["offset"], lambda v, c: s["slope"] * v + c),
-        ).alias("entry"),
-    )
+    # Shards with a row at every permitted step, after which a state has shrunk below every double.
+    fewest = max(1, (width - reach) // max(config.gap_us, config.interval_us))
+    entry = _entry_states(states, lay.keys, len(zs), width, 1 + ceil(750 / (decay * fewest)))
     rows = rows.join(entry, [*lay.keys, SHARD], "left")
     result = [
         F.when(
@@ -480,6 +478,49 @@ def _first_order(rows, lay, config, width) -> DataFrame:
     )
 
 
+# Shards whose maps are composed before the next ones are looked at.
+FOLD_SHARDS = 64
+
+
+def _compose(maps: Column, size: int) -> Column:
+    """One (slope, offset) map for maps applied in order; the identity for none."""
+    identity = F.struct(F.lit(1.0).alias("slope"), F.array(*[F.lit(0.0)] * size).alias("offset"))
+    return F.aggregate(
+        maps,
+        identity,
+        lambda y, s: F.struct(
+            (s["slope"] * y["slope"]).alias("slope"),
+            F.zip_with(y["offset"], s["offset"], lambda v, c: s["slope"] * v + c).alias("offset"),
+        ),
+    )
+
+
+def _entry_states(states: DataFrame, keys, size: int, width: int, reach: int) -> DataFrame:
+    """(keys, shard, entry): the state at the start of each shard, from the maps of up to `reach` shards before.
+
+    Slow filters reach far: then groups of FOLD_SHARDS shards are composed first, and the
+    groups are folded like shards.
+    """
+    key_cols = [col(k) for k in keys]
+    if reach <= FOLD_SHARDS:
+        before = Window.partitionBy(*key_cols).orderBy(SHARD).rowsBetween(-reach, -1)
+        folded = _compose(F.collect_list("state").over(before), size)
+        return states.select(*key_cols, SHARD, folded["offset"].alias("entry"))
+    span = FOLD_SHARDS * width
+    grouped = states.withColumn("_super", F.col(SHARD) - F.pmod(F.col(SHARD), F.lit(span)))
+    inner = Window.partitionBy(*key_cols, "_super").orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    local = grouped.select(*key_cols, SHARD, "_super", _compose(F.collect_list("state").over(inner), size).alias("_map"))
+    whole = grouped.groupBy(*key_cols, "_super").agg(
+        _compose(F.transform(F.array_sort(F.collect_list(F.struct(SHARD, "state"))), lambda x: x["state"]), size).alias("state")
+    )
+    upper = _entry_states(whole.withColumnRenamed("_super", SHARD), keys, size, span, 1 + -(-reach // FOLD_SHARDS))
+    upper = upper.withColumnsRenamed({SHARD: "_super", "entry": "_upper"})
+    return local.join(upper, [*keys, "_super"]).select(
+        *key_cols, SHARD,
+        F.zip_with("_upper", F.col("_map.offset"), lambda v, c: F.col("_map.slope") * v + c).alias("entry"),
+    )
+
+
 def _lagged(lay, config, window) -> list[Column]:
     columns = []
     for lag in config.lags:

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from procmon import PreprocessingConfig
 from procmon.operators.preprocess import feature_names, preprocess
@@ -48,9 +49,10 @@ def test_first_order_equals_pandas(spark):
     x = rng.normal(size=2000) * 100
     minutes = np.arange(2000) * 5 + np.where(np.arange(2000) >= 1500, 60, 0)
     df = series(spark, minutes.tolist(), A=x.tolist())
-    for alpha in (0.02, 0.35, 0.97, 1.0):
+    # The slow ones reach over hundreds of shards, so shards are composed in groups and groups of groups.
+    for alpha, shard in ((1e-6, 50), (1e-4, 50), (0.003, 50), (0.02, 500), (0.35, 500), (0.97, 500), (1.0, 500)):
         cfg = PreprocessingConfig(5, 0, 0, 5, filter_method="first_order", first_order_alpha=alpha)
-        out = preprocess(df, ["A"], cfg, shard_minutes=500).orderBy("ts").toPandas()
+        out = preprocess(df, ["A"], cfg, shard_minutes=shard).orderBy("ts").toPandas()
         want = pd.concat([pd.Series(p).ewm(alpha=alpha, adjust=False).mean() for p in (x[:1500], x[1500:])])
         np.testing.assert_allclose(out["A__lag_000min"], want, rtol=1e-11, atol=1e-11)
 
@@ -70,7 +72,66 @@ def test_resampling_over_shards(spark):
     assert grid["bucket_rows"].sum() == N
 
 
-def test_one_exchange_up_to_the_features(spark):
+def test_slow_filter_forgets_nothing_over_millions_of_rows(spark):
+    ids = spark.range(0, 3_200_000, 1, 8)
+    df = ids.select(
+        F.lit("s").alias("series_id"), F.expr("timestamp_ntz'2000-01-01' + make_dt_interval(0, 0, cast(id * 5 as int))").alias("ts"),
+        F.when(F.col("id") == 0, 1.0).otherwise(0.0).alias("A"),
+    )
+    cfg = PreprocessingConfig(5, 0, 0, 5, filter_method="first_order", first_order_alpha=1e-6)
+    out = preprocess(df, ["A"], cfg)
+    at = [1, 65_535, 1_500_000, 2_500_000, 3_100_000]
+    times = [pd.Timestamp("2000-01-01") + pd.Timedelta(minutes=5 * i) for i in at]
+    got = out.where(F.col("ts").isin([F.lit(t).cast("timestamp_ntz") for t in times])).orderBy("ts").toPandas()
+    np.testing.assert_allclose(got["A__lag_000min"], (1 - 1e-6) ** np.array(at, float), rtol=1e-9)
+
+
+@pytest.mark.parametrize("shard", [None, 10, 30, 500])
+def test_steps_off_the_grid_are_refused_for_every_cut(spark, shard):
+    cfg = PreprocessingConfig(5, 0, 0, 5)
+    good = series(spark, [0, 5, 10, 75, 80, 600], A=[1.0] * 6)
+    assert preprocess(good, ["A"], cfg, shard_minutes=shard).where("row_class = 'valid'").count() == 6
+    for times in ([0, 5, 10, 73, 78], [0, 5, 601], [0, 5, 5]):
+        with pytest.raises(Exception, match="sampling grid"):
+            preprocess(series(spark, times, A=[1.0] * len(times)), ["A"], cfg, shard_minutes=shard).collect()
+
+
+def test_rows_without_key_or_time_are_refused(spark):
+    cfg = PreprocessingConfig(5, 0, 0, 5)
+    good = series(spark, [0, 5, 10], A=[1.0] * 3)
+    for column, kind in (("series_id", "string"), ("ts", "timestamp_ntz")):
+        bad = good.unionByName(good.limit(1).withColumn(column, F.lit(None).cast(kind)))
+        for options in ({}, {"segment_ids": True}):
+            with pytest.raises(Exception, match=f"{column} must not be null"):
+                preprocess(bad, ["A"], cfg, **options).collect()
+
+
+def test_no_time_zone_takes_part(spark):
+    start = pd.Timestamp("2026-03-07 23:00")
+    df = series(spark, [30 * i for i in range(12)], start=start.to_pydatetime(), A=[float(i) for i in range(12)])
+    cfg = PreprocessingConfig(30, 0, 30, 30)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        out = preprocess(df, ["A"], cfg).orderBy("ts").toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert out["ts"].tolist() == [start + pd.Timedelta(minutes=30 * i) for i in range(12)]
+    assert out["row_class"].tolist() == ["lag_warmup"] + ["valid"] * 11
+
+
+def test_shards_follow_the_denser_of_the_two_intervals():
+    cfg = PreprocessingConfig(60, 0, 0, 60, resampling_method="mean")
+    second = 1 / 60
+    width = cfg.shard_us(int(second * 60_000_000), None, second)
+    assert width / 1_000_000 <= 65_536 + 3_600
+
+
+def test_raw_rows_cross_one_exchange_up_to_the_features(spark):
     *_, df = readings(spark)
     plan = preprocess(df, ["A", "B"], config("trailing_mean"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2
+    lines = [x.lstrip(" :+-") for x in plan.splitlines()]
+    exchanges = [i for i, x in enumerate(lines) if x.startswith("Exchange")]
+    # The last time of each shard also travels: three exchanges of one row per shard.
+    assert len(exchanges) == 4
+    assert sum("generate" in lines[i + 1].lower() or "explode" in lines[i + 2].lower() or "x0" in lines[i + 1] for i in exchanges) == 1
