@@ -31,6 +31,27 @@ EXPRESSION_TERMS = 256
 EPS = float(np.finfo(float).eps)
 
 
+def model_faults(model: Model) -> list[str]:
+    """What keeps a model from scoring. Values are looked at only where the shapes fit."""
+    p, k, spectrum = len(model.features), len(model.components), len(model.eigenvalues)
+    shapes = {
+        "feature names must be unique": len(set(model.features)) == p,
+        "model arrays do not match the feature names": {model.mean.shape, model.scale.shape, model.components.shape[1:]} == {(p,)},
+        "eigenvalues do not match the components": 1 <= k <= spectrum,
+    }
+    faults = [text for text, holds in shapes.items() if not holds]
+    if faults:
+        return faults
+    used = np.concatenate([model.scale, model.eigenvalues[:k]])
+    limits = np.array([model.t2_limits, model.q_limits], float)
+    values = {
+        "model arrays must be finite": all(np.isfinite(a).all() for a in (model.mean, model.components, model.scale, model.eigenvalues)),
+        "scale and retained eigenvalues must be positive": not (used <= 0).any(),
+        "control limits are invalid": np.isfinite(limits).all() and (limits[:, 0] >= (EPS, 0.0)).all() and (np.diff(limits) >= 0).all(),
+    }
+    return [text for text, holds in values.items() if not holds]
+
+
 @dataclass(frozen=True)
 class Model:
     """A fitted model; components are k rows of p loadings, eigenvalues hold the spectrum."""
@@ -48,22 +69,9 @@ class Model:
     def __post_init__(self):
         for name in ("mean", "scale", "components", "eigenvalues", "explained"):
             object.__setattr__(self, name, np.asarray(getattr(self, name), dtype=float))
-        p, k = len(self.features), len(self.components)
-        if len(set(self.features)) != p:
-            raise ValueError("feature names must be unique")
-        if self.mean.shape != (p,) or self.scale.shape != (p,) or self.components.shape != (k, p):
-            raise ValueError("model arrays do not match the feature names")
-        if k < 1 or len(self.eigenvalues) < k:
-            raise ValueError("eigenvalues do not match the components")
-        arrays = (self.mean, self.scale, self.components, self.eigenvalues)
-        if not all(np.isfinite(a).all() for a in arrays):
-            raise ValueError("model arrays must be finite")
-        if (self.scale <= 0).any() or (self.eigenvalues[:k] <= 0).any():
-            raise ValueError("scale and retained eigenvalues must be positive")
-        for limits, least in ((self.t2_limits, EPS), (self.q_limits, 0.0)):
-            low, high = limits
-            if not (np.isfinite(limits).all() and least <= low <= high):
-                raise ValueError("control limits are invalid")
+        faults = model_faults(self)
+        if faults:
+            raise ValueError("; ".join(faults))
 
     @property
     def k(self) -> int:

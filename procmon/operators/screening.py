@@ -4,40 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from math import isfinite
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procmon.config import StateFilter
 from procmon.functions.columns import col, is_finite, require_columns, to_number, within
 from procmon.operators.runs import longest_runs, runs
 
 LONGEST = 10
 
 
-def _checked(conditions: Sequence[Mapping]) -> list[tuple[str, float | None, float | None]]:
-    if not conditions:
-        raise ValueError("at least one performance condition is needed")
-    result = []
-    for condition in conditions:
-        name = str(condition.get("column", "")).strip()
-        bounds = []
-        for side in ("minimum", "maximum"):
-            value = condition.get(side)
-            blank = value is None or (isinstance(value, str) and not value.strip())
-            number = None if blank else float(value)
-            if number is not None and not isfinite(number):
-                raise ValueError(f"bounds of {name} must be finite")
-            bounds.append(number)
-        low, high = bounds
-        if not name or (low is None and high is None):
-            raise ValueError("a performance condition needs a column and a bound")
-        if low is not None and high is not None and low > high:
-            raise ValueError(f"bounds of {name} are reversed")
-        result.append((name, low, high))
-    if len({name for name, _, _ in result}) != len(result):
-        raise ValueError("a column may appear in one performance condition only")
-    return result
+def _filters(conditions: Sequence[Mapping]) -> list[StateFilter]:
+    """Performance conditions are range filters; bounds may come as text, blank for none."""
+    number = lambda v: None if v is None or (isinstance(v, str) and not v.strip()) else float(v)
+    filters = [StateFilter(str(c.get("column", "")).strip(), number(c.get("minimum")), number(c.get("maximum"))) for c in conditions]
+    if not filters or len({f.column for f in filters}) < len(filters):
+        raise ValueError("performance conditions must name at least one column, and each once")
+    return filters
 
 
 def screen(
@@ -53,7 +37,7 @@ def screen(
 
     All conditions must hold. A missing or infinite performance value is an error.
     """
-    checked = _checked(conditions)
+    checked = [(f.column, f.minimum, f.maximum) for f in _filters(conditions)]
     require_columns(df, [*keys, ts, *[name for name, _, _ in checked]])
     key_cols = [col(k) for k in keys]
     flags = []

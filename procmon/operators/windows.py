@@ -33,29 +33,44 @@ def parse_time(value) -> datetime:
         raise ValueError(f"not a timestamp: {value}") from error
 
 
+def _is_text(value) -> bool:
+    return isinstance(value, str) and bool(value.strip())
+
+
+# What each field of a window must be, for every kind of window that has it.
+FIELD_RULES = {
+    "id": (_is_text, "unique non-empty text"),
+    "source": (_is_text, "non-empty text"),
+    "source_ref": (lambda v: v is None or _is_text(v), "text or null"),
+    "enabled": (lambda v: isinstance(v, bool), "true or false"),
+    "comment": (lambda v: isinstance(v, str), "text"),
+    "type": (lambda v: v in VALIDATION_TYPES, " or ".join(VALIDATION_TYPES)),
+}
+
+
+def window_problems(windows: Sequence, fields: Sequence[str], label: str) -> list[str]:
+    """Everything that is wrong with a list of windows, not only the first thing."""
+    whole = [w for w in windows if isinstance(w, Mapping) and set(w) == set(fields)]
+    found = [f"{label} must have exactly the fields {', '.join(fields)}"] * (len(whole) < len(windows))
+    names = [w["id"] for w in whole]
+    found += [f"{label} ids must be {FIELD_RULES['id'][1]}: {n} repeats" for n in {repr(n) for n in names if names.count(n) > 1}]
+    for w in whole:
+        found += [f"{label} {w['id']}: {f} must be {FIELD_RULES[f][1]}" for f in fields if f in FIELD_RULES and not FIELD_RULES[f][0](w[f])]
+        try:
+            if parse_time(w["start"]) > parse_time(w["end"]):
+                found.append(f"{label} {w['id']} starts after its end")
+        except ValueError as error:
+            found.append(f"{label} {w['id']}: {error}")
+    return found
+
+
 def _checked(value, fields, label, allow_empty=False) -> list[dict]:
     if not isinstance(value, list) or (not value and not allow_empty):
         raise ValueError(f"{label} must be a non-empty list")
-    result, seen = [], set()
-    for item in value:
-        if not isinstance(item, Mapping) or set(item) != set(fields):
-            raise ValueError(f"{label} must have exactly the fields {', '.join(fields)}")
-        window = dict(item)
-        name = window["id"]
-        if not isinstance(name, str) or not name.strip() or name in seen:
-            raise ValueError(f"{label} ids must be unique non-empty text")
-        seen.add(name)
-        window["start"], window["end"] = parse_time(window["start"]), parse_time(window["end"])
-        if window["start"] > window["end"]:
-            raise ValueError(f"{label} {name} starts after its end")
-        if not isinstance(window["comment"], str):
-            raise ValueError(f"{label} {name} needs a text comment")
-        if "enabled" in window and not isinstance(window["enabled"], bool):
-            raise ValueError(f"{label} {name} needs enabled to be true or false")
-        if "source" in window and not (isinstance(window["source"], str) and window["source"].strip()):
-            raise ValueError(f"{label} {name} needs a source")
-        result.append(window)
-    return result
+    problems = window_problems(value, fields, label)
+    if problems:
+        raise ValueError("; ".join(problems))
+    return [{**w, "start": parse_time(w["start"]), "end": parse_time(w["end"])} for w in value]
 
 
 def _check_disjoint(windows: Sequence[Mapping], label: str) -> None:
@@ -69,18 +84,12 @@ def _check_disjoint(windows: Sequence[Mapping], label: str) -> None:
 def training_windows(value, allow_empty: bool = False) -> list[dict]:
     """Checked training windows; enabled ones may not overlap or touch."""
     windows = _checked(value, TRAINING_FIELDS, "training windows", allow_empty)
-    for window in windows:
-        ref = window["source_ref"]
-        if ref is not None and not (isinstance(ref, str) and ref.strip()):
-            raise ValueError("training windows need a source_ref that is text or null")
     _check_disjoint([w for w in windows if w["enabled"]], "training windows")
     return windows
 
 
 def validation_windows(value) -> list[dict]:
     windows = _checked(value, VALIDATION_FIELDS, "validation windows")
-    if any(w["type"] not in VALIDATION_TYPES for w in windows):
-        raise ValueError(f"validation window types are {', '.join(VALIDATION_TYPES)}")
     _check_disjoint([w for w in windows if w["enabled"]], "validation windows")
     return windows
 
