@@ -111,16 +111,9 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(docs.withColumn("held_out", F.col("part") == 2), model, keep=("doc_id", "held_out"))
 
 
-def labelled(docs, labels):
-    """Documents with their toxic label; a document labelled twice counts with the higher label."""
-    told = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.join(told, "doc_id")
-
-
 def toxicity_model(spark, docs, sf_dir):
     """Learned from the labelled documents outside the held-out fifth."""
-    rows = labelled(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return toxicity.train(rows.where(fold("doc_id", 5) != 0))
+    return toxicity.train(docs.select("doc_id", "text").where(fold("doc_id", 5) != 0), read(spark, sf_dir, "labels"))
 
 
 @query("op9_toxicity")

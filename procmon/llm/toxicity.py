@@ -1,12 +1,12 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-For every hashed n-gram the numbers of toxic and of clean training texts that hold it are counted over
-all labelled rows; the logarithm of their smoothed ratio scales the feature. On top of it a logistic
+Texts meet their labels compressed, in one merge join whose result is written to the shared folder. For every
+hashed n-gram the numbers of toxic and of clean training texts that hold it are counted over all labelled rows; the logarithm of their smoothed ratio scales the feature. On top of it a logistic
 regression learns from a bounded sample (`PER_LABEL` texts of each label, chosen by the hash of the
 key), and its intercept is moved from the sample's share of toxic texts to the one of all labelled rows.
 The driver holds 2**BITS ratios and the sample's features, nothing of the other documents.
 
-Defined cases: a null text counts as empty; an empty text has no n-grams and gets the score of the
+Defined cases: a document labelled twice counts with the higher label. A null text counts as empty; an empty text has no n-grams and gets the score of the
 intercept. Rows without a label teach nothing; without rows of both labels every score is the share of
 toxic rows (0 without any). Repeated rows score alike. An empty table gives no rows.
 """
@@ -18,14 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procmon.llm.common import stored
 from procmon.llm.ngrams import Ftrl, bounded_sample, distinct_of, hashed, short_batches, slices
 
 BITS = 18
 SIZES = range(3, 6)
-PER_LABEL = 1500
+PER_LABEL = 800
 EPOCHS = 4
 #: Added to the counts of both labels before the ratio is taken.
 SMOOTHING = 1.0
@@ -48,13 +50,23 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(np.array(margins, float) + self.intercept, -500.0, 500.0)))
 
 
+def _packed(batches):
+    for batch in batches:
+        small = [zstandard.compress(t.encode(), 3) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(small, pa.binary())], ["key", "h", "packed"])
+
+
+def _texts(batch) -> list[str]:
+    return [zstandard.decompress(p).decode() for p in batch.column("packed").to_pylist()]
+
+
 def _counts(batches):
     """Per task: texts of label 0 and 1 with each feature; feature -1 counts the texts."""
     total, texts = np.zeros((2, 1 << BITS), np.int32), [0, 0]
     scratch = np.zeros(1 << BITS, np.int32)
     for batch in batches:
         labels = iter(batch.column("label").to_pylist())
-        for part in slices(batch.column("text").to_pylist()):
+        for part in slices(_texts(batch)):
             for grams in hashed(part, SIZES, BITS):
                 k = next(labels)
                 total[k, distinct_of(grams, scratch)] += 1
@@ -69,21 +81,23 @@ def _counts(batches):
 def _features(batches):
     scratch = np.zeros(1 << BITS, np.int32)
     for batch in batches:
-        found = [np.sort(distinct_of(g, scratch)) for part in slices(batch.column("text").to_pylist()) for g in hashed(part, SIZES, BITS)]
+        found = [np.sort(distinct_of(g, scratch)) for part in slices(_texts(batch)) for g in hashed(part, SIZES, BITS)]
         at = np.cumsum([0, *map(len, found)])
         values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), values], ["label", "h", "feature"])
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = PER_LABEL) -> ToxicityModel:
-    """Learn from the rows whose label is 0 or 1."""
-    spark = rows.sparkSession
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = PER_LABEL) -> ToxicityModel:
+    """Learn from the documents whose label is 0 or 1."""
+    spark = docs.sparkSession
     short_batches(spark)
-    usable = rows.select(
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.col(key).cast("string").alias("key")
-    ).where("label IN (0, 1)")
+    own = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string"), F.lit(5)).alias("h"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    told = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    # The same join at every size: labels are many, so they are never broadcast.
+    packed = own.mapInArrow(_packed, f"key {own.schema['key'].dataType.simpleString()}, h long, packed binary")
+    usable = stored(packed.join(told.hint("merge"), "key"), "labelled")
     counts = (
-        usable.select("text", "label").mapInArrow(_counts, "feature long, clean long, toxic long")
+        usable.select("packed", "label").mapInArrow(_counts, "feature long, clean long, toxic long")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     )
     clean, toxic = (int(counts.loc[counts.feature < 0, c].sum()) for c in ("clean", "toxic"))
@@ -97,17 +111,20 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
     ratio = np.log(p / (toxic + 2.0 * SMOOTHING)) - np.log(q / (clean + 2.0 * SMOOTHING))
     ratio[(p == SMOOTHING) & (q == SMOOTHING)] = 0.0
 
-    sample = bounded_sample(usable, "label", "key", per_label).select("label", F.xxhash64("key", F.lit(5)).alias("h"), "text")
-    examples = sample.mapInArrow(_features, "label int, h long, feature array<int>").toPandas().sort_values(["h", "label"])
-    # A text's features share its length, so that long texts do not outweigh short ones while learning.
+    sample = bounded_sample(usable, "label", "key", per_label).select("label", "h", "packed")
+    found = sample.mapInArrow(_features, "label int, h long, feature array<int>").toArrow()
+    labels, h = np.asarray(found.column("label")), np.asarray(found.column("h"))
+    lists = found.column("feature").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
     learner = Ftrl(1 << BITS, 2, rate=0.1, l1=1e-4, l2=1e-2)
-    chosen = [(np.asarray(f, np.int64), int(k)) for f, k in zip(examples.feature, examples.label)]
     for _ in range(EPOCHS):
-        for rows_of, k in chosen:
-            learner.learn(rows_of, ratio[rows_of], k)
+        for i in np.lexsort((labels, h)):
+            rows_of = flat[at[i] : at[i + 1]]
+            learner.learn(rows_of, ratio[rows_of], int(labels[i]))
     w = learner.weights()
     w = w[:, 1] - w[:, 0]
-    picked = max(1, sum(k for _, k in chosen)) / max(1, sum(1 - k for _, k in chosen))
+    picked = max(1, (labels == 1).sum()) / max(1, (labels == 0).sum())
     return ToxicityModel(w[:-1] * ratio, float(w[-1] + np.log(toxic / clean) - np.log(picked)))
 
 
