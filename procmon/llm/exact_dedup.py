@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmon.llm.common import partitions, shared_folder, stored, whole_text
 
-DIGEST = F.sha2(whole_text().cast("binary"), 256)
+
+def digest() -> Column:
+    """SHA-256 of the whole text, in hexadecimal."""
+    return F.sha2(whole_text().cast("binary"), 256)
 
 
 class DigestIndex:
@@ -52,7 +55,7 @@ class DigestIndex:
 
 def identities(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, copies): rows that repeat a document are counted, texts are left behind."""
-    return docs.select(F.col("doc_id").cast("long"), DIGEST.alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
+    return docs.select(F.col("doc_id").cast("long"), digest().alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -80,6 +83,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def distinct(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents that stay, with all their columns."""
     kept = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_digest"))
-    own = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_sha", DIGEST)
+    own = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_sha", digest())
     stays = own.join(kept, (F.col("_sha") == F.col("_digest")) & F.col("_own").eqNullSafe(F.col("_keep")), "left_semi")
     return stays.dropDuplicates(["_sha", "_own"]).drop("_sha", "_own")

@@ -56,7 +56,7 @@ def _shares(sources: DataFrame, weights: dict[str, float] | None, cycle: int) ->
         pairs = [F.when(F.col("source") == F.lit(k), F.lit(float(v))) for k, v in weights.items() if v > 0]
         weight = F.coalesce(*pairs, F.lit(0.0))
     whole = sources.withColumn("weight", weight).withColumn("sum", F.sum("weight").over(Window.partitionBy(F.lit(1))))
-    share = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("sum") * cycle)).cast("long")
+    share = F.greatest(F.lit(1), F.round(F.try_divide("weight", "sum") * cycle)).cast("long")
     return whole.select("source", "n_blocks", F.coalesce(share, F.lit(1).cast("long")).alias("share"))
 
 
