@@ -165,7 +165,21 @@ def kmeans_states(spark, sf):
     )
 
 
-@query("accepted_candidates")
+@query(
+    "accepted_candidates",
+    with_ctes(
+        **POINT_CTES,
+        md="SELECT *, quantile_cont(dist, 0.5) OVER (PARTITION BY series_id, run) AS mid FROM rn",
+        ag="""SELECT series_id, cluster_id, run, min(us) AS a, max(us) AS b, count(*) AS cnt, avg(p0) AS m0, avg(p1) AS m1,
+              1.0 / (1.0 + 1.4826 * quantile_cont(abs(dist - mid), 0.5)) AS stab FROM md GROUP BY 1, 2, 3""",
+        cd=f"SELECT *, CASE cluster_id {_OFF} END AS off FROM ag WHERE (b - a + {INTERVAL}) // {MINUTE} >= {_LONG}",
+        rk="SELECT *, row_number() OVER (PARTITION BY series_id, cluster_id ORDER BY off, stab DESC, b - a DESC, a) AS rank FROM cd",
+        ac="""SELECT *, series_id || '-' || cluster_id || '-candidate-' || printf('%03d', rank) AS cid
+              FROM rk WHERE rank <= 1 AND stab > 0.7 AND cnt <= 8""",
+    )
+    + f"""SELECT 'state-exploration-r-' || cid AS window_id, {t('make_timestamp(a)')} AS window_start, {t('make_timestamp(b)')} AS window_end,
+      'cluster' AS source, cid AS source_ref, false AS enabled, '' AS comment FROM ac""",
+)
 def accepted_candidates(spark, sf):
     """Steady candidates accepted as training windows, in the shape the training plan reads."""
     config = ExplorationConfig(minimum_candidate_duration_minutes=_LONG, candidate_count_per_cluster=1)
@@ -177,7 +191,8 @@ def accepted_candidates(spark, sf):
     existing = found.where("sample_count > 8").select(
         F.format_string("state-exploration-r-%s", F.col("candidate_id")).alias("window_id")
     )
-    return accepted_windows(found, decisions, existing, "r")
+    made = accepted_windows(found, decisions, existing, "r")
+    return made.withColumns({c: text_time(F.col(c)) for c in ("window_start", "window_end")})
 
 
 # ---- performance ---------------------------------------------------------------------
@@ -194,14 +209,14 @@ TARGET = PerformanceConfig("total", "target_range", 120000.0, 180000.0, minimum_
           avg(greatest(120000 - total, total - 180000, 0)) OVER f AS off FROM o
           WINDOW k AS (PARTITION BY series_id ORDER BY ts), f AS (PARTITION BY series_id ORDER BY ts ROWS 2 PRECEDING)""",
     )
-    + f"""SELECT series_id, {t('first')} AS start, {t('ts')} AS stop, {r('mean', 3)} AS mean, {r('median', 3)} AS median, {r('ratio', 3)} AS target_ratio,
-      {r('off', 3)} AS mean_target_deviation FROM x WHERE whole""",
+    + f"""SELECT series_id, {t('first')} AS start, {t('ts')} AS stop, {r('mean')} AS mean, {r('median')} AS median, {r('ratio')} AS target_ratio,
+      {r('off')} AS mean_target_deviation FROM x WHERE whole""",
 )
 def sliding_windows(spark, sf):
     w = performance.sliding_windows(order_days(spark, sf), "total", TARGET, DAY * MINUTE, width=200 * DAY * MINUTE)
     return w.select(
         "series_id", text_time(F.col("start")).alias("start"), text_time(F.col("end")).alias("stop"),
-        *[rounded(F.col(c), 3).alias(c) for c in ("mean", "median", "target_ratio", "mean_target_deviation")],
+        *[rounded(F.col(c)).alias(c) for c in ("mean", "median", "target_ratio", "mean_target_deviation")],
     )
 
 
@@ -347,7 +362,17 @@ def state_downsample(spark, sf):
     return thin.select("series_id", text_time(F.col("ts")).alias("ts"), "pc1", "pc2", "cluster_id")
 
 
-@query("verify_scores")
+@query(
+    "verify_scores",
+    with_ctes(**SCORE_CTES)
+    + f"""SELECT series_id, {TIME} AS ts, {r('t2')} AS t2, {r('spe')} AS spe, 'abnormal' AS overall_status FROM scored
+      WHERE us // {DAY * MINUTE} % 5 = 0 AND greatest(c2, cq) < 2""",
+)
 def verify(spark, sf):
-    """Scores whose statuses do not follow from their statistics; sound scores give no rows."""
-    return verify_scores(scored(spark, sf), MODEL, keys=["series_id"])
+    """Scores whose statuses do not follow from their statistics: every fifth day is marked wrongly here."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01"))
+    saved = scored(spark, sf).withColumn("overall_status", F.when(day % 5 == 0, "abnormal").otherwise(F.col("overall_status")))
+    wrong = verify_scores(saved, MODEL, keys=["series_id"])
+    return wrong.select(
+        "series_id", text_time(F.col("ts")).alias("ts"), rounded(F.col("t2")).alias("t2"), rounded(F.col("spe")).alias("spe"), "overall_status"
+    )

@@ -17,7 +17,6 @@ from procmon.config import MINUTE
 from procmon.functions.columns import STATUSES, col, is_finite, micros
 from procmon.operators.shards import (
     annotate,
-    broadcast_if_small,
     default_width,
     number_rows,
     with_previous,
@@ -28,11 +27,11 @@ CHART_POINTS = 1200
 
 
 def _with_totals(rows: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
-    """Attach per-series aggregates; one row per series, broadcast when counted as small."""
+    """Attach per-series aggregates; one row per series."""
     found = rows.groupBy(*[col(k) for k in keys]).agg(*[v.alias(n) for n, v in totals.items()])
     if not keys:
         return rows.crossJoin(F.broadcast(found))  # a single row
-    return rows.join(broadcast_if_small(found), list(keys))
+    return rows.join(found, list(keys))
 
 
 def _keep(rows: DataFrame) -> DataFrame:

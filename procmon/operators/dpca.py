@@ -20,7 +20,6 @@ from procmon.functions.columns import all_finite, col, require_columns
 from procmon.functions.distributions import f_quantile, normal_quantile
 from procmon.operators.quantiles import exact_quantiles
 from procmon.operators.scoring import EPS, Model, score
-from procmon.operators.shards import broadcast_if_small
 from procmon.session import ensure_checkpoint_dir
 
 LEVELS = (0.95, 0.99)
@@ -226,7 +225,7 @@ def fit_series(
         F.array(*[F.avg(n) for n in names]).alias("mean"),
         F.array(*[F.stddev_pop(n) for n in names]).alias("scale"),
     )
-    centred = rows.join(broadcast_if_small(sums.select(*key_cols, "mean"), 20_000_000 // p), list(keys))
+    centred = rows.join(sums.select(*key_cols, "mean"), list(keys))
     centred = centred.select(
         *key_cols, *[(F.col(n) - F.get("mean", F.lit(i))).alias(n) for i, n in enumerate(names)]
     )
@@ -316,8 +315,7 @@ def score_series(
 ) -> DataFrame:
     """T2, SPE and statuses of each row under the model of its own series."""
     usable = models.where(F.col("problem").isNull()).drop("problem", "n", "explained")
-    width = max(1, len(features)) * 8
-    joined = rows.join(broadcast_if_small(usable, 20_000_000 // width), list(keys))
+    joined = rows.join(usable, list(keys))
     x = F.array(*[col(f) for f in features])
     scaled = F.zip_with(
         F.zip_with(x, F.col("mean"), lambda a, b: a - b), F.col("scale"), lambda a, b: a / b

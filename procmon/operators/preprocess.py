@@ -502,11 +502,11 @@ def _entry_states(states: DataFrame, keys, size: int, width: int, reach: int) ->
     groups are folded like shards.
     """
     key_cols = [col(k) for k in keys]
-    if reach <= FOLD_SHARDS:
-        before = Window.partitionBy(*key_cols).orderBy(SHARD).rowsBetween(-reach, -1)
+    span = FOLD_SHARDS * width
+    if reach <= FOLD_SHARDS or span > 1 << 56:  # so many microseconds, 2,283 years, are all of time
+        before = Window.partitionBy(*key_cols).orderBy(SHARD).rowsBetween(-min(reach, 1 << 30), -1)
         folded = _compose(F.collect_list("state").over(before), size)
         return states.select(*key_cols, SHARD, folded["offset"].alias("entry"))
-    span = FOLD_SHARDS * width
     grouped = states.withColumn("_super", F.col(SHARD) - F.pmod(F.col(SHARD), F.lit(span)))
     inner = Window.partitionBy(*key_cols, "_super").orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
     local = grouped.select(*key_cols, SHARD, "_super", _compose(F.collect_list("state").over(inner), size).alias("_map"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procmon.functions.columns import col
+from procmon.session import ensure_checkpoint_dir
 
 # Distinct values one group may hold before its quantiles are selected by narrowing.
 GROUP_LIMIT = 2_000_000
@@ -34,6 +35,9 @@ def exact_quantiles(
         .groupBy(*key_cols, col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    # Written once: the sizes and the quantiles both read the counts, not the rows behind them.
+    ensure_checkpoint_dir(rows.sparkSession)
+    counted = counted.checkpoint()
     sizes = counted.groupBy(*key_cols).agg(
         F.count(F.lit(1)).alias("_d"),
         F.sum("_c").alias("_n"),

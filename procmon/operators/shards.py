@@ -21,9 +21,6 @@ from procmon.functions.columns import col
 SHARD = "_shard"  # start of the shard in microseconds
 OWN = "_own"  # false for halo rows
 
-# Largest table an operator broadcasts by hint. Bigger ones are left to the planner.
-BROADCAST_ROWS = 200_000
-
 
 def shard_of(us: Column, width: int) -> Column:
     return us - F.pmod(us, F.lit(width))
@@ -162,8 +159,3 @@ def with_previous(
 
 def default_width(interval_us: int) -> int:
     return SHARD_ROWS * interval_us
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise the planner picks a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from procmon.config import MINUTE, PreprocessingConfig
 from procmon.functions.columns import col, from_micros, micros
-from procmon.operators.shards import broadcast_if_small, scan, shard_rows
+from procmon.operators.shards import scan, shard_rows
 
 # The exact fields of each kind of window, and the validation types.
 TRAINING_FIELDS = ("id", "start", "end", "source", "source_ref", "enabled", "comment")
@@ -141,24 +141,27 @@ def in_windows(
 ) -> DataFrame:
     """Rows joined to every window that contains them, ends included.
 
-    The range join runs as an equi-join on time bins. The window side is broadcast only
-    when its bins were counted and are few.
+    The range join runs as an equi-join on time bins. Windows written by hand are small
+    enough for the planner to broadcast; many or computed ones are joined by shuffle.
     """
     first, last = micros(col(start)), micros(col(end))
     bins = F.sequence(first - F.pmod(first, F.lit(bin_us)), last, F.lit(bin_us))
-    binned = broadcast_if_small(windows.withColumn("_bin", F.explode(bins)))
+    binned = windows.withColumn("_bin", F.explode(bins))
     us = micros(col(ts))
     marked = rows.withColumn("_bin", us - F.pmod(us, F.lit(bin_us)))
     joined = marked.join(binned, [*on, "_bin"])
     return joined.where(col(ts).between(col(start), col(end))).drop("_bin")
 
 
-def select_window(rows: DataFrame, start, end, ts: str = "ts") -> DataFrame:
-    """Rows between two moments, ends included; the range reaches the scan."""
+def select_window(rows: DataFrame, start, end, ts: str = "ts", allow_empty: bool = False) -> DataFrame:
+    """Rows between two moments, ends included; the range reaches the scan. None at all is an error."""
     first, last = parse_time(start), parse_time(end)
     if first > last:
         raise ValueError("the window starts after its end")
-    return rows.where(col(ts).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+    inside = rows.where(col(ts).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+    if not allow_empty and inside.isEmpty():
+        raise ValueError("the window holds no rows")
+    return inside
 
 
 def flag_overlaps(

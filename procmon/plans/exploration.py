@@ -100,6 +100,9 @@ def explore(
                 *[col(k) for k in keys], "ts",
                 to_number(performance_series, performance.performance_tag).alias("_performance"),
             )
+            twice = given.groupBy(*[col(k) for k in keys], "ts").count().where("count > 1")
+            if not twice.isEmpty():
+                raise ValueError("the performance series repeats a time")
             points = points.drop("_performance").join(given, [*keys, "ts"], "left")
         best = performance_candidates(
             points, "_performance", performance, interval, keys=keys, segment=segment

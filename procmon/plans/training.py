@@ -13,6 +13,7 @@ from procmon.functions.columns import col
 from procmon.operators import dpca
 from procmon.operators.losses import loss_summary
 from procmon.operators.preprocess import feature_names, preprocess
+from procmon.operators.quality import quality_gate
 from procmon.operators.scoring import Model
 from procmon.operators.windows import in_windows, training_windows, windows_frame
 
@@ -60,8 +61,16 @@ def build_training_set(
     source_interval_minutes: float | None = None,
     preserve: Sequence[str] = (),
     shard_minutes: int | None = None,
+    tag_configs: Mapping[str, Mapping] | None = None,
+    check_quality: bool = False,
 ) -> TrainingSet:
-    """Cut the readings into the enabled windows and preprocess all of them in one job."""
+    """Cut the readings into the enabled windows and preprocess all of them in one job.
+
+    With `tag_configs` the roles of the tags are checked; `check_quality` refuses readings
+    with faults that must not be trained on, and runs a job for it.
+    """
+    if tag_configs is not None:
+        required_roles(tags, [f.column for f in config.state_filters], tag_configs)
     checked = training_windows(list(windows))
     enabled = [w for w in checked if w["enabled"]]
     if not enabled:
@@ -73,6 +82,11 @@ def build_training_set(
         col(ts).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"))
     )
     bounds = frame.where("enabled").select("window_id", "window_start", "window_end")
+    if check_quality:
+        quality_gate(
+            near, tags, ts=ts, keys=keys, expected_interval_minutes=source_interval_minutes or config.sample_interval_minutes,
+            engineering_ranges=engineering_ranges, variability=True,
+        )
     rows = preprocess(
         in_windows(near, bounds, ts=ts),
         tags,
@@ -124,7 +138,7 @@ def window_summary(training: TrainingSet) -> DataFrame:
     listed = training.windows
     if training.keys:
         series = training.rows.select(*[col(k) for k in training.keys]).distinct()
-        listed = listed.crossJoin(series)  # windows are a short hand-written list
+        listed = F.broadcast(listed).crossJoin(series)  # windows are a short hand-written list
     joined = listed.join(counted, by, "left")
     return joined.withColumn(
         "status", F.when(~F.col("enabled"), "disabled").otherwise(F.coalesce("status", F.lit("dropped")))
@@ -158,7 +172,9 @@ def duplicate_times(dynamic: DataFrame, keys: Sequence[str] = ("series_id",)) ->
 def train(
     training: TrainingSet, variance_threshold: float = 0.95, n_components: int | None = None
 ) -> Model:
-    """One model over all enabled windows."""
+    """One model over all enabled windows; a time that two of them produced is refused."""
+    if not duplicate_times(training.dynamic, training.keys).isEmpty():
+        raise ValueError("training windows produce the same time twice")
     return dpca.fit(training.dynamic, training.features, variance_threshold, n_components)
 
 

@@ -12,6 +12,7 @@ from procmon.config import MINUTE, PreprocessingConfig
 from procmon.functions.columns import col, from_micros, is_close, micros
 from procmon.operators import validation
 from procmon.operators.contributions import combined_events, event_contributions
+from procmon.operators.quality import quality_gate
 from procmon.operators.preprocess import feature_names, preprocess
 from procmon.operators.scoring import Model, exceeds, score
 from procmon.operators.windows import (
@@ -79,9 +80,15 @@ def validate(
     semantics: str = "schema5",
     source_interval_minutes: float | None = None,
     shard_minutes: int | None = None,
+    require_coverage: bool = False,
+    engineering_ranges: Mapping[str, tuple[float, float]] | None = None,
+    check_quality: bool = False,
 ) -> Validation:
     """Score all enabled windows in one job; nothing is refitted.
 
+    `check_quality` refuses readings with faults that must not be validated on,
+    `require_coverage` windows that are not scored from start to end; both run jobs.
+
     Each window takes the history its first row needs, so a row can serve several
     windows. A schema5 first-order filter needs all history.
     """
@@ -104,6 +111,11 @@ def validate(
         bounds = bounds.withColumn("context_start", context_start(F.col("window_start"), config))
         earliest = micros(F.lit(min(w["start"] for w in enabled)).cast("timestamp_ntz"))
         history = history.where(col(ts) >= from_micros(earliest - config.context_minutes * MINUTE))
+    if check_quality:
+        quality_gate(
+            history, tags, ts=ts, keys=keys, expected_interval_minutes=source_interval_minutes or config.sample_interval_minutes,
+            engineering_ranges=engineering_ranges, semantics=semantics,
+        )
     rows = preprocess(
         in_windows(history, bounds, ts=ts, start="context_start"),
         tags,
@@ -127,9 +139,12 @@ def validate(
     contributions = event_contributions(
         scores, model, config.interval_us, keys=by, tag_configs=tag_configs
     )
-    return Validation(
+    result = Validation(
         frame, rows, scores, events, contributions, model, config, tuple(tags), tuple(keys)
     )
+    if require_coverage:
+        result.check_coverage()
+    return result
 
 
 def verify_scores(
