@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from procmon.llm.common import batches, components, mix64, stored, text_bytes, whole_text
+from procmon.llm.common import batches, components, mix64, powers, stored, text_bytes, whole_text
 from procmon.llm.pairs import block_pairs, clusters, runs
 
 WORDS = 5
@@ -47,27 +47,14 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE = 0x5851F42D4C957F2D
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 _BYTE[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
-
-
 def _multiple(n: int, of: np.uint64) -> np.uint64:
     return np.uint64(n * int(of) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, times) for every different shingle of each text; sorted by text, then shingle."""
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -80,7 +67,7 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.flatnonzero(word & np.concatenate([first[1:] | ~word[1:], [True]])) + 1
     if not len(starts):
         return none
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
     words = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     owner = np.searchsorted(at, starts, "right") - 1
@@ -276,7 +263,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     members = stored(groups.join(nodes, "node").select("node", "cluster", "first_id", "first_row"), "members")
     mine = (F.col("doc_id").eqNullSafe(F.col("first_id"))) & (F.col("row") == F.col("first_row"))
-    texts = own.join(members, mine).dropDuplicates(["node"]).select("node", "text")
+    # The same join at every size: members are as many as near copies, so they are never broadcast.
+    texts = own.join(members.hint("merge"), mine).dropDuplicates(["node"]).select("node", "text")
     sets = texts.mapInArrow(_units, "node long, units binary")
     compared = block_pairs(members.select("node", "cluster"), "cluster", "node", GROUP_BLOCK).join(sets, "node")
     links = compared.groupBy("pack").applyInArrow(_verified, "a long, b long").distinct()
