@@ -130,7 +130,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        bases = _BASE, pow(_BASE, -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in bases]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 __all__ = [
-    "batches", "bucketed", "components", "fold", "mix64", "offsets", "partitions", "read", "shared_folder", "stored",
+    "batches", "bucketed", "components", "fold", "mix64", "offsets", "partitions", "powers", "read", "shared_folder", "stored",
     "text_bytes", "whole_text",
 ]

@@ -29,12 +29,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmon.llm.common import batches, bucketed, partitions, stored, text_bytes, whole_text
+from procmon.llm import blocks
+from procmon.llm.common import bucketed, partitions, stored, text_bytes, whole_text
 
 #: Bytes of context, at most 7: a gram fits into 64 bits.
 DEPTH = 4
@@ -91,32 +90,12 @@ def _unpacked(keys: pa.Array) -> np.ndarray:
     return wide.view(">u8").reshape(-1).astype(np.uint64)
 
 
-def _pack(batches_in):
-    """Rows of one block each: ids, held_out flags and ends of its texts, and their bytes compressed."""
-    number = TaskContext.get().partitionId() << 32
-    for number, table in enumerate(batches(batches_in, BLOCK_BYTES), number):
-        data, at = text_bytes(table.column("text"))
-        whole = lambda c: table.column(c).combine_chunks()
-        one = pa.array([0, table.num_rows], pa.int32())
-        listed = lambda x: pa.ListArray.from_arrays(one, x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number]), listed(whole("doc_id")), listed(whole("held_out")), listed(pa.array(at[1:])), pa.array([zstandard.compress(data.tobytes(), 3)])],
-            ["block", "doc_id", "held_out", "ends", "packed"],
-        )
-
-
-def _opened(batch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, offsets, held_out) of the texts of one block."""
-    ends = np.asarray(batch.column("ends")[row].values, np.int64)
-    data = np.frombuffer(zstandard.decompress(batch.column("packed")[row].as_py(), max(1, int(ends[-1]))), np.uint8)
-    return data, np.concatenate([[0], ends]), np.asarray(batch.column("held_out")[row].values.to_numpy(zero_copy_only=False), bool)
-
-
 def _asked(batches_in):
     """The keys of each block with their counts in its training documents."""
     for batch in batches_in:
         for row in range(batch.num_rows):
-            yield from _keys(batch.column("block")[row].as_py(), *_opened(batch, row)).to_batches(max_chunksize=1 << 16)
+            held = blocks.column(batch, row, "held_out").to_numpy(zero_copy_only=False).astype(bool)
+            yield from _keys(batch.column("block")[row].as_py(), *blocks.texts(batch, row), held).to_batches(max_chunksize=1 << 16)
 
 
 def _keys(block: int, data: np.ndarray, at: np.ndarray, held: np.ndarray) -> pa.Table:
@@ -167,7 +146,7 @@ def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
     del rest
     end_log, scale = math.log10(ends + 0.5), math.log10(tokens + 0.5 * (types + 1))
 
-    data, at, held = _opened(block, 0)
+    data, at = blocks.texts(block, 0)
     n = len(at) - 1
     score = np.zeros(n)
     for gram, owner in grams_of(data, at):
@@ -181,7 +160,7 @@ def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
         n_known[i] = len(each) - each.count(unknown) + (ends > 0)
         base[i] = sum(each) + end_log - n_tokens[i] * scale
     return pa.table({
-        "doc_id": block.column("doc_id")[0].values, "held_out": pa.array(held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, int(tokens), np.int64)),
+        "doc_id": blocks.column(block, 0, "doc_id"), "held_out": blocks.column(block, 0, "held_out"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, int(tokens), np.int64)),
         "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(np.diff(at)),
     })
 
@@ -290,10 +269,8 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     parts = partitions(spark)
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), whole_text(text).alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
-    # Documents reach a task a few at a time; it holds one block of them and that block's keys.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    blocks = stored(own.mapInArrow(_pack, f"block long, doc_id array<{id_type}>, held_out array<boolean>, ends array<long>, packed binary"), "blocks")
-    asked = bucketed(blocks.mapInArrow(_asked, "block long, key binary, n long"), "key")
+    packed = stored(blocks.pack(own, BLOCK_BYTES), "blocks")
+    asked = bucketed(packed.mapInArrow(_asked, "block long, key binary, n long"), "key")
     kind = lambda k: F.substring("key", 1, 1) == F.lit(k)
     sums = asked.groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -313,5 +290,5 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     values = sums.join(gram_values.union(types), "key", "left").select("key", F.coalesce("value", F.col("n").cast("double")).alias("value"))
     told = asked.select("block", "key").join(values.hint("merge"), "key")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored, schema)
+    scored = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored, schema)
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10.0)) / F.col("n_bytes")))

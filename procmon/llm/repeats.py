@@ -15,8 +15,8 @@ The columns live in a file that is read once, from its end to its start; only th
 Without the anchors the construction would need as many rounds as the longest document has bytes, each of them
 rewriting all of the transform; with them it has 2 * LENGTH - GRAM rounds for any input.
 
-    texts -> anchors and stretches -> by anchor: repeated whole | to be compared -> stretches of text
-          -> rounds of columns -> repeated spans -> back to the texts
+    texts, packed into blocks -> anchors and stretches -> by anchor: repeated whole | to be compared
+          -> stretches of text -> rounds of columns -> repeated spans -> back to the texts
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH lose nothing. Rows that repeat a document are
 documents of their own, so all of it goes if it is long enough. Overlapping and touching spans are one. Every copy
@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmon.llm.bag_minhash import _powers
-from procmon.llm.common import batches, mix64, partitions, text_bytes, whole_text
+from procmon.llm import blocks
+from procmon.llm.common import bucketed, mix64, partitions, powers, stored, text_bytes, whole_text
 
 LENGTH, GRAM = 200, 50
 _REACH = LENGTH - GRAM  # distance of an anchor from the start of its string, at most
 _COLUMNS = _REACH + LENGTH
 _CHUNK = 1 << 20
+BLOCK_BYTES = 8 << 20
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -55,7 +56,7 @@ def stretches(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for low in range(0, max(0, len(data) - LENGTH + 1), _CHUNK):
         piece = data[low : low + _CHUNK + LENGTH - 1]
-        up, down = _powers(len(piece) + 1)
+        up, down = powers(len(piece) + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[piece] * up[:-1], dtype=np.uint64)])
         n = len(piece) - GRAM + 1
         gram = mix64((sums[GRAM:] - sums[:n]) * down[:n])
@@ -94,34 +95,52 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchored(rows):
-    for table in batches(rows, _CHUNK):
-        found = stretches(*text_bytes(table.column("text")))
-        of = found["text"]
-        yield from pa.table({
-            "doc": pa.array(np.asarray(table.column("doc"))[of]), "size": pa.array(np.asarray(table.column("size"))[of]),
-            "anchor": pa.array(found["anchor"].view(np.int64)), "whole": pa.array(found["whole"].view(np.int64)), "place": pa.array(found["place"]),
-            "left": pa.array(found["left"].astype(np.int16)), "right": pa.array(found["right"].astype(np.int16)),
-        }).to_batches(max_chunksize=1 << 16)
-
-
-def _cut(rows):
-    """The bytes of the stretches that are to be compared."""
     for batch in rows:
-        texts = batch.column("text").cast(pa.binary())
-        out = []
-        for k, of in enumerate(batch.column("stretch").to_pylist()):
-            text = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
-            doc, size = batch.column("doc")[k].as_py(), batch.column("size")[k].as_py()
-            out += [{**s, "doc": doc, "size": size, "bytes": text[s["place"] - s["left"] : s["place"] + s["right"]]} for s in of]
-            if len(out) >= 20_000:
-                yield from _cut_table(out)
-                out = []
-        yield from _cut_table(out)
+        for row in range(batch.num_rows):
+            found = stretches(*blocks.texts(batch, row))
+            n = len(found["text"])
+            yield from pa.table({
+                "block": pa.array(np.full(n, batch.column("block")[row].as_py(), np.int64)), "text": pa.array(found["text"].astype(np.int32)),
+                "anchor": pa.array(found["anchor"].view(np.int64)), "whole": pa.array(found["whole"].view(np.int64)), "place": pa.array(found["place"]),
+                "left": pa.array(found["left"].astype(np.int16)), "right": pa.array(found["right"].astype(np.int16)),
+            }).to_batches(max_chunksize=1 << 16)
 
 
-def _cut_table(out: list[dict]) -> list[pa.RecordBatch]:
-    kinds = [("anchor", pa.int64()), ("doc", pa.int64()), ("size", pa.int64()), ("place", pa.int64()), ("left", pa.int16()), ("right", pa.int16()), ("all", pa.bool_()), ("bytes", pa.binary())]
-    return pa.Table.from_pylist(out, pa.schema(kinds)).to_batches()
+def _sorted_out(rows):
+    """Of all stretches with the anchors of a task: those repeated whole, and one of each kind where kinds differ.
+
+    `role`: 0 repeated whole, a span to be removed; 1 to be compared, once in the input; 2 to be compared with, repeated.
+    """
+    rows = list(rows)
+    if not sum(r.num_rows for r in rows):
+        return
+    table = pa.Table.from_batches(rows)
+    anchor, whole = (np.asarray(table.column(c)) for c in ("anchor", "whole"))
+    order = np.lexsort((whole, anchor))
+    anchor, whole = anchor[order], whole[order]
+    head = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(whole) != 0)])
+    kind = np.flatnonzero(head)
+    times = np.diff(np.append(kind, len(order)))
+    alike = order[np.repeat(times, times) > 1]
+    # A kind whose anchor has other kinds too.
+    other = np.concatenate([[False], np.diff(anchor[kind]) == 0])
+    several = other | np.append(other[1:], False)
+    one = order[kind[several]]
+    picked = np.concatenate([alike, one])
+    role = np.concatenate([np.zeros(len(alike), np.int8), 1 + (times[several] > 1).astype(np.int8)])
+    yield from table.take(pa.array(picked)).drop_columns(["whole"]).append_column("role", pa.array(role)).to_batches(max_chunksize=1 << 16)
+
+
+def _cut(block: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The bytes of the stretches of one block that are to be compared."""
+    data, at = blocks.texts(block, 0)
+    place, left, right = (np.asarray(wanted.column(c)).astype(np.int64) for c in ("place", "left", "right"))
+    begin = at[np.asarray(wanted.column("text"))] + place - left
+    size = left + right
+    ends = np.concatenate([[0], np.cumsum(size)])
+    pick = np.arange(ends[-1]) - np.repeat(ends[:-1] - begin, size)
+    cut = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data[pick].tobytes())])
+    return wanted.append_column("bytes", cut)
 
 
 def _columns(rows):
@@ -139,7 +158,7 @@ def _columns(rows):
             grid[np.repeat(np.arange(batch.num_rows), size), np.repeat(_REACH - left, size) + inner] = data
             files.append((os.path.join(folder, str(len(files))), batch.num_rows))
             np.ascontiguousarray(grid.T).tofile(files[-1][0])
-            kept.append(batch.select(["anchor", "doc", "size", "place", "left", "right", "all"]))
+            kept.append(batch.select(["anchor", "block", "text", "place", "left", "right", "role"]))
         if not kept:
             return
         table = pa.Table.from_batches(kept)
@@ -147,10 +166,10 @@ def _columns(rows):
         first, last = _rounds(parts, *(np.asarray(table.column(c)) for c in ("anchor", "left", "right")))
         del parts
     # Strings of one stretch lie less than LENGTH apart, so what is repeated of it is one span.
-    hit = (last >= 0) & ~np.asarray(table.column("all"), bool)
+    hit = (last >= 0) & (np.asarray(table.column("role")) == 1)
     place = np.asarray(table.column("place"))[hit]
     yield from pa.table({
-        "doc": np.asarray(table.column("doc"))[hit], "size": np.asarray(table.column("size"))[hit],
+        "block": np.asarray(table.column("block"))[hit], "text": np.asarray(table.column("text"))[hit],
         "begin": place - _REACH + first[hit], "end": place - _REACH + last[hit] + LENGTH,
     }).to_batches(max_chunksize=1 << 16)
 
@@ -182,61 +201,44 @@ def _rounds(parts: list, anchor: np.ndarray, left: np.ndarray, right: np.ndarray
     return first, last
 
 
-def _removed(rows):
-    for table in batches(rows, 4 << 20):
-        data, at = text_bytes(table.column("text"))
-        removed, spans, digests = [], [], []
-        for k, of in enumerate(table.column("spans").to_pylist()):
-            text = data[at[k] : at[k + 1]]
-            if of:
-                cut = np.array(sorted((s["begin"], s["end"]) for s in of))
-                reach = np.maximum.accumulate(cut[:, 1])
-                new = np.concatenate([[True], cut[1:, 0] > reach[:-1]])
-                begin, end = cut[new, 0], reach[np.append(np.flatnonzero(new)[1:], len(cut)) - 1]
-                edge = np.zeros(len(text) + 1, np.int8)
-                edge[begin] += 1
-                edge[end] -= 1
-                text = text[np.cumsum(edge[:-1]) == 0]
-                spans.append(len(begin))
-            else:
-                spans.append(0)
-            removed.append(int(at[k + 1] - at[k]) - len(text))
-            digests.append(hashlib.sha256(text.tobytes()).hexdigest())
-        yield from pa.table({
-            "doc_id": table.column("doc_id"), "n_bytes": np.diff(at), "n_removed": pa.array(removed, pa.int64()),
-            "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
-        }).to_batches()
-
-
-def _spans(own: DataFrame) -> DataFrame:
-    """(doc, size, spans): what is repeated of each document, for those with anything repeated."""
-    n = partitions(own.sparkSession)
-    # Columns that are never null and always used together, so that all readers share one exchange.
-    found = own.mapInArrow(
-        _anchored,
-        "doc bigint not null, size bigint not null, anchor bigint not null, whole bigint not null, place bigint not null, left smallint not null, right smallint not null",
-    ).repartition(n, "anchor")
-    classes = found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "place", "left", "right")).alias("one"))
-    groups = classes.groupBy("anchor").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
-    met = classes.join(groups, "anchor")
-    same = met.where("n > 1").select("anchor", "whole")
-    alike = found.join(same, ["anchor", "whole"]).select("doc", "size", F.expr("place - left").alias("begin"), F.expr("place + right").alias("end"))
-
-    odd = met.where("kinds > 1").select(F.struct("anchor", (F.col("n") > 1).alias("all"), "one.place", "one.left", "one.right").alias("stretch"), "one.doc", "one.size")
-    wanted = odd.groupBy("doc", "size").agg(F.collect_list("stretch").alias("stretch"))
-    cut = own.join(wanted, ["doc", "size"]).select("doc", "size", "text", "stretch").mapInArrow(
-        _cut, "anchor long, doc long, size long, place long, left smallint, right smallint, all boolean, bytes binary"
-    )
-    differing = cut.repartition(n, "anchor").mapInArrow(_columns, "doc long, size long, begin long, end long")
-    return alike.union(differing).groupBy("doc", "size").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+def _removed(block: pa.Table, spans: pa.Table) -> pa.Table:
+    """The documents of one block without their spans."""
+    data, at = blocks.texts(block, 0)
+    n = len(at) - 1
+    text, begin, end = (np.asarray(spans.column(c)).astype(np.int64) for c in ("text", "begin", "end"))
+    # Texts stand one after another, a byte apart, so that spans of neighbours never touch.
+    apart = at + np.arange(n + 1)
+    edge = np.zeros(apart[-1] + 1, np.int32)
+    np.add.at(edge, apart[text] + begin, 1)
+    np.add.at(edge, apart[text] + end, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    starts = gone & ~np.concatenate([[False], gone[:-1]])
+    total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[apart])
+    digests = []
+    for k in range(n):
+        of = data[at[k] : at[k + 1]]
+        digests.append(hashlib.sha256(of[~gone[apart[k] : apart[k] + len(of)]].tobytes()).hexdigest())
+    return pa.table({
+        "doc_id": blocks.column(block, 0, "doc_id"), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total(gone)),
+        "n_spans": pa.array(total(starts)), "kept_sha256": pa.array(digests, pa.string()),
+    })
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    short = docs.sparkSession.conf
-    short.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    n = partitions(docs.sparkSession)
     own = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
-    own = own.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("size", F.octet_length("text").cast("long"))
-    own = own.repartition(partitions(docs.sparkSession), "doc", "size")
-    told = own.join(_spans(own), ["doc", "size"], "left").select("doc_id", "text", "spans")
-    return told.mapInArrow(_removed, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("doc_id", key)
+    packed = bucketed(blocks.pack(own, BLOCK_BYTES), "block")
+    place = "block long, text int, anchor long, place long, left smallint, right smallint"
+    found = packed.mapInArrow(_anchored, place.replace("anchor long", "anchor long, whole long")).repartition(n, "anchor")
+    sorted_out = stored(found.mapInArrow(_sorted_out, f"{place}, role tinyint"), "stretches")
+    wanted = sorted_out.where("role > 0")
+    cut = packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_cut, f"{place}, role tinyint, bytes binary")
+    differing = cut.repartition(n, "anchor").mapInArrow(_columns, "block long, text int, begin long, end long")
+    alike = sorted_out.where("role = 0").select("block", "text", F.expr("place - left").alias("begin"), F.expr("place + right").alias("end"))
+    spans = alike.union(differing)
+    id_type = own.schema["doc_id"].dataType.simpleString()
+    told = packed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
+        _removed, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
+    return told.withColumnRenamed("doc_id", key)
