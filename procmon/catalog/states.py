@@ -125,6 +125,27 @@ def representative_runs(spark, sf):
     )
 
 
+_SPLIT = {
+    **POINT_CTES,
+    "sb": f"""SELECT *, coalesce(us - lag(us) OVER o <> {INTERVAL} OR cluster_id <> lag(cluster_id) OVER o OR year(make_timestamp(us)) <> lag(year(make_timestamp(us))) OVER o, true) AS sn
+              FROM pts WINDOW o AS (PARTITION BY series_id ORDER BY us)""",
+    "sr2": "SELECT *, sum(CAST(sn AS INT)) OVER (PARTITION BY series_id ORDER BY us) AS srun FROM sb",
+}
+
+
+@query(
+    "segment_state_runs",
+    with_ctes(**_SPLIT)
+    + f"""SELECT series_id, cluster_id, {t('make_timestamp(min(us))')} AS start, {t('make_timestamp(max(us))')} AS stop, count(*) AS row_count
+    FROM sr2 GROUP BY series_id, cluster_id, srun""",
+)
+def segment_state_runs(spark, sf):
+    """Stretches in one cluster that do not cross the borders of segments, here calendar years."""
+    marked = points(spark, sf).withColumn("segment", F.year("ts"))
+    found = clustering.state_runs(marked, INTERVAL, segment="segment", width=WIDTH)
+    return found.select("series_id", "cluster_id", text_time(F.col("start")).alias("start"), text_time(F.col("end")).alias("stop"), "row_count")
+
+
 _LONG = 3 * INTERVAL // MINUTE
 _OFF = " ".join(
     f"WHEN 'cluster_{i + 1:03d}' THEN sqrt((m0 - {number(a)}) * (m0 - {number(a)}) + (m1 - {number(b)}) * (m1 - {number(b)}))"

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from procmon.config import ExplorationConfig
 from procmon.functions.columns import col, covered_minutes, feature_name, micros
+from procmon.operators import dpca
 from procmon.operators.quantiles import exact_quantiles
 from procmon.operators.runs import longest_runs, runs, tag_runs
+from procmon.operators.scoring import Model, score
 from procmon.session import ensure_checkpoint_dir
 
 STARTS = 10  # k-means initialisations; the cheapest wins
@@ -67,6 +69,29 @@ def assign(points: DataFrame, pcs: Sequence[str], centers: Sequence[Sequence[flo
     )
 
 
+def cluster_rows(
+    rows: DataFrame, features: Sequence[str], k: int, *, n_components: int | None = None, seed: int = 0
+) -> tuple[DataFrame, list[list[float]], Model]:
+    """States of rows that have no model yet: components of their own, then centers and assignment."""
+    model = dpca.fit(rows, features, n_components=n_components)
+    if model.k < 2:
+        model = dpca.fit(rows, features, n_components=2)
+    scored = score(rows, model)
+    centers = fit_centers(scored, model.pcs, k, seed)
+    return assign(scored, model.pcs, centers), centers, model
+
+
+def cluster_with_model(
+    rows: DataFrame, features: Sequence[str], model: Model, centers: Sequence[Sequence[float]]
+) -> DataFrame:
+    """States of new rows under a saved model; its features must be those given, in the same order."""
+    if list(features) != list(model.features):
+        raise ValueError("the features differ from the model's, or their order does")
+    if any(len(c) != model.k for c in centers):
+        raise ValueError("the centers do not match the model's components")
+    return assign(score(rows, model), model.pcs, centers)
+
+
 def state_runs(
     points: DataFrame,
     interval_us: int,

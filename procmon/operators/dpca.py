@@ -239,7 +239,7 @@ def fit_series(
             [(*key, total[upper].tolist()) for key, total in held.items()], columns=[*key_names, "products"]
         )
         for batch in batches:
-            for key, group in batch.groupby(key_names, sort=False):
+            for key, group in batch.groupby(key_names, sort=False, dropna=False):
                 x = group[names].to_numpy(dtype=float)
                 held[key] = held.get(key, 0.0) + x.T @ x
             if len(held) * p * p > HELD_NUMBERS:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procmon.config import SHARD_ROWS
-from procmon.functions.columns import col
+from procmon.functions.columns import col, present
 
 SHARD = "_shard"  # start of the shard in microseconds
 OWN = "_own"  # false for halo rows
@@ -111,6 +111,7 @@ def annotate(
     row count of the series.
     """
     key_cols = [col(k) for k in keys]
+    df = df.select(*[present(df, c).alias(c) if c in (*keys, us) else col(c) for c in df.columns])
     order = shard_window(keys, us)
     pack = lambda values: F.struct(*[v.alias(n) for n, v in values.items()])
     local = shard_rows(df, us, width)
