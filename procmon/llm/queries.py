@@ -136,7 +136,18 @@ def op1_context_tree(spark, sf_dir):
 # ---------------------------------------------------------------- near-duplicate embeddings
 
 
-@query("op3_near_embeddings")
+@query(
+    "op3_near_embeddings",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL),
+    u AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+    r AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.seen = l.a),
+    k AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY 1),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM k LEFT JOIN n USING (vec_id)
+    """,
+)
 def op3_near_embeddings(spark, sf_dir):
     return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -144,7 +155,22 @@ def op3_near_embeddings(spark, sf_dir):
 # ---------------------------------------------------------------- near-duplicate documents
 
 
-@query("op2_near_documents")
+@query(
+    "op2_near_documents",
+    r"""
+    WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+    c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY 1, 2),
+    z AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+    r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a),
+    k AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, component_id, count(*) OVER (PARTITION BY component_id) AS group_size, doc_id = component_id AS kept FROM k
+    """,
+)
 def op2_near_documents(spark, sf_dir):
     return bag_minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("row")
 
@@ -152,7 +178,23 @@ def op2_near_documents(spark, sf_dir):
 # ---------------------------------------------------------------- repeated passages
 
 
-@query("op8_repeats")
+@query(
+    "op8_repeats",
+    """
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS bin, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    i AS (SELECT rid, bin, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400),
+    w AS (SELECT rid, i, md5(bin[i + 1:i + 200]) AS k FROM i),
+    e AS (SELECT rid, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+    f AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 200, true) AS new FROM e),
+    g AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY rid ORDER BY i) AS run FROM f),
+    spans AS (SELECT rid, run, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY 1, 2),
+    cut AS (SELECT rid, b, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY b), 0) AS z FROM spans),
+    parts AS (SELECT d.rid, string_agg(substr(h, 2 * z + 1, 2 * (b - z)), '' ORDER BY b) AS kept, max(e) AS last, sum(e - b) AS gone, count(*) AS runs
+      FROM d JOIN cut USING (rid) GROUP BY 1)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+      sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN parts USING (rid)
+    """,
+)
 def op8_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 

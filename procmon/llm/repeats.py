@@ -94,15 +94,35 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _kinds(anchor: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by anchor and whole, place in it of the first of each kind, members of each kind)."""
+    order = np.lexsort((whole, anchor))
+    head = (np.diff(anchor[order]) != 0) | (np.diff(whole[order]) != 0)
+    first = np.flatnonzero(np.concatenate([[True], head])) if len(order) else np.zeros(0, np.int64)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
 def _anchored(rows):
+    """Stretches of each block. What repeats inside a block is decided here, and one of each kind goes on.
+
+    `role`: 0 repeated, a span to be removed; 1 once in the block; 2 stands for several. Rows of role 0 are dealt out
+    evenly, the others by their anchor, so a passage repeated many times is few rows for the task of its anchor.
+    """
     for batch in rows:
         for row in range(batch.num_rows):
             found = stretches(*blocks.texts(batch, row))
-            n = len(found["text"])
+            number = batch.column("block")[row].as_py()
+            order, first, times = _kinds(found["anchor"], found["whole"])
+            alike = order[np.repeat(times, times) > 1]
+            pick = np.concatenate([order[first], alike])
+            role = np.concatenate([1 + (times > 1), np.zeros(len(alike), int)]).astype(np.int8)
+            anchor, place = found["anchor"][pick], found["place"][pick]
+            even = mix64(place.astype(np.uint64) + (found["text"][pick].astype(np.uint64) << np.uint64(32)))
             yield from pa.table({
-                "block": pa.array(np.full(n, batch.column("block")[row].as_py(), np.int64)), "text": pa.array(found["text"].astype(np.int32)),
-                "anchor": pa.array(found["anchor"].view(np.int64)), "whole": pa.array(found["whole"].view(np.int64)), "place": pa.array(found["place"]),
-                "left": pa.array(found["left"].astype(np.int16)), "right": pa.array(found["right"].astype(np.int16)),
+                "deal": pa.array(np.where(role > 0, anchor, even).view(np.int64)), "role": pa.array(role),
+                "block": pa.array(np.full(len(pick), number, np.int64)), "text": pa.array(found["text"][pick].astype(np.int32)),
+                "anchor": pa.array(anchor.view(np.int64)), "whole": pa.array(found["whole"][pick].view(np.int64)), "place": pa.array(place),
+                "left": pa.array(found["left"][pick].astype(np.int16)), "right": pa.array(found["right"][pick].astype(np.int16)),
             }).to_batches(max_chunksize=1 << 16)
 
 
@@ -115,20 +135,24 @@ def _sorted_out(rows):
     if not sum(r.num_rows for r in rows):
         return
     table = pa.Table.from_batches(rows)
-    anchor, whole = (np.asarray(table.column(c)) for c in ("anchor", "whole"))
-    order = np.lexsort((whole, anchor))
-    anchor, whole = anchor[order], whole[order]
-    head = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(whole) != 0)])
-    kind = np.flatnonzero(head)
-    times = np.diff(np.append(kind, len(order)))
-    alike = order[np.repeat(times, times) > 1]
-    # A kind whose anchor has other kinds too.
-    other = np.concatenate([[False], np.diff(anchor[kind]) == 0])
-    several = other | np.append(other[1:], False)
-    one = order[kind[several]]
-    picked = np.concatenate([alike, one])
-    role = np.concatenate([np.zeros(len(alike), np.int8), 1 + (times[several] > 1).astype(np.int8)])
-    yield from table.take(pa.array(picked)).drop_columns(["whole"]).append_column("role", pa.array(role)).to_batches(max_chunksize=1 << 16)
+    role = np.asarray(table.column("role"))
+    decided, rest = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
+    anchor, whole = (np.asarray(table.column(c))[rest] for c in ("anchor", "whole"))
+    order, first, members = _kinds(anchor, whole)
+    if len(rest):
+        times = np.add.reduceat(role[rest][order].astype(np.int64), first)
+        single = role[rest][order] == 1
+        alike = order[(np.repeat(times, members) > 1) & single]
+        # A kind whose anchor has other kinds too.
+        other = np.concatenate([[False], np.diff(anchor[order][first]) == 0])
+        several = other | np.append(other[1:], False)
+        one, as_ = order[first[several]], 1 + (times[several] > 1)
+    else:
+        alike = one = as_ = np.zeros(0, np.int64)
+    picked = np.concatenate([decided, rest[alike], rest[one]])
+    roles = np.concatenate([np.zeros(len(decided) + len(alike), np.int8), as_]).astype(np.int8)
+    out = table.take(pa.array(picked)).drop_columns(["deal", "whole", "role"]).append_column("role", pa.array(roles))
+    yield from out.to_batches(max_chunksize=1 << 16)
 
 
 def _cut(block: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -230,7 +254,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     own = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     packed = bucketed(blocks.pack(own, BLOCK_BYTES), "block")
     place = "block long, text int, anchor long, place long, left smallint, right smallint"
-    found = packed.mapInArrow(_anchored, place.replace("anchor long", "anchor long, whole long")).repartition(n, "anchor")
+    fields = "deal long, role tinyint, " + place.replace("anchor long", "anchor long, whole long")
+    found = packed.mapInArrow(_anchored, fields).repartition(n, "deal")
     sorted_out = stored(found.mapInArrow(_sorted_out, f"{place}, role tinyint"), "stretches")
     wanted = sorted_out.where("role > 0")
     cut = packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_cut, f"{place}, role tinyint, bytes binary")
