@@ -138,12 +138,13 @@ def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
     grams, cost = _unpacked(keys.filter(pa.array(is_gram))), value[is_gram]
     order = np.argsort(grams)
     grams, cost = grams[order], cost[order]
-    rest = {k: v for k, v in zip(keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist())}
-    tokens, types, ends = rest.pop(TOKENS), rest.pop(TYPES), rest.pop(END)
-    # Logarithm of each word's count and a half; a word that was never taught has the smallest possible one.
+    words, counts = keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram]
+    tokens, types, ends = (float(counts[words.index(k)]) for k in (TOKENS, TYPES, END))
+    # Logarithm of each word's count and a half; one value stands for the words that were never taught.
     unknown = math.log10(0.5)
-    logs = {k[1:]: math.log10(v + 0.5) for k, v in rest.items()}
-    del rest
+    known = np.where(counts > 0, np.log10(counts + 0.5), unknown).tolist()
+    logs = {k[1:]: v for k, v in zip(words, known) if k[:1] == WORD}
+    del words, known
     end_log, scale = math.log10(ends + 0.5), math.log10(tokens + 0.5 * (types + 1))
 
     data, at = blocks.texts(block, 0)
