@@ -36,7 +36,7 @@ from procmon.llm import blocks
 from procmon.llm.common import bucketed, partitions, stored, text_bytes, whole_text
 
 #: Bytes of context, at most 7: a gram fits into 64 bits.
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 16 << 20
 _CHUNK = 1 << 20
 MARK = 255
@@ -57,10 +57,11 @@ def grams_of(data: np.ndarray, at: np.ndarray):
     text = np.ones(starts[-1], bool)
     for k in range(DEPTH):
         text[starts[:-1] + k] = False
-    inner = text.copy()
-    inner[starts[1:] - 1] = False
-    laid[inner] = data
-    owner = np.repeat(np.arange(n, dtype=np.int32), lengths + 1)
+    # End marks are left out only while the bytes are filled in.
+    text[starts[1:] - 1] = False
+    laid[text] = data
+    text[starts[1:] - 1] = True
+    ends = np.cumsum(lengths + 1)
     seen = 0
     for low in range(0, len(laid), _CHUNK):
         piece = laid[max(0, low - DEPTH) : low + _CHUNK]
@@ -71,7 +72,9 @@ def grams_of(data: np.ndarray, at: np.ndarray):
             byte = piece[first - back : len(piece) - back] if first >= back else np.concatenate([np.full(back - first, MARK, np.uint8), piece[: len(piece) - back]])
             gram = (gram << np.uint64(8)) | byte
         gram = gram[text[low : low + _CHUNK]]
-        yield gram, owner[seen : seen + len(gram)]
+        a, b = np.searchsorted(ends, [seen, seen + len(gram) - 1], "right")
+        inside = np.diff(np.clip(np.concatenate([[seen], ends[a : b + 1]]), seen, seen + len(gram)))
+        yield gram, np.repeat(np.arange(a, b + 1, dtype=np.int32), inside)
         seen += len(gram)
 
 
@@ -179,11 +182,26 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(up)
 
 
+#: Logarithms of the gamma function at k + 1/2 and at k + 1, for the small counts that most nodes have.
+_SMALL = np.arange(1 << 12, dtype=float)
+_HALVES, _WHOLES = log_gamma(_SMALL + 0.5), log_gamma(_SMALL + 1.0)
+
+
+def _log_gamma_of(n: np.ndarray, add: float, small: np.ndarray) -> np.ndarray:
+    """log_gamma(n + add) of counts n; `small` has its first values."""
+    out = small[np.minimum(n, len(small) - 1).astype(np.int64)]
+    large = n >= len(small)
+    if large.any():
+        x = n[large] + add
+        # Large counts overflow the shifted product; their argument needs no shift.
+        far = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x)
+        out[large] = np.where(x < 1e6, log_gamma(np.minimum(x, 1e6)), far)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Logarithm of the KT probability of a zeros and b ones."""
-    # Large counts overflow the shifted product; their argument needs no shift.
-    lg = lambda x: np.where(x < 1e6, log_gamma(np.minimum(x, 1e6)), (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x))
-    return lg(a + 0.5) + lg(b + 0.5) - lg(a + b + 1.0) - np.log(np.pi)
+    """Logarithm of the KT probability of a zeros and b ones, whole numbers."""
+    return _log_gamma_of(a, 0.5, _HALVES) + _log_gamma_of(b, 0.5, _HALVES) - _log_gamma_of(a + b, 1.0, _WHOLES) - np.log(np.pi)
 
 
 def _weigh(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -195,51 +213,82 @@ def _weigh(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.n
     return both, np.exp(np.minimum(own - both - np.log(2.0), 0.0))
 
 
-def _subtrees(key: tuple, rows: pa.Table) -> pa.Table:
-    """Depths 2 to DEPTH below the two nearest context bytes.
+def _levels(grams: np.ndarray, n: np.ndarray):
+    """The rows of depths DEPTH down to 2, and the order of the grams that the deepest ones have.
 
-    For a gram: `q`, the probability of each of its bits given that the mixture goes on to depth 2. For a
-    nearest context byte and a prefix: the counts, and the summed log probability of depth 2.
+    A depth is (codes, counts, up): the distinct contexts, nearest byte first, each followed by the byte itself, in
+    rising order, so the rows of a node stand together for every prefix of the byte; `up` is the row of the next depth.
     """
-    keys = rows.column("key").combine_chunks()
-    grams, n = _unpacked(keys), np.asarray(rows.column("n"), float)
     byte = lambda k: (grams >> np.uint64(8 * k)) & np.uint64(255)  # k = 0: the byte itself; k: k bytes before it
-    symbol, context = byte(0), np.zeros(len(grams), np.uint64)
-    depths = {}
-    for d in range(1, DEPTH + 1):
-        context = (context << np.uint64(8)) | byte(d)
-        if d >= 2:
-            depths[d] = np.unique(context, return_inverse=True)[1].astype(np.int64)
-    nearest = byte(1).astype(np.int64)
-    q = np.empty((len(grams), 8))
+    codes = byte(1)
+    for k in (*range(2, DEPTH + 1), 0):
+        codes = (codes << np.uint64(8)) | byte(k)
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    levels = {}
+    for d in range(DEPTH, 2, -1):
+        fewer, up = np.unique(((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255)), return_inverse=True)
+        levels[d] = codes, n, up.astype(np.int32)
+        codes, n = fewer, np.bincount(up, weights=n)
+    levels[2] = codes, n, None
+    return levels, order
+
+
+def _nodes(levels: dict, bit: int):
+    """For one bit and each depth, deepest first: (node of each row, its first row, zeros, ones, mass, stop) as of _weigh."""
+    found, mass, parent = {}, None, None
+    for d in range(DEPTH, 1, -1):
+        codes, n, up = levels[d]
+        prefix = codes >> np.uint64(8 - bit)
+        starts = np.ones(len(codes), bool)
+        starts[1:] = prefix[1:] != prefix[:-1]
+        node, first = (np.cumsum(starts) - 1).astype(np.int32), np.flatnonzero(starts)
+        one = ((codes >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        b = np.add.reduceat(np.where(one, n, 0.0), first)
+        a = np.add.reduceat(n, first) - b
+        below = None if parent is None else np.bincount(node[parent], weights=mass, minlength=len(first))
+        mass, stop = _weigh(a, b, below)
+        parent = None if up is None else up[first]
+        found[d] = node, first, one, a, b, mass, stop
+    return found
+
+
+def _tops(key: tuple, rows: pa.Table) -> pa.Table:
+    """For a nearest context byte and a prefix: the counts, and the summed log probability of depth 2."""
+    levels, _ = _levels(_unpacked(rows.column("key").combine_chunks()), np.asarray(rows.column("n"), float))
     tops = []
     for bit in range(8):
-        prefix = ((np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))).astype(np.int64)
-        one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-        below_row, mass, below = None, None, None
-        for d in range(DEPTH, 1, -1):
-            _, first, node = np.unique(depths[d] * 256 + prefix, return_index=True, return_inverse=True)
-            b = np.bincount(node, weights=np.where(one, n, 0.0))
-            a = np.bincount(node, weights=n) - b
-            if d < DEPTH:
-                below = np.bincount(node[below_row], weights=mass, minlength=len(first))
-            mass, stop = _weigh(a, b, below)
-            kt = (np.where(one, b[node], a[node]) + 0.5) / (a[node] + b[node] + 1.0)
-            q[:, bit] = kt if d == DEPTH else stop[node] * kt + (1.0 - stop[node]) * q[:, bit]
-            below_row = first
-        top, inverse = np.unique(nearest[below_row] * 256 + prefix[below_row], return_inverse=True)
+        _, first, _, a, b, mass, _ = _nodes(levels, bit)[2]
+        codes = levels[2][0][first].astype(np.int64)
+        top, inverse = np.unique((codes >> 16) * 256 + ((1 << bit) | ((codes & 255) >> (8 - bit))), return_inverse=True)
         tops.append((top, *(np.bincount(inverse, weights=x) for x in (a, b, mass))))
     top, a, b, mass = (np.concatenate(x) for x in zip(*tops))
-    k, m = len(grams), len(top)
-    flat = pa.array(np.concatenate([q.reshape(-1), np.zeros(0)]))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.arange(k + 1) * 8, np.full(m, k * 8)]).astype(np.int32)), flat)
-    pad = lambda x, fill, low: pa.array(np.concatenate([x, np.full(low, fill, x.dtype)]))
-    return pa.table({
-        "key": pa.concat_arrays([keys, pa.array([b""] * m, pa.binary())]),
-        "near": pa.array(np.concatenate([nearest, top // 256])), "symbol": pad(symbol.astype(np.int64), -1, m), "q": lists,
-        "prefix": pa.array(np.concatenate([np.full(k, -1), top % 256])),
-        **{name: pa.array(np.concatenate([np.zeros(k), x])) for name, x in (("a", a), ("b", b), ("mass", mass))},
-    })
+    return pa.table({"near": pa.array(top // 256), "prefix": pa.array(top % 256), "a": pa.array(a), "b": pa.array(b), "mass": pa.array(mass)})
+
+
+def _subtrees(key: tuple, rows: pa.Table) -> pa.Table:
+    """For a gram: `q`, the probability of each of its bits given that the mixture goes on to depth 2."""
+    keys = rows.column("key").combine_chunks()
+    levels, order = _levels(_unpacked(keys), np.asarray(rows.column("n"), float))
+    q = np.empty((len(order), 8))
+    for bit in range(8):
+        # From the nearest bytes outwards: what the mixture has gathered, and the share that goes on.
+        found, had, left = _nodes(levels, bit), None, None
+        for d in range(2, DEPTH + 1):
+            node, _, one, a, b, _, stop = found[d]
+            kt = (np.where(one, b[node], a[node]) + 0.5) / (a[node] + b[node] + 1.0)
+            if d > 2:
+                up = levels[d][2]
+                had, left = had[up], left[up]
+            else:
+                had, left = np.zeros(len(node)), np.ones(len(node))
+            had = had + left * stop[node] * kt
+            left = left * (1.0 - stop[node])
+        q[:, bit] = had
+    codes = levels[DEPTH][0]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, 8, dtype=np.int32)), pa.array(q.reshape(-1)))
+    near, symbol = (codes >> np.uint64(8 * DEPTH)).astype(np.int64), (codes & np.uint64(255)).astype(np.int64)
+    return pa.table({"key": keys.take(pa.array(order)), "near": pa.array(near), "symbol": pa.array(symbol), "q": lists})
 
 
 def _crown(rows: pa.Table) -> pa.Table:
@@ -276,13 +325,12 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     sums = asked.groupBy("key").agg(F.sum("n").alias("n"))
 
     grams = sums.where(kind(GRAM)).withColumn("part", F.pmod(F.xxhash64(F.substring("key", DEPTH, 2)), F.lit(8 * parts)))
-    tree = grams.groupBy("part").applyInArrow(
-        _subtrees, "key binary, near long, symbol long, q array<double>, prefix long, a double, b double, mass double"
-    )
-    tops = tree.where("prefix >= 0").groupBy("near", "prefix").agg(*[F.sum(c).alias(c) for c in ("a", "b", "mass")])
+    tree = grams.groupBy("part").applyInArrow(_subtrees, "key binary, near long, symbol long, q array<double>")
+    tops = grams.groupBy("part").applyInArrow(_tops, "near long, prefix long, a double, b double, mass double")
+    tops = tops.groupBy("near", "prefix").agg(*[F.sum(c).alias(c) for c in ("a", "b", "mass")])
     crown = tops.groupBy(F.lit(0).alias("all")).applyInArrow(_crown, "near long, c0 array<double>, c1 array<double>")
     # At most 256 rows, whatever the corpus.
-    joined = tree.where("prefix < 0").join(F.broadcast(crown), "near")
+    joined = tree.join(F.broadcast(crown), "near")
     bits = [f"log10(c0[cast({2 << b} + (symbol >> {7 - b}) as int)] + c1[cast({2 << b} + (symbol >> {7 - b}) as int)] * q[{b}])" for b in range(8)]
     gram_values = joined.select("key", F.expr(" + ".join(bits)).alias("value"))
     counted = asked.where(kind(WORD) | kind(END)).groupBy("key").agg(F.sum("n").alias("n"))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 from procmon.catalog.registry import QUERIES
-from procmon.llm.context_tree import DEPTH, MARK
+from procmon.llm.context_tree import DEPTH, MARK, score_documents
 
 
 def log_kt(a, b):
@@ -77,3 +77,10 @@ def test_scores_equal_the_definition(spark, tables, odd_documents):
         assert math.isclose(row["base_score"], base, rel_tol=1e-9)
         if len(t) < 1_000 and d != 12:  # two documents share the id 12
             assert math.isclose(row["score"], score(t), rel_tol=1e-7)
+
+
+def test_the_fifth_byte_back_decides(spark):
+    rows = [(i, "Xabcd1" if i % 2 else "Yabcd2", False) for i in range(80)] + [(100, "Xabcd1", True), (101, "Xabcd2", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    score = {r["doc_id"]: r["score"] for r in score_documents(docs, "held").where("held_out").collect()}
+    assert score[100] > score[101] + 1
