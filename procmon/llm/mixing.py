@@ -10,6 +10,12 @@ same shares look the same: one cycle per set of shares is scheduled, by a fold o
 all others are copies of it. A source that runs out takes a last smaller share and then none; the
 others keep theirs. No document is dropped or repeated.
 
+Rounded shares are at least one block a cycle and up to half a block off, which adds up over the cycles and is coarse
+for many sources. With `cycle=None` (`exact`) nothing is rounded: a source's weight is a whole number `a` of about
+2**31 parts, its windows are floor(k L / a) and ceil((k + 1) L / a) with L the sum over the sources that still have blocks,
+and one fold goes over all slots. Where a source runs out, the others' windows start anew from there. Up to then and
+between such slots every source is less than one block from its target. A source without a weight counts as one part.
+
 A document's place within its source follows from the MD5 of its doc_id. Rows are numbered within
 (source, leading digits of the MD5) and lifted by the counts of the smaller digits, so a source that
 holds most rows is spread like the others.
@@ -31,6 +37,9 @@ from procmon.llm.common import partitions
 #: Blocks in a cycle, before every source has at least one, and documents in a block.
 CYCLE = 400
 BLOCK_DOCS = 16
+#: Unrounded weights are whole numbers of so many parts; turns are gathered in stretches of so many slots.
+PARTS = 1 << 31
+STRETCH = 512
 #: Without weights a source counts by its number of documents to this power.
 POWER = 0.5
 
@@ -48,14 +57,19 @@ def _fold() -> Column:
         s -> s.turns)""")
 
 
-def _shares(sources: DataFrame, weights: dict[str, float] | None, cycle: int) -> DataFrame:
-    """(source, n_blocks, share); the shares of a cycle are at least one block each."""
+def _weighed(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """`sources` with the weight of each and the sum of all."""
     if weights is None:
         weight = F.pow(F.col("n_docs"), F.lit(POWER))
     else:
         pairs = [F.when(F.col("source") == F.lit(k), F.lit(float(v))) for k, v in weights.items() if v > 0]
         weight = F.coalesce(*pairs, F.lit(0.0))
-    whole = sources.withColumn("weight", weight).withColumn("sum", F.sum("weight").over(Window.partitionBy(F.lit(1))))
+    return sources.withColumn("weight", weight).withColumn("sum", F.sum("weight").over(Window.partitionBy(F.lit(1))))
+
+
+def _shares(sources: DataFrame, weights: dict[str, float] | None, cycle: int) -> DataFrame:
+    """(source, n_blocks, share); the shares of a cycle are at least one block each."""
+    whole = _weighed(sources, weights)
     share = F.greatest(F.lit(1), F.round(F.try_divide("weight", "sum") * cycle)).cast("long")
     return whole.select("source", "n_blocks", F.coalesce(share, F.lit(1).cast("long")).alias("share"))
 
@@ -89,8 +103,39 @@ def cycles(shares: DataFrame) -> DataFrame:
     return own.groupBy("source", "share").agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
 
 
+def exact(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """(source, block, slot) of all blocks of `sources` (source, n_docs, n_blocks), by unrounded weights."""
+    whole = _weighed(sources, weights)
+    part = F.greatest(F.lit(1), F.round(F.try_divide("weight", "sum") * PARTS)).cast("long")
+    whole = whole.select("source", "n_blocks", F.coalesce(part, F.lit(1).cast("long")).alias("a"))
+    one = whole.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "n_blocks", "a"))).alias("s")).where("size(s) > 0")
+    one = one.withColumn("slots", F.expr("aggregate(s, 0L, (t, x) -> t + x.n_blocks)"))
+    # State: blocks done of each source, and since the last source ran out: the slot, the blocks done then, the sum of the parts.
+    chosen = """array_min(transform(s, (x, i) -> if(c.done[i] < x.n_blocks and ((c.done[i] - c.had[i]) * c.total) div x.a <= t - c.since,
+      named_struct('deadline', ((c.done[i] - c.had[i] + 1) * c.total + x.a - 1) div x.a, 'i', i),
+      named_struct('deadline', 9223372036854775807L, 'i', i)))).i"""
+    begin = """named_struct('done', transform(s, x -> 0L), 'had', transform(s, x -> 0L), 'since', 0L,
+      'total', aggregate(s, 0L, (y, x) -> y + x.a), 'turns', cast(array() as array<struct<i: int, block: bigint>>))"""
+    # One slot: the chosen source is p, its blocks done so far are at most one short of all where it runs out.
+    turn = f"""transform(array({chosen}), p -> transform(array(transform(c.done, (d, i) -> if(i = p, d + 1, d))), done ->
+      if(done[p] < s[p].n_blocks,
+        named_struct('done', done, 'had', c.had, 'since', c.since, 'total', c.total, 'turns', concat(c.turns, array(named_struct('i', p, 'block', c.done[p])))),
+        named_struct('done', done, 'had', done, 'since', t + 1,
+          'total', aggregate(zip_with(s, done, (x, d) -> if(d < x.n_blocks, x.a, 0L)), 0L, (y, a) -> y + a),
+          'turns', concat(c.turns, array(named_struct('i', p, 'block', c.done[p])))))))[0][0]"""
+    # Turns are gathered in stretches, so that none is copied more than STRETCH times.
+    stretch = f"aggregate(sequence(low, least(low + {STRETCH}, slots) - 1), o.state, (c, t) -> {turn})"
+    empty = "named_struct('done', r.done, 'had', r.had, 'since', r.since, 'total', r.total, 'turns', cast(array() as array<struct<i: int, block: bigint>>))"
+    folded = one.withColumn("turns", F.expr(f"""
+      aggregate(sequence(0L, slots - 1, {STRETCH}L), named_struct('state', {begin}, 'all', cast(array() as array<array<struct<i: int, block: bigint>>>)),
+        (o, low) -> transform(array({stretch}), r -> named_struct('state', {empty}, 'all', concat(o.all, array(r.turns))))[0], o -> o.all)"""))
+    stretches = folded.select("s", F.posexplode("turns").alias("_k", "_of"))
+    each = stretches.select("s", "_k", F.posexplode("_of").alias("_t", "turn"))
+    return each.select(F.expr("s[turn.i].source").alias("source"), F.col("turn.block").alias("block"), (F.col("_k") * F.lit(STRETCH).cast("long") + F.col("_t")).alias("slot"))
+
+
 def interleave(
-    docs: DataFrame, weights: dict[str, float] | None = None, cycle: int = CYCLE, block_docs: int = BLOCK_DOCS,
+    docs: DataFrame, weights: dict[str, float] | None = None, cycle: int | None = CYCLE, block_docs: int = BLOCK_DOCS,
     key: str = "doc_id", source: str = "source",
 ) -> DataFrame:
     """`docs` with _block (number within the source), _slot (of the schedule) and _place (within the block)."""
@@ -105,13 +150,19 @@ def interleave(
     counts = slim.groupBy("source", "part").agg(F.count("*").alias("n"))
     sources = counts.groupBy("source").agg(F.sum("n").alias("n_docs")).withColumn("n_blocks", F.expr(f"(n_docs + {block_docs - 1}) div {block_docs}"))
     told = {f"={k}": v for k, v in weights.items()} if weights is not None else None
-    plan = cycles(_shares(sources, told, cycle))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = counts.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(plan, "source")
-    slots = F.expr(f"""
-      transform(sequence(before div {block_docs}, (before + n - 1) div {block_docs}), k ->
-        transform(filter(kinds, x -> x.first <= k div share), x -> x.base + (k div share - x.first) * x.length + x.turns[cast(k % share as int)])
-          [size(filter(kinds, x -> x.first <= k div share)) - 1])""")
+    parts = counts.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
+    if cycle is None:
+        spans = parts.withColumn("block", F.explode(F.expr(f"sequence(before div {block_docs}, (before + n - 1) div {block_docs})")))
+        met = spans.join(exact(sources, told), ["source", "block"]).groupBy("source", "part", "before")
+        parts = met.agg(F.array_sort(F.collect_list(F.struct("block", "slot"))).alias("found"))
+        slots = F.col("found.slot")
+    else:
+        parts = parts.join(cycles(_shares(sources, told, cycle)), "source")
+        slots = F.expr(f"""
+          transform(sequence(before div {block_docs}, (before + n - 1) div {block_docs}), k ->
+            transform(filter(kinds, x -> x.first <= k div share), x -> x.base + (k div share - x.first) * x.length + x.turns[cast(k % share as int)])
+              [size(filter(kinds, x -> x.first <= k div share)) - 1])""")
     parts = parts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.col("before").alias("_before"), slots.alias("_slots"))
     at = F.col("_before") + F.col("_row")
     block = F.expr(f"(_before + _row) div {block_docs}")

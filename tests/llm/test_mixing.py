@@ -62,3 +62,35 @@ def test_documents_keep_their_columns_and_order_takes_effect(spark, documents):
     assert mixed.columns == documents.columns and mixed.count() == documents.count()
     sources = [r["source"] for r in mixed.collect()]
     assert len(set(map(str, sources[:12]))) >= 3
+
+
+@pytest.mark.parametrize("weights", [None, {"big": 1, **{str(i): 0.001 for i in range(20)}}, {"big": 2}])
+def test_exact_weights_are_kept_at_every_prefix(spark, weights):
+    rows = [(i, "big") for i in range(900)] + [(1000 + i, str(i % 20)) for i in range(60)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.interleave(df, weights, cycle=None, block_docs=2).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r["_slot"], set()).add((r["source"], r["_block"]))
+    assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
+    order = [next(iter(slots[t])) for t in range(len(slots))]
+    docs = Counter(s for _, s in rows)
+    size = {s: -(-n // 2) for s, n in docs.items()}
+    for s in size:
+        assert [b for x, b in order if x == s] == list(range(size[s]))
+    weight = {s: docs[s] ** 0.5 if weights is None else weights.get(s, 0) for s in size}
+    done, had, since = Counter(), Counter(), 0
+    for t, (s, _) in enumerate(order):
+        total = sum(weight[x] for x in size if had[x] < size[x])
+        done[s] += 1
+        if total:
+            for x in size:
+                if had[x] < size[x]:
+                    assert abs(done[x] - had[x] - (t + 1 - since) * weight[x] / total) < 1 + 1e-5
+        if done[s] == size[s]:
+            had, since = Counter(done), t + 1
+
+
+def test_exact_schedule_of_no_rows(spark):
+    assert mixing.interleave(spark.createDataFrame([], "doc_id long, source string"), cycle=None).count() == 0
