@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmon.llm import bag_minhash, exact_dedup, mixing, toxicity
-from procmon.llm.common import shared_folder
+from procmon.llm.common import shared_folder, stored
 from procmon.llm.queries import coded, toxicity_model
 
 
@@ -31,13 +31,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources take turns."""
-    return mixing.mixed(docs)
+    """All documents, in the order in which the sources take turns by unrounded weights."""
+    return mixing.mixed(docs, cycle=None)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_ids and the digest of the decoded text."""
-    return coded(docs, keep=("doc_id", "source"))
+    """doc_id, source, ids, n_ids and the digest of the decoded text, in the order of the stage before.
+
+    `docs` is read from files. Reading packs files by size and giant texts are encoded apart, so each row carries its
+    file, whose name follows the order of writing, and its row there.
+    """
+    at = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    rows = coded(docs.select("doc_id", "source", "text", *at), keep=("doc_id", "source", "_file", "_at"))
+    # Written first, so that finding the ranges to sort by does not encode everything twice.
+    return stored(rows, "coded").orderBy("_file", "_at").drop("_file", "_at")
 
 
 STAGES = [

@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 import sentencepiece
 
-from procmon.llm import pieces, toxicity
+from procmon.llm import mixing, pieces, toxicity
 from procmon.llm.queries import toxicity_model
 from tests.llm.test_near import shingles, similarity, smallest_reachable
 
@@ -42,3 +42,10 @@ def test_run_and_odd_documents(spark, tables, no_tables):
     assert out.columns == ["doc_id", "source", "ids", "n_ids", "decoded_sha256"] and out.count() > 20
     assert corpus_pipeline.run(spark, no_tables).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mix_sources", "pieces"]
+
+
+def test_run_keeps_the_order_of_the_schedule(spark):
+    got = [(r["doc_id"], r["source"]) for r in corpus_pipeline.run(spark, SF).select("doc_id", "source").collect()]
+    docs = spark.createDataFrame(sorted(got), "doc_id long, source string")
+    want = mixing.interleave(docs, cycle=None).orderBy("_slot", "_place").collect()
+    assert got == [(r["doc_id"], r["source"]) for r in want] and got != sorted(got)
