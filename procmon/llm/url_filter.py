@@ -44,13 +44,13 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
     open, so what touches it is no literal.
     """
     closed = re.findall(TOKEN, host.lower()) + [m[0] for m in re.finditer(TOKEN, path.lower()) if m.end() < len(path)]
-    pattern = rf"^(?:[^ ]*\.)?{_quoted(host)} {_quoted(path)}"
+    pattern = rf"^(?:[^ ]*\.)?{_quoted(host.replace(' ', '#'))} {_quoted(path)}"
     return Rule(host + path, verdict, pattern, tuple(dict.fromkeys(closed)))
 
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """Fits where the host holds the word, bounded by dots, hyphens or the ends."""
-    return Rule(word, verdict, rf"^(?:[^ ]*[.-])?{_quoted(word)}(?:[.-][^ ]*)? ", tuple(re.findall(TOKEN, word)), False)
+    return Rule(word, verdict, rf"^(?:[^ ]*[.-])?{_quoted(word.replace(' ', '#'))}(?:[.-][^ ]*)? ", tuple(re.findall(TOKEN, word)), False)
 
 
 def _quoted(text: str) -> str:
@@ -91,7 +91,8 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
         "host", "path", F.explode(F.array_distinct(F.expr(rf"regexp_extract_all(lower(concat(host, ' ', path)), '{TOKEN}', 0)"))).alias("token")
     )
     filed = _filed(tokens.select("token"), table)
-    fits = F.expr("concat(host, ' ', path) rlike pattern")
+    # Patterns take the first blank as the end of the host; blanks inside a host become '#', which no host holds.
+    fits = F.expr("concat(translate(host, ' ', '#'), ' ', path) rlike pattern")
     indexed = tokens.join(sized(filed.where("token is not null")), "token").where(fits)
     shape = ["host", "path", "rule", "verdict", "listed"]
     met = indexed.select(*shape)
@@ -99,7 +100,7 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
         # Few by nature: what has no literal is compared with every URL, in the order of the rule list.
         loose = [r for r in rules if not r.literals]
         each = F.array(*[
-            F.when(F.concat("host", F.lit(" "), "path").rlike(r.pattern), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.listed).alias("listed")))
+            F.when(F.concat(F.translate("host", " ", "#"), F.lit(" "), "path").rlike(r.pattern), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.listed).alias("listed")))
             for r in loose
         ])
         met = met.unionByName(known.select("host", "path", F.explode(F.array_compact(each)).alias("r")).select("host", "path", "r.*"))

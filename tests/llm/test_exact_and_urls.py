@@ -89,3 +89,10 @@ def test_many_rules_run_only_on_candidates(spark):
         assert row["verdict"] == (max(fits)[3] if fits else "block" if path == "/c" else "allow")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan and "Python" not in plan
+
+
+def test_hosts_with_blanks(spark):
+    pages = spark.createDataFrame([(1, "http://my site.org/x"), (2, "http://a b.casino.net/"), (3, "http://x casino/"), (4, "http://org x/")], "page_id long, url string")
+    rules = [url_filter.host_rule("org", "/", "allow"), url_filter.word_rule("casino")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: ("org/", "allow"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow")}
