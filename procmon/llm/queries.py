@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import query
 from procmon.llm import (
-    bag_minhash, context_tree, cross_polytope, exact_dedup, language_id, mixing, pieces, repeats, toxicity, url_filter,
+    bag_minhash, bottom_k, context_tree, cross_polytope, exact_dedup, language_id, merkle, mixing, pieces, repeats, subvectors, toxicity, url_filter,
 )
-from procmon.llm.common import fold, read
+from procmon.llm.common import fold, read, stored
 
 # ---------------------------------------------------------------- sources to target weights
 
@@ -212,3 +214,157 @@ def coded(docs, keep=("doc_id",)):
 @query("op5_pieces")
 def op5_pieces(spark, sf_dir):
     return coded(read(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- manifest of the documents
+
+
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of a string in DuckDB, from its hexadecimal bytes, bit by bit."""
+    bit = "(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    eight = "c"
+    for _ in range(8):
+        eight = f"list_transform([{eight}], lambda c: {bit})[1]"
+    step = eight.replace("[c]", "[xor(c, b)]", 1)
+    bytes_of = f"list_transform(range(0, octet_length(encode({text}))), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce({bytes_of}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _merkle_sql(levels: int = 14) -> str:
+    """Trees with up to 3 ** levels leaves a source and as many sources."""
+    value = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaf = lambda text: f"sha256({' || '.join(map(value, fields))} || {value(text)})"
+    parts = []
+
+    def tree(name: str, start: str) -> None:
+        """Levels name0, name1, ... of (g, pos, h, n) with the siblings to the left and to the right of each node."""
+        parts.append(f"{name}0 AS ({start})")
+        for k in range(levels):
+            run = "PARTITION BY g, pos // 3"
+            near = lambda side: f"coalesce(string_agg(h, '') OVER ({run} ORDER BY pos ROWS BETWEEN {side}), '')"
+            parts.append(
+                f"{name}s{k} AS (SELECT g, pos, h, n, CASE WHEN n > 1 THEN {near('UNBOUNDED PRECEDING AND 1 PRECEDING')} ELSE '' END AS l, "
+                f"CASE WHEN n > 1 THEN {near('1 FOLLOWING AND UNBOUNDED FOLLOWING')} ELSE '' END AS r FROM {name}{k})"
+            )
+            parts.append(
+                f"{name}{k + 1} AS (SELECT g, pos // 3 AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h, "
+                f"(any_value(n) + 2) // 3 AS n FROM {name}{k} GROUP BY g, pos // 3)"
+            )
+
+    def climb(name: str, before: str, out: str) -> None:
+        """From rows (i, g, pos, fold, proof): the same at the top of their tree."""
+        parts.append(f"{out}0 AS ({before})")
+        for k in range(levels):
+            parts.append(
+                f"{out}{k + 1} AS (SELECT i, c.g, c.pos // 3 AS pos, CASE WHEN s.n > 1 THEN sha256(s.l || c.fold || s.r) ELSE c.fold END AS fold, c.proof || s.l || s.r AS proof "
+                f"FROM {out}{k} c JOIN {name}s{k} s ON s.g = c.g AND s.pos = c.pos)"
+            )
+
+    parts.append(
+        f"d AS (SELECT *, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 "
+        f"THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS now, coalesce('=' || source, '-') AS g FROM documents)"
+    )
+    parts.append("o AS (SELECT row_number() OVER () AS i, doc_id, leaf, now, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)")
+    tree("a", "SELECT g, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM o")
+    parts.append(f"sub AS (SELECT g AS source, h, row_number() OVER (ORDER BY g) - 1 AS pos FROM a{levels})")
+    tree("b", "SELECT 0 AS g, pos, h, count(*) OVER () AS n FROM sub")
+    climb("a", "SELECT i, g, pos, now AS fold, '' AS proof FROM o", "c")
+    climb("b", f"SELECT i, 0 AS g, s.pos, c.fold, c.proof FROM c{levels} c JOIN sub s ON s.source = c.g", "e")
+    return f"""
+    WITH {", ".join(parts)}
+    SELECT o.doc_id, o.leaf, s.h AS subroot, t.h AS root, sha256(e.proof) AS proof_sha256, e.fold AS folded_root, e.fold = t.h AS verified
+    FROM o JOIN sub s ON s.source = o.g JOIN e{levels} e ON e.i = o.i CROSS JOIN b{levels} t
+    """
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    """The manifest of all documents; half of them are tampered with and folded to a root again."""
+    docs = read(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    tampered = F.when(fold("doc_id", 2) == 0, leaf(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).otherwise(leaf(F.col("text")))
+    rows = merkle.manifest(docs, "doc_id", "source", leaf(F.col("text")), {"now": tampered})
+    siblings = F.array_join(F.flatten(F.transform("proof", lambda level: level["siblings"])), "")
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), merkle.folded(F.col("proof"), F.col("now")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# ---------------------------------------------------------------- clusters of embeddings
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+    m{k} AS (SELECT v.vec_id, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v CROSS JOIN c{k} c),
+    a{k} AS (SELECT vec_id, x, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM m{k} GROUP BY vec_id, x),
+    s{k} AS (SELECT cluster, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, range(1, 65) t(i) GROUP BY cluster, i),
+    c{k + 1} AS (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (
+      SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{k} GROUP BY cluster) n USING (cluster))""")
+    return f"""
+    WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    v AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(64 * x) AS BIGINT)) AS x FROM f
+      WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster, x FROM v QUALIFY cluster < 16),{",".join(steps)}
+    SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+    """
+
+
+@query("op11_subvector_clusters", _clusters_sql())
+def op11_subvector_clusters(spark, sf_dir):
+    """All embeddings of 64 components, as whole numbers, in 16 clusters after three rounds."""
+    order = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
+    assigned, centroids = subvectors.cluster(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, 16, 3, order, 64.0)
+    rows = subvectors.with_inertia(stored(assigned, "assigned"))
+    # At most 16 digests.
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    of = F.get(F.array(*map(F.lit, digests)), F.col("cluster")) if digests else F.lit(None).cast("string")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", of.alias("centroid_sha256"))
+
+
+# ---------------------------------------------------------------- fingerprints
+
+_TERMS = lambda at: " + ".join(f"coalesce(w[{at} + {j}] * {c}, 0)" for j, c in enumerate(bottom_k.FACTORS))
+_SKETCH_SQL = (
+    "list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] "
+    f"WHEN len(w) < {bottom_k.WORDS} THEN [({_TERMS(1)}) % {bottom_k.PRIME}] "
+    f"ELSE list_transform(range(1, len(w) - {bottom_k.WORDS - 2}), lambda i: ({_TERMS('i')}) % {bottom_k.PRIME}) END))[1:{bottom_k.K}]"
+)
+_LIKE_SQL = (
+    "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE (SELECT count(*) FILTER (list_contains({0}, h) AND list_contains({1}, h)) / count(*) "
+    f"FROM (SELECT h FROM (SELECT unnest(list_distinct(list_concat({{0}}, {{1}}))) AS h) ORDER BY h LIMIT {bottom_k.K})) END"
+)
+FINGERPRINT_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS i, doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+e AS (SELECT a.i, a.doc_id, a.n, a.t, b.i AS j, substr(a.t, 1, CAST(a.n - a.n // 4 AS BIGINT)) || substr(b.t, 1, CAST(a.n // 4 AS BIGINT)) AS u
+  FROM d a JOIN d b ON b.i = a.i % (SELECT count(*) FROM d) + 1),
+texts AS (SELECT i, 0 AS side, t FROM e UNION ALL SELECT i, 1, u FROM e),
+split AS (SELECT i, side, list_filter(string_split_regex(translate(t, '{bottom_k.UPPER}', '{bottom_k.LOWER}'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS s FROM texts),
+each AS (SELECT i, side, unnest(s) AS word, unnest(range(len(s))) AS nth FROM split),
+known AS (SELECT word, {_crc32_sql('word')} AS c FROM (SELECT DISTINCT word FROM each)),
+coded AS (SELECT i, side, list(c ORDER BY nth) AS w FROM each JOIN known USING (word) GROUP BY i, side),
+sketched AS (SELECT i, side, {_SKETCH_SQL} AS s FROM coded),
+met AS (SELECT e.*, coalesce(x.s, []) AS a, coalesce(y.s, []) AS b, coalesce(z.s, []) AS c FROM e
+  LEFT JOIN sketched x ON x.i = e.i AND x.side = 0 LEFT JOIN sketched y ON y.i = e.i AND y.side = 1 LEFT JOIN sketched z ON z.i = e.j AND z.side = 0)
+SELECT doc_id, n AS n_chars, sha256(u) AS edited_sha256, coalesce(array_to_string(list_transform(a, lambda h: printf('%016x', h)), ''), '') AS fingerprint,
+  coalesce(array_to_string(list_transform(b, lambda h: printf('%016x', h)), ''), '') AS edited_fingerprint, {_LIKE_SQL.format('a', 'b')} AS near_edited, {_LIKE_SQL.format('a', 'c')} AS near_next
+FROM met
+"""
+
+
+@query("op13_bottom_k", FINGERPRINT_SQL)
+def op13_bottom_k(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts, and how like they are."""
+    rows = bottom_k.followed(read(spark, sf_dir, "documents"))
+    n = F.length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
+    rows = rows.select("*", bottom_k.sketch(F.col("text")).alias("own"), bottom_k.sketch(F.col("edited")).alias("other"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        bottom_k.as_text(F.col("own")).alias("fingerprint"), bottom_k.as_text(F.col("other")).alias("edited_fingerprint"),
+        bottom_k.resemblance(F.col("own"), F.col("other")).alias("near_edited"), bottom_k.resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+    )
