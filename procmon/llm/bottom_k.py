@@ -88,7 +88,7 @@ def of_groups(sketches: DataFrame, group: str, column: str, k: int = K) -> DataF
 
 
 def followed(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 4) -> DataFrame:
-    """(key, text, start, next_sketch): with each text the first characters of the next document's, a `share`-th of the own length, and its sketch.
+    """(key, text, next_key, start, next_sketch): with each text the next document's key, first characters (a `share`-th of the own length) and sketch.
 
     Documents follow each other by ascending key, the first follows the last. Only keys, digests and lengths are put in order;
     the text of a document is shuffled once, and what its predecessor needs of it once.
@@ -102,16 +102,17 @@ def followed(docs: DataFrame, key: str = "doc_id", text: str = "text", share: in
     after = placed.select(F.expr("(idx + size - 1) % size").alias("idx"), F.col("name").alias("next"))
     links = placed.join(after, "idx").select("next", F.col("name").alias("to"), "n", "copies")
 
+    # Both uses read the same columns, so that one exchange serves them.
     texts = own.select("name", "key", "text").dropDuplicates(["name"])
     sent = texts.join(links.hint("merge"), texts["name"] == links["next"]).select(
-        "to", "n", "copies", F.substring("text", F.lit(1), F.expr(f"cast(n div {share} as int)")).alias("start"), sketch(F.col("text")).alias("next_sketch")
+        "to", "n", "copies", F.col("key").alias("next_key"), F.substring("text", F.lit(1), F.expr(f"cast(n div {share} as int)")).alias("start"), sketch(F.col("text")).alias("next_sketch")
     )
     met = texts.join(sent.hint("merge"), texts["name"] == sent["to"])
     # Of rows that repeat a document, each but the last is followed by its like.
     same = F.col("copy") < F.col("copies")
     told = met.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return told.select(
-        F.col("key").alias(key), F.col("text").alias(text),
+        F.col("key").alias(key), F.col("text").alias(text), F.when(same, F.col("key")).otherwise(F.col("next_key")).alias("next_key"),
         F.when(same, F.substring("text", F.lit(1), F.expr(f"cast(n div {share} as int)"))).otherwise(F.col("start")).alias("start"),
         F.when(same, sketch(F.col("text"))).otherwise(F.col("next_sketch")).alias("next_sketch"),
     )

@@ -339,7 +339,7 @@ _LIKE_SQL = (
 )
 FINGERPRINT_SQL = f"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS i, doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-e AS (SELECT a.i, a.doc_id, a.n, a.t, b.i AS j, substr(a.t, 1, CAST(a.n - a.n // 4 AS BIGINT)) || substr(b.t, 1, CAST(a.n // 4 AS BIGINT)) AS u
+e AS (SELECT a.i, a.doc_id, b.doc_id AS next_doc_id, a.n, a.t, b.i AS j, substr(a.t, 1, CAST(a.n - a.n // 4 AS BIGINT)) || substr(b.t, 1, CAST(a.n // 4 AS BIGINT)) AS u
   FROM d a JOIN d b ON b.i = a.i % (SELECT count(*) FROM d) + 1),
 texts AS (SELECT i, 0 AS side, t FROM e UNION ALL SELECT i, 1, u FROM e),
 split AS (SELECT i, side, list_filter(string_split_regex(translate(t, '{bottom_k.UPPER}', '{bottom_k.LOWER}'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS s FROM texts),
@@ -350,7 +350,7 @@ sketched AS (SELECT i, side, {_SKETCH_SQL} AS s FROM coded),
 met AS (SELECT e.*, coalesce(x.s, []) AS a, coalesce(y.s, []) AS b, coalesce(z.s, []) AS c FROM e
   LEFT JOIN sketched x ON x.i = e.i AND x.side = 0 LEFT JOIN sketched y ON y.i = e.i AND y.side = 1 LEFT JOIN sketched z ON z.i = e.j AND z.side = 0)
 SELECT doc_id, n AS n_chars, sha256(u) AS edited_sha256, coalesce(array_to_string(list_transform(a, lambda h: printf('%016x', h)), ''), '') AS fingerprint,
-  coalesce(array_to_string(list_transform(b, lambda h: printf('%016x', h)), ''), '') AS edited_fingerprint, {_LIKE_SQL.format('a', 'b')} AS near_edited, {_LIKE_SQL.format('a', 'c')} AS near_next
+  coalesce(array_to_string(list_transform(b, lambda h: printf('%016x', h)), ''), '') AS edited_fingerprint, {_LIKE_SQL.format('a', 'b')} AS near_edited, {_LIKE_SQL.format('a', 'c')} AS near_next, next_doc_id
 FROM met
 """
 
@@ -361,10 +361,11 @@ def op13_bottom_k(spark, sf_dir):
     rows = bottom_k.followed(read(spark, sf_dir, "documents"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start"))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch", "next_key")
     rows = rows.select("*", bottom_k.sketch(F.col("text")).alias("own"), bottom_k.sketch(F.col("edited")).alias("other"))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         bottom_k.as_text(F.col("own")).alias("fingerprint"), bottom_k.as_text(F.col("other")).alias("edited_fingerprint"),
         bottom_k.resemblance(F.col("own"), F.col("other")).alias("near_edited"), bottom_k.resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        F.col("next_key").alias("next_doc_id"),
     )
