@@ -38,7 +38,10 @@ from procmon.llm.common import bucketed, partitions, stored, text_bytes, whole_t
 #: Bytes of context, at most 7: a gram fits into 64 bits.
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
-_CHUNK = 1 << 20
+#: Bytes whose grams are formed at a time, and shares of a block's grams that are counted one after another.
+_CHUNK = 1 << 18
+PASSES = 8
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MARK = 255
 #: First byte of a key: a word, the end of a text, a gram, the number of tokens, the number of different tokens.
 WORD, END, GRAM, TOKENS, TYPES = b"w", b"e", b"g", b"n", b"v"
@@ -47,35 +50,40 @@ WORD, END, GRAM, TOKENS, TYPES = b"w", b"e", b"g", b"n", b"v"
 # ------------------------------------------------------------------ texts of a block
 
 
+def _rolled(laid: np.ndarray) -> np.ndarray:
+    """The gram that ends at each byte from the one at DEPTH on."""
+    n = len(laid) - DEPTH
+    gram = np.zeros(n, np.uint64)
+    for k in range(DEPTH + 1):
+        gram <<= np.uint64(8)
+        gram |= laid[k : k + n]
+    return gram
+
+
 def grams_of(data: np.ndarray, at: np.ndarray):
-    """For parts of the texts: (gram of each byte and end mark, number of the text it belongs to)."""
-    n = len(at) - 1
-    lengths = np.diff(at)
-    # Each text is laid out after DEPTH marks and is followed by one.
-    starts = np.concatenate([[0], np.cumsum(lengths + DEPTH + 1)])
-    laid = np.full(starts[-1], MARK, np.uint8)
-    text = np.ones(starts[-1], bool)
-    for k in range(DEPTH):
-        text[starts[:-1] + k] = False
-    # End marks are left out only while the bytes are filled in.
-    text[starts[1:] - 1] = False
-    laid[text] = data
-    text[starts[1:] - 1] = True
-    ends = np.cumsum(lengths + 1)
-    seen = 0
-    for low in range(0, len(laid), _CHUNK):
-        piece = laid[max(0, low - DEPTH) : low + _CHUNK]
-        first = low - max(0, low - DEPTH)
-        gram = np.zeros(len(piece) - first, np.uint64)
-        for k in range(DEPTH + 1):
-            back = DEPTH - k
-            byte = piece[first - back : len(piece) - back] if first >= back else np.concatenate([np.full(back - first, MARK, np.uint8), piece[: len(piece) - back]])
-            gram = (gram << np.uint64(8)) | byte
-        gram = gram[text[low : low + _CHUNK]]
-        a, b = np.searchsorted(ends, [seen, seen + len(gram) - 1], "right")
-        inside = np.diff(np.clip(np.concatenate([[seen], ends[a : b + 1]]), seen, seen + len(gram)))
-        yield gram, np.repeat(np.arange(a, b + 1, dtype=np.int32), inside)
-        seen += len(gram)
+    """For some texts at a time, or parts of a giant one: (gram of each byte and end mark, number of the text it belongs to)."""
+    n, i = len(at) - 1, 0
+    while i < n:
+        j = min(int(np.searchsorted(at, at[i] + _CHUNK, "right")) - 1, i + _CHUNK // 8, n)
+        if j > i:
+            lengths = np.diff(at[i : j + 1])
+            # Each text is laid out after DEPTH marks and is followed by one.
+            starts = np.concatenate([[0], np.cumsum(lengths + DEPTH + 1)])
+            laid, kept = np.full(starts[-1], MARK, np.uint8), np.ones(starts[-1], bool)
+            for k in range(DEPTH):
+                kept[starts[:-1] + k] = False
+            text = kept.copy()
+            text[starts[1:] - 1] = False
+            laid[text] = data[at[i] : at[j]]
+            yield _rolled(laid)[kept[DEPTH:]], np.repeat(np.arange(i, j, dtype=np.int32), lengths + 1)
+            i = j
+            continue
+        own = data[at[i] : at[i + 1]]
+        for low in range(0, len(own) + 1, _CHUNK):
+            high = min(len(own) + 1, low + _CHUNK)
+            before, after = np.full(max(0, DEPTH - low), MARK, np.uint8), np.full(high - min(high, len(own)), MARK, np.uint8)
+            yield _rolled(np.concatenate([before, own[max(0, low - DEPTH) : high], after])), np.full(high - low, i, np.int32)
+        i += 1
 
 
 def _packed(grams: np.ndarray) -> pa.Array:
@@ -98,18 +106,29 @@ def _asked(batches_in):
     for batch in batches_in:
         for row in range(batch.num_rows):
             held = blocks.column(batch, row, "held_out").to_numpy(zero_copy_only=False).astype(bool)
-            yield from _keys(batch.column("block")[row].as_py(), *blocks.texts(batch, row), held).to_batches(max_chunksize=1 << 16)
+            block = batch.column("block")[row].as_py()
+            for keys, n in _keys(*blocks.texts(batch, row), held):
+                for low in range(0, len(n), 1 << 16):
+                    part = n[low : low + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), block, np.int64)), keys[low : low + len(part)], pa.array(part)], ["block", "key", "n"]
+                    )
 
 
-def _keys(block: int, data: np.ndarray, at: np.ndarray, held: np.ndarray) -> pa.Table:
+def _keys(data: np.ndarray, at: np.ndarray, held: np.ndarray):
+    """(keys, counts) of a block: its grams in PASSES shares, one after the other, then its words."""
     taught = ~held
-    found, counts = [], []
-    for gram, owner in grams_of(data, at):
-        codes, distinct = pd.factorize(gram)
-        found.append(distinct)
-        counts.append(np.bincount(codes, weights=taught[owner], minlength=len(distinct)))
-    codes, grams = pd.factorize(np.concatenate(found))
-    grams_n = np.bincount(codes, weights=np.concatenate(counts)).astype(np.int64)
+    for share in range(PASSES):
+        found, counts = [], []
+        for gram, owner in grams_of(data, at):
+            mine = gram * _SPREAD >> np.uint64(48) & np.uint64(PASSES - 1) == share
+            codes, distinct = pd.factorize(gram[mine])
+            found.append(distinct)
+            counts.append(np.bincount(codes, weights=taught[owner[mine]], minlength=len(distinct)).astype(np.int32))
+        codes, grams = pd.factorize(np.concatenate(found))
+        n = np.bincount(codes, weights=np.concatenate(counts)).astype(np.int64)
+        del found, counts, codes
+        yield _packed(grams), n
 
     words: Counter = Counter()
     tokens = 0
@@ -122,32 +141,28 @@ def _keys(block: int, data: np.ndarray, at: np.ndarray, held: np.ndarray) -> pa.
             # Named with a count of zero.
             words.update(dict.fromkeys(split, 0))
     listed = [WORD + w for w in words] + [END, TOKENS, TYPES]
-    words_n = np.fromiter(words.values(), np.int64, len(words))
-    words_n = np.append(words_n, [int(taught.sum()), tokens, 0])
-    del words
-    keys = pa.concat_arrays([pa.array(listed, pa.binary()), _packed(grams)])
-    n = np.concatenate([words_n, grams_n])
-    return pa.table({"block": pa.array(np.full(len(n), block, np.int64)), "key": keys, "n": pa.array(n)})
+    yield pa.array(listed, pa.binary()), np.append(np.fromiter(words.values(), np.int64, len(words)), [int(taught.sum()), tokens, 0])
 
 
 def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
     """The documents of one block, from the value of every key it named."""
-    keys, value = values.column("key").combine_chunks(), np.asarray(values.column("value"), float)
-    keys = keys if isinstance(keys, pa.Array) else pa.concat_arrays(keys.chunks)
-    size = np.diff(text_bytes(keys)[1])
-    data, at = text_bytes(keys)
-    kind = data[at[:-1]] if len(size) else np.zeros(0, np.uint8)
-    is_gram = kind == GRAM[0]
-    grams, cost = _unpacked(keys.filter(pa.array(is_gram))), value[is_gram]
+    grams, cost, named = [], [], {}
+    for part in values.select(["key", "value"]).to_batches():
+        keys, value = part.column("key"), np.asarray(part.column("value"), float)
+        raw, start = text_bytes(keys)
+        is_gram = raw[start[:-1]] == GRAM[0] if len(value) else np.zeros(0, bool)
+        grams.append(_unpacked(keys.filter(pa.array(is_gram))))
+        cost.append(value[is_gram])
+        named.update(zip(keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist()))
+    grams, cost = np.concatenate(grams), np.concatenate(cost)
     order = np.argsort(grams)
     grams, cost = grams[order], cost[order]
-    words, counts = keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram]
-    tokens, types, ends = (float(counts[words.index(k)]) for k in (TOKENS, TYPES, END))
+    del order
+    tokens, types, ends = (named.pop(k) for k in (TOKENS, TYPES, END))
     # Logarithm of each word's count and a half; one value stands for the words that were never taught.
     unknown = math.log10(0.5)
-    known = np.where(counts > 0, np.log10(counts + 0.5), unknown).tolist()
-    logs = {k[1:]: v for k, v in zip(words, known) if k[:1] == WORD}
-    del words, known
+    logs = {k[1:]: math.log10(c + 0.5) if c > 0 else unknown for k, c in named.items()}
+    del named
     end_log, scale = math.log10(ends + 0.5), math.log10(tokens + 0.5 * (types + 1))
 
     data, at = blocks.texts(block, 0)
@@ -156,7 +171,10 @@ def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
     for gram, owner in grams_of(data, at):
         codes, distinct = pd.factorize(gram)
         each = cost[np.searchsorted(grams, distinct)][codes]
-        score += np.bincount(owner, weights=each, minlength=n)
+        first = int(owner[0])
+        sums = np.bincount(owner - first, weights=each)
+        score[first : first + len(sums)] += sums
+    del grams, cost
     n_tokens, n_known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
     for i in range(n):
         each = list(map(logs.__getitem__, data[at[i] : at[i + 1]].tobytes().lower().split()))
