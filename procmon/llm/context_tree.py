@@ -14,7 +14,8 @@ corpus is broadcast or collected, and what travels is one row for each block and
     documents -> packed blocks -> (block, key, count), bucketed by key -> sums by key -> tree below two context bytes, by those two bytes
            -> levels 1 and 0 (at most 256 rows) -> value of each key -> back to the blocks -> documents
 
-Every text begins after DEPTH marks and ends with a mark, the byte 255, which UTF-8 never uses.
+Every text begins after DEPTH marks and ends with a mark, the byte 255, which UTF-8 never uses. Words meet under a 63-bit hash: of a
+billion different words, two share one with a probability of about 0.05, and then count as one word.
 
 Defined cases: a null text counts as empty and consists of its end; a null doc_id belongs to training (the
 crc32 of the empty text is 0). With no training document every bit costs one bit. Repeated rows count and
@@ -24,27 +25,30 @@ score as often as they occur. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procmon.llm import blocks
-from procmon.llm.common import bucketed, partitions, stored, text_bytes, whole_text
+from procmon.llm.common import bucketed, mix64, partitions, powers, stored, whole_text
 
-#: Bytes of context, at most 7: a gram fits into 64 bits.
+#: Bytes of context, at most 5: a gram and its place in a stretch of _CHUNK bytes fit into 64 bits.
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
 #: Bytes whose grams are formed at a time, and shares of a block's grams that are counted one after another.
-_CHUNK = 1 << 18
-PASSES = 8
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_CHUNK = 1 << 16
+PASSES = 4
 MARK = 255
-#: First byte of a key: a word, the end of a text, a gram, the number of tokens, the number of different tokens.
-WORD, END, GRAM, TOKENS, TYPES = b"w", b"e", b"g", b"n", b"v"
+#: Keys: a gram is its bytes as a number, a word is negative, and then there are the end of a text, the number of tokens and of different tokens.
+END, TOKENS, TYPES = (1 << 60) + 1, (1 << 60) + 2, (1 << 60) + 3
+_GRAMS = 1 << (8 * DEPTH + 8)
+
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE[65:91] = _BYTE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 # ------------------------------------------------------------------ texts of a block
@@ -86,19 +90,62 @@ def grams_of(data: np.ndarray, at: np.ndarray):
         i += 1
 
 
-def _packed(grams: np.ndarray) -> pa.Array:
-    """Grams as keys: GRAM and the bytes, first byte first."""
-    wide = np.empty((len(grams), DEPTH + 2), np.uint8)
-    wide[:, 0] = GRAM[0]
-    wide[:, 1:] = grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
-    return pa.Array.from_buffers(pa.binary(DEPTH + 2), len(grams), [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary())
-
-
-def _unpacked(keys: pa.Array) -> np.ndarray:
-    data, at = text_bytes(keys)
-    wide = np.zeros((len(at) - 1, 8), np.uint8)
-    wide[:, 7 - DEPTH :] = data.reshape(-1, DEPTH + 2)[:, 1:]
-    return wide.view(">u8").reshape(-1).astype(np.uint64)
+def words_of(data: np.ndarray, at: np.ndarray):
+    """For some texts at a time, or parts of a giant one: (63-bit hash of each word, A-Z lower-cased, number of the text it belongs to)."""
+    n, i = len(at) - 1, 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + 4 * _CHUNK, "right")) - 1)
+        low, last = int(at[i]), int(at[j])
+        while low < last:
+            high = min(last, low + 4 * _CHUNK)
+            if high < last:
+                # A giant text is cut at a blank, however far away that is.
+                back = np.flatnonzero(_BLANK[data[low:high]])
+                while not len(back) and high < last:
+                    high = min(last, 2 * high - low)
+                    back = np.flatnonzero(_BLANK[data[low:high]])
+                high = low + int(back[-1]) + 1 if len(back) else high
+            yield _hashed(data[low:high], np.clip(at[i : j + 1] - low, 0, high - low), i)
+            low = high
+        i = j
+
+
+def _hashed(part: np.ndarray, at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    word = ~_BLANK[part]
+    begins = np.zeros(len(part) + 1, bool)
+    begins[at] = True
+    starts = np.flatnonzero(word & (begins[:-1] | ~np.concatenate([[False], word[:-1]])))
+    ends = np.flatnonzero(word & (begins[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    up, down = powers(len(part) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64)])
+    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)) >> np.uint64(1)
+    return hashes, (first + np.searchsorted(at, starts, "right") - 1).astype(np.int32)
+
+
+def _tally(stretches, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different values, how often each stands in a training document) of stretches of (values below 2**63, text of each)."""
+    found, counts, held, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], 0
+
+    def settle() -> None:
+        marked, n = np.unique(np.concatenate(held), return_counts=True)
+        found.append(marked >> np.uint64(1))
+        counts.append(np.where(marked & np.uint64(1), n, 0).astype(np.int32))
+        held.clear()
+
+    for value, owner in stretches:
+        held.append((value << np.uint64(1)) | taught[owner])
+        size += len(value)
+        if size > 1 << 19:
+            settle()
+            size = 0
+    if held:
+        settle()
+    value, n = np.concatenate(found), np.concatenate(counts)
+    del found, counts
+    order = np.argsort(value)
+    value, n = value[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    return value[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _asked(batches_in):
@@ -111,79 +158,70 @@ def _asked(batches_in):
                 for low in range(0, len(n), 1 << 16):
                     part = n[low : low + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), block, np.int64)), keys[low : low + len(part)], pa.array(part)], ["block", "key", "n"]
+                        [pa.array(np.full(len(part), block, np.int64)), pa.array(keys[low : low + len(part)]), pa.array(part)], ["block", "key", "n"]
                     )
 
 
 def _keys(data: np.ndarray, at: np.ndarray, held: np.ndarray):
-    """(keys, counts) of a block: its grams in PASSES shares, one after the other, then its words."""
+    """(keys, counts) of a block: its grams in PASSES shares, one after the other, then its words and sums."""
     taught = ~held
+    flags = taught.astype(np.uint64)
     for share in range(PASSES):
-        found, counts = [], []
-        for gram, owner in grams_of(data, at):
-            mine = gram * _SPREAD >> np.uint64(48) & np.uint64(PASSES - 1) == share
-            codes, distinct = pd.factorize(gram[mine])
-            found.append(distinct)
-            counts.append(np.bincount(codes, weights=taught[owner[mine]], minlength=len(distinct)).astype(np.int32))
-        codes, grams = pd.factorize(np.concatenate(found))
-        n = np.bincount(codes, weights=np.concatenate(counts)).astype(np.int64)
-        del found, counts, codes
-        yield _packed(grams), n
-
-    words: Counter = Counter()
-    tokens = 0
-    for i, teaches in enumerate(taught):
-        split = data[at[i] : at[i + 1]].tobytes().lower().split()
-        if teaches:
-            words.update(split)
-            tokens += len(split) + 1
-        else:
-            # Named with a count of zero.
-            words.update(dict.fromkeys(split, 0))
-    listed = [WORD + w for w in words] + [END, TOKENS, TYPES]
-    yield pa.array(listed, pa.binary()), np.append(np.fromiter(words.values(), np.int64, len(words)), [int(taught.sum()), tokens, 0])
+        # Shares follow the low bits of the last byte and of the one before it.
+        of_share = ((g[m], o[m]) for g, o in grams_of(data, at) for m in [((g ^ (g >> np.uint64(8))) & np.uint64(PASSES - 1)) == share])
+        grams, n = _tally(of_share, flags)
+        yield grams.view(np.int64), n
+    words, n = _tally(words_of(data, at), flags)
+    yield -1 - words.view(np.int64), n
+    ends = int(taught.sum())
+    yield np.array([END, TOKENS, TYPES]), np.array([ends, int(n.sum()) + ends, 0])
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of keys that are all known; `keys` is rising."""
+    return values[np.searchsorted(keys, wanted)]
 
 
 def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
     """The documents of one block, from the value of every key it named."""
-    grams, cost, named = [], [], {}
-    for part in values.select(["key", "value"]).to_batches():
-        keys, value = part.column("key"), np.asarray(part.column("value"), float)
-        raw, start = text_bytes(keys)
-        is_gram = raw[start[:-1]] == GRAM[0] if len(value) else np.zeros(0, bool)
-        grams.append(_unpacked(keys.filter(pa.array(is_gram))))
-        cost.append(value[is_gram])
-        named.update(zip(keys.filter(pa.array(~is_gram)).to_pylist(), value[~is_gram].tolist()))
-    grams, cost = np.concatenate(grams), np.concatenate(cost)
-    order = np.argsort(grams)
-    grams, cost = grams[order], cost[order]
+    key, value = np.asarray(values.column("key")), np.asarray(values.column("value"), float)
+    order = np.argsort(key)
+    key, value = key[order], value[order]
     del order
-    tokens, types, ends = (named.pop(k) for k in (TOKENS, TYPES, END))
-    # Logarithm of each word's count and a half; one value stands for the words that were never taught.
-    unknown = math.log10(0.5)
-    logs = {k[1:]: math.log10(c + 0.5) if c > 0 else unknown for k, c in named.items()}
-    del named
+    # Rising: words, grams, then the three sums.
+    low = int(np.searchsorted(key, 0))
+    words, counts, grams, cost = key[:low], value[:low], key[low:-3].view(np.uint64), value[low:-3]
+    ends, tokens, types = value[-3:]
+    logs, known = np.log10(counts + 0.5), counts > 0
     end_log, scale = math.log10(ends + 0.5), math.log10(tokens + 0.5 * (types + 1))
 
     data, at = blocks.texts(block, 0)
     n = len(at) - 1
-    score = np.zeros(n)
+    score, base, n_tokens, n_known = (np.zeros(n) for _ in range(4))
+
+    def add(sums: np.ndarray, owner: np.ndarray, each: np.ndarray | None = None) -> None:
+        if len(owner):
+            first = int(owner.min())
+            part = np.bincount(owner - first, weights=each)
+            sums[first : first + len(part)] += part
+
     for gram, owner in grams_of(data, at):
-        codes, distinct = pd.factorize(gram)
-        each = cost[np.searchsorted(grams, distinct)][codes]
-        first = int(owner[0])
-        sums = np.bincount(owner - first, weights=each)
-        score[first : first + len(sums)] += sums
-    del grams, cost
-    n_tokens, n_known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    for i in range(n):
-        each = list(map(logs.__getitem__, data[at[i] : at[i + 1]].tobytes().lower().split()))
-        n_tokens[i] = len(each) + 1
-        n_known[i] = len(each) - each.count(unknown) + (ends > 0)
-        base[i] = sum(each) + end_log - n_tokens[i] * scale
+        # Sorted together with their places, equal grams are looked up once and one after another.
+        sorted_ = np.sort((gram << np.uint64(16)) | np.arange(len(gram), dtype=np.uint64))
+        place, gram = (sorted_ & np.uint64(0xFFFF)).astype(np.int64), sorted_ >> np.uint64(16)
+        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        add(score, owner[place], _found(grams, cost, gram[new])[np.cumsum(new) - 1])
+    for word, owner in words_of(data, at):
+        where = np.searchsorted(words, -1 - word.view(np.int64))
+        add(base, owner, logs[where])
+        add(n_tokens, owner)
+        add(n_known, owner, known[where])
+    n_tokens += 1
+    n_known += ends > 0
+    base += end_log - n_tokens * scale
     return pa.table({
-        "doc_id": blocks.column(block, 0, "doc_id"), "held_out": blocks.column(block, 0, "held_out"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, int(tokens), np.int64)),
-        "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(np.diff(at)),
+        "doc_id": blocks.column(block, 0, "doc_id"), "held_out": blocks.column(block, 0, "held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
+        "train_tokens": pa.array(np.full(n, int(tokens), np.int64)), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(np.diff(at)),
     })
 
 
@@ -273,7 +311,7 @@ def _nodes(levels: dict, bit: int):
 
 def _tops(key: tuple, rows: pa.Table) -> pa.Table:
     """For a nearest context byte and a prefix: the counts, and the summed log probability of depth 2."""
-    levels, _ = _levels(_unpacked(rows.column("key").combine_chunks()), np.asarray(rows.column("n"), float))
+    levels, _ = _levels(np.asarray(rows.column("key")).astype(np.uint64), np.asarray(rows.column("n"), float))
     tops = []
     for bit in range(8):
         _, first, _, a, b, mass, _ = _nodes(levels, bit)[2]
@@ -286,8 +324,8 @@ def _tops(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _subtrees(key: tuple, rows: pa.Table) -> pa.Table:
     """For a gram: `q`, the probability of each of its bits given that the mixture goes on to depth 2."""
-    keys = rows.column("key").combine_chunks()
-    levels, order = _levels(_unpacked(keys), np.asarray(rows.column("n"), float))
+    keys = np.asarray(rows.column("key"))
+    levels, order = _levels(keys.astype(np.uint64), np.asarray(rows.column("n"), float))
     q = np.empty((len(order), 8))
     for bit in range(8):
         # From the nearest bytes outwards: what the mixture has gathered, and the share that goes on.
@@ -306,7 +344,7 @@ def _subtrees(key: tuple, rows: pa.Table) -> pa.Table:
     codes = levels[DEPTH][0]
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, 8, dtype=np.int32)), pa.array(q.reshape(-1)))
     near, symbol = (codes >> np.uint64(8 * DEPTH)).astype(np.int64), (codes & np.uint64(255)).astype(np.int64)
-    return pa.table({"key": keys.take(pa.array(order)), "near": pa.array(near), "symbol": pa.array(symbol), "q": lists})
+    return pa.table({"key": pa.array(keys[order]), "near": pa.array(near), "symbol": pa.array(symbol), "q": lists})
 
 
 def _crown(rows: pa.Table) -> pa.Table:
@@ -338,12 +376,11 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), whole_text(text).alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
     packed = stored(blocks.pack(own, BLOCK_BYTES), "blocks")
-    asked = bucketed(packed.mapInArrow(_asked, "block long, key binary, n long"), "key")
-    kind = lambda k: F.substring("key", 1, 1) == F.lit(k)
+    asked = bucketed(packed.mapInArrow(_asked, "block long, key long, n long"), "key")
     sums = asked.groupBy("key").agg(F.sum("n").alias("n"))
 
-    grams = sums.where(kind(GRAM)).withColumn("part", F.pmod(F.xxhash64(F.substring("key", DEPTH, 2)), F.lit(8 * parts)))
-    tree = grams.groupBy("part").applyInArrow(_subtrees, "key binary, near long, symbol long, q array<double>")
+    grams = sums.where(f"key between 0 and {_GRAMS - 1}").withColumn("part", F.expr(f"pmod(xxhash64(shiftright(key, 8) & 65535), {8 * parts})"))
+    tree = grams.groupBy("part").applyInArrow(_subtrees, "key long, near long, symbol long, q array<double>")
     tops = grams.groupBy("part").applyInArrow(_tops, "near long, prefix long, a double, b double, mass double")
     tops = tops.groupBy("near", "prefix").agg(*[F.sum(c).alias(c) for c in ("a", "b", "mass")])
     crown = tops.groupBy(F.lit(0).alias("all")).applyInArrow(_crown, "near long, c0 array<double>, c1 array<double>")
@@ -351,7 +388,7 @@ def score_documents(docs: DataFrame, held_out: str, text: str = "text", key: str
     joined = tree.join(F.broadcast(crown), "near")
     bits = [f"log10(c0[cast({2 << b} + (symbol >> {7 - b}) as int)] + c1[cast({2 << b} + (symbol >> {7 - b}) as int)] * q[{b}])" for b in range(8)]
     gram_values = joined.select("key", F.expr(" + ".join(bits)).alias("value"))
-    counted = asked.where(kind(WORD) | kind(END)).groupBy("key").agg(F.sum("n").alias("n"))
+    counted = asked.where(f"key < 0 or key = {END}").groupBy("key").agg(F.sum("n").alias("n"))
     types = counted.where("n > 0").agg(F.count("*").cast("double").alias("value")).select(F.lit(TYPES).alias("key"), "value")
     # Words, the end and the number of tokens have their sums as value.
     values = sums.join(gram_values.union(types), "key", "left").select("key", F.coalesce("value", F.col("n").cast("double")).alias("value"))
