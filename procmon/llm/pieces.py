@@ -10,7 +10,7 @@ state at every boundary of the best path; then each chunk is traced back alone f
 
 Byte-pair models (the public one at hand is such a model) do not maximise a sum: they merge by rank, and the best
 sum is another segmentation for most texts. Their chunks are cut where no piece can reach across, before a single
-blank between two other characters; a boundary has one state, the matrices are 1 x 1, and the pieces of the chunks
+blank between two other characters; a boundary has one state, so no matrices are needed, and the pieces of the chunks
 follow each other. Where no such place comes up for long, the chunk grows: whole words are never cut.
 
 Defined cases: a null text counts as empty and has no pieces. Characters outside the vocabulary become bytes if the
@@ -20,6 +20,7 @@ normalisation changes it (the mark U+2581 becomes a blank). Repeated rows are en
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -59,7 +60,8 @@ class Pieces:
             elif kinds and p.type == kinds.UNKNOWN:
                 self.table.append(spec.trainer_spec.unk_surface.encode())
             else:
-                self.scores[p.piece] = (p.score, i)
+                if self.unigram:
+                    self.scores[p.piece] = (p.score, i)
                 self.table.append(p.piece.replace(BLANK, " ").encode())
         self.longest = max(map(len, self.scores), default=1)
         self.least = min((s for s, _ in self.scores.values()), default=0.0) - _UNKNOWN_PENALTY
@@ -76,6 +78,10 @@ class Pieces:
             data = data[1:]
         return data.decode("utf-8", "replace")
 
+    def digest(self, ids) -> str:
+        """SHA-256 of the text that the ids decode to."""
+        return hashlib.sha256(self.decode(ids).encode()).hexdigest()
+
     # -- unigram chunks; a chunk is (its characters and those a piece may reach into, its own length)
 
     def normalised(self, text: str) -> str:
@@ -172,8 +178,11 @@ def cuts(text: str, chunk: int = CHUNK) -> list[str]:
     return [*out, text[start:]]
 
 
-def encode(docs: DataFrame, proto: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK) -> DataFrame:
-    """The kept columns with `ids`."""
+def encode(
+    docs: DataFrame, proto: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, digest: str | None = None
+) -> DataFrame:
+    """The kept columns with `ids`; `digest` names a further column with the SHA-256 of the text that the ids decode to."""
+    unigram = _pieces(proto).unigram
     spark: SparkSession = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(proto)
@@ -184,8 +193,18 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", keep: tuple[str, .
     def whole(rows):
         pieces = _pieces(shared.value)
         for batch in rows:
-            ids = [i for part in slices(batch.column("_text").to_pylist(), 1 << 20) for i in pieces.encode(part)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+            for low, part in slices_of(batch.column("_text"), 1 << 18):
+                ids = pieces.encode(part)
+                told = [pa.array(list(map(pieces.digest, ids)), pa.string())] if digest else []
+                own = [c.slice(low, len(part)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ids, pa.list_(pa.int32())), *told], [*names, "ids", *["_digest"] * len(told)])
+
+    def digests(rows):
+        pieces = _pieces(shared.value)
+        for batch in rows:
+            for i in range(batch.num_rows):
+                told = pa.array([pieces.digest(batch.column("ids")[i].values.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), told], [*batch.schema.names, "_digest"])
 
     def split(rows):
         pieces = _pieces(shared.value)
@@ -204,18 +223,14 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", keep: tuple[str, .
     def matrices(rows):
         pieces = _pieces(shared.value)
         for batch in rows:
-            found = [
-                pieces.matrix(p, n).tobytes() if pieces.unigram else b""
-                for p, n in zip(batch.column("part").to_pylist(), batch.column("own").to_pylist())
-            ]
+            found = [pieces.matrix(p, n).tobytes() for p, n in zip(batch.column("part").to_pylist(), batch.column("own").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("no"), pa.array(found, pa.binary())], ["_row", "no", "matrix"])
 
     def states(rows):
         width = _pieces(shared.value).longest
         for batch in rows:
             for row, of in enumerate(batch.column("chunks").to_pylist()):
-                one = [np.frombuffer(c["matrix"]).reshape(width, width) if c["matrix"] else np.zeros((1, 1)) for c in of]
-                at = boundary_states(one)
+                at = boundary_states([np.frombuffer(c["matrix"]).reshape(width, width) for c in of])
                 yield pa.RecordBatch.from_pydict({
                     "_row": pa.array([batch.column("_row")[row].as_py()] * len(of), pa.string()), "no": [c["no"] for c in of], "entry": at[:-1], "leave": at[1:],
                 })
@@ -223,20 +238,37 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", keep: tuple[str, .
     def traced(rows):
         pieces = _pieces(shared.value)
         for batch in rows:
-            columns = [batch.column(c).to_pylist() for c in ("part", "own", "entry", "leave")]
-            ids = [pieces.trace(*c) for c in zip(*columns)] if pieces.unigram else pieces.encode(columns[0])
+            if pieces.unigram:
+                columns = [batch.column(c).to_pylist() for c in ("part", "own", "entry", "leave")]
+                ids = [pieces.trace(*c) for c in zip(*columns)]
+            else:
+                ids = pieces.encode(batch.column("part").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("no"), pa.array(ids, pa.list_(pa.int32()))], ["_row", "no", "ids"])
 
-    short = own.where(F.length("_text") <= chunk).mapInArrow(whole, f"{fields}, ids array<int>")
+    coded = "ids array<int>, _digest string" if digest else "ids array<int>"
+    short = own.where(F.length("_text") <= chunk).mapInArrow(whole, f"{fields}, {coded}")
     # Giant texts: equal ones are encoded once, under the digest of the text.
     giant = own.where(F.length("_text") > chunk).withColumn("_row", F.sha2(F.col("_text").cast("binary"), 256))
     n = partitions(spark)
     chunks = giant.dropDuplicates(["_row"]).select("_row", "_text").mapInArrow(split, "_row string, no long, part string, own long").repartition(n, "_row", "no")
-    solved = chunks.mapInArrow(matrices, "_row string, no long, matrix binary").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "matrix"))).alias("chunks"))
-    known = chunks.join(solved.mapInArrow(states, "_row string, no long, entry long, leave long"), ["_row", "no"])
-    parts = known.mapInArrow(traced, "_row string, no long, ids array<int>").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p"))
-    long = giant.select(*names, "_row").join(parts.select("_row", F.flatten("p.ids").alias("ids")), "_row").select(*names, "ids")
-    return short.unionByName(long).withColumnsRenamed(dict(zip(names, keep)))
+    if unigram:
+        solved = chunks.mapInArrow(matrices, "_row string, no long, matrix binary").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "matrix"))).alias("chunks"))
+        chunks = chunks.join(solved.mapInArrow(states, "_row string, no long, entry long, leave long"), ["_row", "no"])
+    # A boundary of a byte-pair model has one state: its chunks need no matrices.
+    parts = chunks.mapInArrow(traced, "_row string, no long, ids array<int>").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p"))
+    found = parts.select("_row", F.flatten("p.ids").alias("ids"))
+    if digest:
+        found = found.mapInArrow(digests, f"_row string, {coded}")
+    long = giant.select(*names, "_row").join(found, "_row").drop("_row")
+    return short.unionByName(long).withColumnsRenamed(dict(zip(names, keep)) | ({"_digest": digest} if digest else {}))
+
+
+def slices_of(texts: pa.Array, limit: int):
+    """(number of the first, texts) in lists of about `limit` characters; a longer text comes alone."""
+    low = 0
+    for part in slices(texts.to_pylist(), limit):
+        yield low, part
+        low += len(part)
 
 
 def decode(coded: DataFrame, proto: bytes, ids: str = "ids", out: str = "text") -> DataFrame:

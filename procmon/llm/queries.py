@@ -206,9 +206,8 @@ def op8_repeats(spark, sf_dir):
 
 def coded(docs, keep=("doc_id",)):
     """Ids of all texts, their number, and the SHA-256 of the text that the ids decode to."""
-    proto = pieces.model_bytes()
-    back = pieces.decode(pieces.encode(docs, proto, keep=keep), proto, out="decoded")
-    return back.select(*keep, "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    rows = pieces.encode(docs, pieces.model_bytes(), keep=keep, digest="decoded_sha256")
+    return rows.select(*keep, "ids", F.size("ids").alias("n_ids"), "decoded_sha256")
 
 
 @query("op5_pieces")
