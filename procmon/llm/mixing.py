@@ -1,20 +1,14 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-Every source is cut into blocks of `block_docs` documents. Time runs in slots of one block. A source
-with `a` of the `L` blocks of a cycle gives its k-th block (from 0) the release time floor(k L / a)
-and the deadline ceil((k + 1) L / a); in each slot the released block with the earliest deadline
-runs. This keeps every source less than one block from its share of the slots at all times.
-
-Shares are whole numbers, so the deviation is zero at the end of every cycle and all cycles with the
-same shares look the same: one cycle per set of shares is scheduled, by a fold over its slots, and
-all others are copies of it. A source that runs out takes a last smaller share and then none; the
-others keep theirs. No document is dropped or repeated.
-
-Rounded shares are at least one block a cycle and up to half a block off, which adds up over the cycles and is coarse
-for many sources. With `cycle=None` (`exact`) nothing is rounded: a source's weight is a whole number `a` of about
-2**31 parts, its windows are floor(k L / a) and ceil((k + 1) L / a) with L the sum over the sources that still have blocks,
-and one fold goes over all slots. Where a source runs out, the others' windows start anew from there. Up to then and
-between such slots every source is less than one block from its target. A source without a weight counts as one part.
+Every source is cut into blocks of `block_docs` documents. Time runs in slots of one block. A source's weight is a whole number `a` of about
+2**31 parts; its k-th block (from 0) has the release time floor(k L / a) and the deadline ceil((k + 1) L / a), with L the sum over the
+sources that still have blocks, and in each slot the released block with the earliest deadline runs (of equal ones that of the source that is smaller as text).
+Where a source runs out, the others' windows start anew from there with the smaller sum. Up to then and between such slots every source
+is less than one block from its target at every slot. No document is dropped or repeated. A source without a weight counts as one part.
+
+The schedule is a fold over the slots, because each turn depends on those before. It goes in steps of STEP slots: a step reads one row, the blocks that
+each source has had, and writes its turns and the next such row. So no row grows with the table, and a lost step is done again by itself. Turns are
+numbers of blocks; documents never pass through the fold.
 
 A document's place within its source follows from the MD5 of its doc_id. Rows are numbered within
 (source, leading digits of the MD5) and lifted by the counts of the smaller digits, so a source that
@@ -22,40 +16,28 @@ holds most rows is spread like the others.
 
 Defined cases: a null source is a source of its own; null and repeated doc_ids are ordinary rows (their
 order among themselves is open); sources without a given weight, or with one of zero or less, get the
-smallest share, one block a cycle; weights of absent sources have no effect; an empty table gives no rows.
+smallest weight, one part; weights of absent sources have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procmon.llm.common import partitions
+from procmon.llm.common import partitions, shared_folder, stored
 
-#: Blocks in a cycle, before every source has at least one, and documents in a block.
-CYCLE = 400
+#: Documents in a block.
 BLOCK_DOCS = 16
-#: Unrounded weights are whole numbers of so many parts; turns are gathered in stretches of so many slots.
+#: Weights are whole numbers of so many parts.
 PARTS = 1 << 31
-STRETCH = 512
+#: Slots folded in one step, and slots whose turns are gathered at a time, so that none is copied more often than that.
+STEP = 1 << 16
+STRETCH = 256
 #: Without weights a source counts by its number of documents to this power.
 POWER = 0.5
 
-def _fold() -> Column:
-    """The sources' numbers in the order of their turns within a cycle."""
-    chosen = """array_min(transform(shares, (a, i) -> if(s.done[i] < a and (s.done[i] * total) div a <= t,
-      named_struct('deadline', ((s.done[i] + 1) * total + a - 1) div a, 'i', i),
-      named_struct('deadline', 9223372036854775807L, 'i', i)))).i"""
-    return F.expr(f"""
-      aggregate(
-        sequence(0L, total - 1),
-        named_struct('done', transform(shares, a -> 0L), 'turns', cast(array() as array<int>)),
-        (s, t) -> transform(array({chosen}), p -> named_struct(
-          'done', transform(s.done, (d, i) -> if(i = p, d + 1, d)), 'turns', concat(s.turns, array(p))))[0],
-        s -> s.turns)""")
-
 
 def _weighed(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     """`sources` with the weight of each and the sum of all."""
@@ -67,55 +49,19 @@ def _weighed(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     return sources.withColumn("weight", weight).withColumn("sum", F.sum("weight").over(Window.partitionBy(F.lit(1))))
 
 
-def _shares(sources: DataFrame, weights: dict[str, float] | None, cycle: int) -> DataFrame:
-    """(source, n_blocks, share); the shares of a cycle are at least one block each."""
-    whole = _weighed(sources, weights)
-    share = F.greatest(F.lit(1), F.round(F.try_divide("weight", "sum") * cycle)).cast("long")
-    return whole.select("source", "n_blocks", F.coalesce(share, F.lit(1).cast("long")).alias("share"))
-
-
-def cycles(shares: DataFrame) -> DataFrame:
-    """(source, share, first, base, length, turns): the kinds of cycle, in order, as seen by each source.
-
-    first: number of the first cycle of each kind; base: slot at which that cycle starts; length: slots
-    in a cycle; turns: slots of the source's blocks within a cycle. One row per source, and as many
-    entries as there are kinds: at most two per source and one more.
-    """
-    all_sources = shares.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "n_blocks", "share"))).alias("s")).where("size(s) > 0")
-    events = all_sources.select(
-        "s", F.explode(F.expr("array_distinct(concat(array(0L), transform(s, x -> x.n_blocks div x.share), transform(s, x -> x.n_blocks div x.share + 1)))")).alias("first")
-    )
-    kinds = (
-        events.withColumn("shares", F.expr("transform(s, x -> greatest(0L, least(x.share, x.n_blocks - first * x.share)))"))
-        .withColumn("total", F.expr("aggregate(shares, 0L, (t, a) -> t + a)"))
-        .where("total > 0")
-        .withColumn("base", F.expr("aggregate(s, 0L, (t, x) -> t + least(x.n_blocks, first * x.share))"))
-        .repartition(partitions(shares.sparkSession), "first")
-        .withColumn("turns", _fold())
-    )
-    own = kinds.select("first", "base", "total", "turns", F.posexplode("s").alias("i", "x")).select(
-        F.col("x.source").alias("source"), F.col("x.share").alias("share"),
-        F.struct(
-            "first", "base", F.col("total").alias("length"),
-            F.expr("filter(transform(turns, (p, t) -> if(p = i, t, -1)), t -> t >= 0)").alias("turns"),
-        ).alias("kind"),
-    )
-    return own.groupBy("source", "share").agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
-
-
-def exact(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
-    """(source, block, slot) of all blocks of `sources` (source, n_docs, n_blocks), by unrounded weights."""
+def schedule(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """(source, block, slot) of all blocks of `sources` (source, n_docs, n_blocks)."""
+    spark = sources.sparkSession
     whole = _weighed(sources, weights)
     part = F.greatest(F.lit(1), F.round(F.try_divide("weight", "sum") * PARTS)).cast("long")
     whole = whole.select("source", "n_blocks", F.coalesce(part, F.lit(1).cast("long")).alias("a"))
     one = whole.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "n_blocks", "a"))).alias("s")).where("size(s) > 0")
-    one = one.withColumn("slots", F.expr("aggregate(s, 0L, (t, x) -> t + x.n_blocks)"))
-    # State: blocks done of each source, and since the last source ran out: the slot, the blocks done then, the sum of the parts.
+    # State: blocks done of each source; and since the last source ran out: the slot, the blocks done then, the sum of the parts.
+    state = stored(one.select("s", F.expr("aggregate(s, 0L, (t, x) -> t + x.n_blocks)").alias("slots"), F.expr("""named_struct(
+      'done', transform(s, x -> 0L), 'had', transform(s, x -> 0L), 'since', 0L, 'total', aggregate(s, 0L, (y, x) -> y + x.a))""").alias("state")), "schedule")
     chosen = """array_min(transform(s, (x, i) -> if(c.done[i] < x.n_blocks and ((c.done[i] - c.had[i]) * c.total) div x.a <= t - c.since,
       named_struct('deadline', ((c.done[i] - c.had[i] + 1) * c.total + x.a - 1) div x.a, 'i', i),
       named_struct('deadline', 9223372036854775807L, 'i', i)))).i"""
-    begin = """named_struct('done', transform(s, x -> 0L), 'had', transform(s, x -> 0L), 'since', 0L,
-      'total', aggregate(s, 0L, (y, x) -> y + x.a), 'turns', cast(array() as array<struct<i: int, block: bigint>>))"""
     # One slot: the chosen source is p, its blocks done so far are at most one short of all where it runs out.
     turn = f"""transform(array({chosen}), p -> transform(array(transform(c.done, (d, i) -> if(i = p, d + 1, d))), done ->
       if(done[p] < s[p].n_blocks,
@@ -123,20 +69,28 @@ def exact(sources: DataFrame, weights: dict[str, float] | None) -> DataFrame:
         named_struct('done', done, 'had', done, 'since', t + 1,
           'total', aggregate(zip_with(s, done, (x, d) -> if(d < x.n_blocks, x.a, 0L)), 0L, (y, a) -> y + a),
           'turns', concat(c.turns, array(named_struct('i', p, 'block', c.done[p])))))))[0][0]"""
-    # Turns are gathered in stretches, so that none is copied more than STRETCH times.
-    stretch = f"aggregate(sequence(low, least(low + {STRETCH}, slots) - 1), o.state, (c, t) -> {turn})"
-    empty = "named_struct('done', r.done, 'had', r.had, 'since', r.since, 'total', r.total, 'turns', cast(array() as array<struct<i: int, block: bigint>>))"
-    folded = one.withColumn("turns", F.expr(f"""
-      aggregate(sequence(0L, slots - 1, {STRETCH}L), named_struct('state', {begin}, 'all', cast(array() as array<array<struct<i: int, block: bigint>>>)),
-        (o, low) -> transform(array({stretch}), r -> named_struct('state', {empty}, 'all', concat(o.all, array(r.turns))))[0], o -> o.all)"""))
-    stretches = folded.select("s", F.posexplode("turns").alias("_k", "_of"))
-    each = stretches.select("s", "_k", F.posexplode("_of").alias("_t", "turn"))
-    return each.select(F.expr("s[turn.i].source").alias("source"), F.col("turn.block").alias("block"), (F.col("_k") * F.lit(STRETCH).cast("long") + F.col("_t")).alias("slot"))
+    none = "cast(array() as array<struct<i: int, block: bigint>>)"
+    with_turns = f"named_struct('done', o.state.done, 'had', o.state.had, 'since', o.state.since, 'total', o.state.total, 'turns', {none})"
+    bare = "named_struct('done', r.done, 'had', r.had, 'since', r.since, 'total', r.total)"
+    found = state.select("slots").first()
+    folder, slots = shared_folder(spark, "turns"), found["slots"] if found else 0
+    for first in range(0, slots, STEP):
+        last = min(slots, first + STEP)
+        stretch = f"aggregate(sequence(low, least(low + {STRETCH}, {last}L) - 1), {with_turns}, (c, t) -> {turn})"
+        step = state.select("s", "slots", F.expr(f"""
+          aggregate(sequence({first}L, {last - 1}L, {STRETCH}L), named_struct('state', state, 'all', cast(array() as array<array<struct<i: int, block: bigint>>>)),
+            (o, low) -> transform(array({stretch}), r -> named_struct('state', {bare}, 'all', concat(o.all, array(r.turns))))[0])""").alias("step"))
+        path = f"{folder}/first={first}"
+        step.select("s", "slots", "step.state", F.flatten("step.all").alias("turns")).write.parquet(path)
+        state = spark.read.parquet(path).select("s", "slots", "state")
+    if not slots:
+        return state.select(F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot")).where("false")
+    each = spark.read.parquet(folder).select("s", F.col("first").cast("long").alias("first"), F.posexplode("turns").alias("at", "turn"))
+    return each.select(F.expr("s[turn.i].source").alias("source"), F.col("turn.block").alias("block"), (F.col("first") + F.col("at")).alias("slot"))
 
 
 def interleave(
-    docs: DataFrame, weights: dict[str, float] | None = None, cycle: int | None = CYCLE, block_docs: int = BLOCK_DOCS,
-    key: str = "doc_id", source: str = "source",
+    docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, key: str = "doc_id", source: str = "source",
 ) -> DataFrame:
     """`docs` with _block (number within the source), _slot (of the schedule) and _place (within the block)."""
     digits = max(2, math.ceil(math.log(4 * partitions(docs.sparkSession), 16)))
@@ -152,18 +106,10 @@ def interleave(
     told = {f"={k}": v for k, v in weights.items()} if weights is not None else None
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = counts.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
-    if cycle is None:
-        spans = parts.withColumn("block", F.explode(F.expr(f"sequence(before div {block_docs}, (before + n - 1) div {block_docs})")))
-        met = spans.join(exact(sources, told), ["source", "block"]).groupBy("source", "part", "before")
-        parts = met.agg(F.array_sort(F.collect_list(F.struct("block", "slot"))).alias("found"))
-        slots = F.col("found.slot")
-    else:
-        parts = parts.join(cycles(_shares(sources, told, cycle)), "source")
-        slots = F.expr(f"""
-          transform(sequence(before div {block_docs}, (before + n - 1) div {block_docs}), k ->
-            transform(filter(kinds, x -> x.first <= k div share), x -> x.base + (k div share - x.first) * x.length + x.turns[cast(k % share as int)])
-              [size(filter(kinds, x -> x.first <= k div share)) - 1])""")
-    parts = parts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.col("before").alias("_before"), slots.alias("_slots"))
+    spans = parts.withColumn("block", F.explode(F.expr(f"sequence(before div {block_docs}, (before + n - 1) div {block_docs})")))
+    met = spans.join(schedule(sources, told), ["source", "block"]).groupBy("source", "part", "before")
+    parts = met.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("slots"))
+    parts = parts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.col("before").alias("_before"), F.col("slots").alias("_slots"))
     at = F.col("_before") + F.col("_row")
     block = F.expr(f"(_before + _row) div {block_docs}")
     return (

@@ -18,32 +18,26 @@ MIX_SQL = f"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), ''))) - 1 AS pos FROM documents
 ), sized AS (
-  SELECT source, count(*) AS n_docs, (count(*) + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} AS n_blocks FROM documents GROUP BY source
+  SELECT source, count(*) AS n_docs, (count(*) + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} AS n FROM documents GROUP BY source
 ), sources AS (
-  SELECT source, n_blocks, greatest(1, CAST(round(pow(n_docs, {mixing.POWER}) / sum(pow(n_docs, {mixing.POWER})) OVER () * {mixing.CYCLE}) AS BIGINT)) AS share,
+  -- The weight as a whole number of parts: release floor(k L / a), deadline ceil((k + 1) L / a), L the sum of a over the sources with blocks left.
+  SELECT source, n, greatest(1, CAST(round(pow(n_docs, {mixing.POWER}) / sum(pow(n_docs, {mixing.POWER})) OVER () * {mixing.PARTS}) AS HUGEINT)) AS a,
     row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM sized
-), events AS (
-  SELECT 0 AS first UNION SELECT n_blocks // share FROM sources UNION SELECT n_blocks // share + 1 FROM sources
-), each AS (
-  SELECT first, i, greatest(0, least(share, n_blocks - first * share)) AS a, least(n_blocks, first * share) AS b FROM events, sources
-), kinds AS (
-  SELECT first, CAST(sum(a) AS BIGINT) AS total, CAST(sum(b) AS BIGINT) AS base, list(a ORDER BY i) AS shares FROM each GROUP BY first HAVING sum(a) > 0
+), one AS (SELECT list({{'n': n, 'a': a}} ORDER BY i) AS s, sum(n) AS slots, CAST(sum(a) AS HUGEINT) AS total FROM sources
 ), steps AS (
-  SELECT first, base, total, shares, CAST(-1 AS BIGINT) AS t, list_transform(shares, lambda a: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS p FROM kinds
+  SELECT s, slots, CAST(-1 AS BIGINT) AS t, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS done, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS had,
+    CAST(0 AS BIGINT) AS since, total, CAST(0 AS BIGINT) AS p FROM one WHERE slots > 0
   UNION ALL
-  SELECT first, base, total, shares, t, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p FROM (
-    SELECT first, base, total, shares, t + 1 AS t, done,
-      list_min(list_transform(shares, lambda a, i: CASE WHEN done[i] < a AND (done[i] * total) // greatest(a, 1) <= t + 1
-        THEN ((done[i] + 1) * total + a - 1) // greatest(a, 1) * 100000 + i ELSE 9000000000000000000 END)) % 100000 AS p
-    FROM steps WHERE t < total - 1)
-), turns AS (
-  SELECT first, base, total, t, p AS i, row_number() OVER (PARTITION BY first, p ORDER BY t) - 1 AS nth FROM steps WHERE t >= 0
-), placed AS (
-  SELECT d.doc_id, d.source, s.i, d.pos // {mixing.BLOCK_DOCS} AS block, d.pos % {mixing.BLOCK_DOCS} AS place, s.share
-  FROM docs d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
-), cyc AS (SELECT *, block // share AS c, block % share AS nth FROM placed)
-SELECT y.doc_id, y.source, CAST(y.block AS BIGINT) AS block, CAST(k.base + (y.c - k.first) * k.total + t.t AS BIGINT) AS slot, CAST(y.place AS INTEGER) AS place
-FROM cyc y ASOF JOIN kinds k ON y.c >= k.first JOIN turns t ON t.first = k.first AND t.i = y.i AND t.nth = y.nth
+  SELECT s, slots, t, now, CASE WHEN now[p] < s[p].n THEN had ELSE now END, CASE WHEN now[p] < s[p].n THEN since ELSE t + 1 END,
+    CASE WHEN now[p] < s[p].n THEN total ELSE CAST(coalesce(list_sum(list_transform(s, lambda x, i: CASE WHEN now[i] < x.n THEN x.a ELSE 0 END)), 0) AS HUGEINT) END, p
+  FROM (SELECT *, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END) AS now FROM (
+    SELECT s, slots, t + 1 AS t, done, had, since, total, CAST(list_min(list_transform(s, lambda x, i:
+      CASE WHEN done[i] < x.n AND ((done[i] - had[i]) * total) // x.a <= t + 1 - since
+        THEN (((done[i] - had[i] + 1) * total + x.a - 1) // x.a) * 100000 + i ELSE CAST(9000000000000000000 AS HUGEINT) END)) % 100000 AS BIGINT) AS p
+    FROM steps WHERE t < slots - 1))
+), turns AS (SELECT t AS slot, p AS i, row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS block FROM steps WHERE t >= 0)
+SELECT d.doc_id, d.source, CAST(t.block AS BIGINT) AS block, t.slot, CAST(d.pos % {mixing.BLOCK_DOCS} AS INTEGER) AS place
+FROM docs d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source JOIN turns t ON t.i = s.i AND t.block = d.pos // {mixing.BLOCK_DOCS}
 """
 
 

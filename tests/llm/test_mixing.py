@@ -11,52 +11,6 @@ def test_equals_sql(same):
     assert len(same("op4_mix_sources")) == 200
 
 
-def turns(shares):
-    """Earliest deadline first among released blocks, one slot after the other."""
-    total, done, out = sum(shares), [0] * len(shares), []
-    for t in range(total):
-        ready = [(-(-(done[i] + 1) * total // a), i) for i, a in enumerate(shares) if done[i] < a and done[i] * total // a <= t]
-        i = min(ready)[1]
-        done[i] += 1
-        out.append(i)
-    return out
-
-
-@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 3, "c": 1.7}, {"a": 0, "zz": 9}])
-def test_every_prefix_is_less_than_a_block_off(spark, weights):
-    rows = [(i, "a" if i % 3 else "b") for i in range(400)] + [(1000 + i, "c") for i in range(90)] + [(2000, None), (2001, None)]
-    df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.interleave(df, weights, cycle=20, block_docs=4).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in rows)
-    slots = {}
-    for r in got:
-        slots.setdefault(r["_slot"], set()).add((r["source"], r["_block"]))
-    assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
-    order = [next(iter(slots[t]))[0] for t in range(len(slots))]
-    blocks = Counter(order)
-    size = {s: -(-n // 4) for s, n in Counter(s for _, s in rows).items()}
-    assert blocks == size
-    # A source's blocks run in order.
-    for s in size:
-        assert [b for t in range(len(slots)) for x, b in slots[t] if x == s] == list(range(size[s]))
-    if weights is None:
-        weight = {s: n**0.5 for s, n in Counter(s for _, s in rows).items()}
-    else:
-        weight = {s: max(0, weights.get(s, 0)) for s in size}
-    share = {s: max(1, int(weight[s] / (sum(weight.values()) or 1) * 20 + 0.5)) for s in size}
-    start, at = 0, dict.fromkeys(size, 0)
-    names = sorted(size, key=lambda s: (s is not None, s))
-    while start < len(order):
-        now = [max(0, min(share[s], size[s] - at[s])) for s in names]
-        cycle = order[start : start + sum(now)]
-        assert cycle == [names[i] for i in turns(now)]
-        for i, s in enumerate(names):
-            for t in range(1, len(cycle) + 1):
-                assert abs(cycle[:t].count(s) - t * now[i] / sum(now)) < 1
-            at[s] += now[i]
-        start += len(cycle)
-
-
 def test_documents_keep_their_columns_and_order_takes_effect(spark, documents):
     mixed = mixing.mixed(documents, block_docs=2)
     assert mixed.columns == documents.columns and mixed.count() == documents.count()
@@ -65,10 +19,13 @@ def test_documents_keep_their_columns_and_order_takes_effect(spark, documents):
 
 
 @pytest.mark.parametrize("weights", [None, {"big": 1, **{str(i): 0.001 for i in range(20)}}, {"big": 2}])
-def test_exact_weights_are_kept_at_every_prefix(spark, weights):
+def test_every_prefix_is_less_than_a_block_off(spark, monkeypatch, weights):
+    # Several steps, each of several stretches.
+    monkeypatch.setattr(mixing, "STEP", 64)
+    monkeypatch.setattr(mixing, "STRETCH", 8)
     rows = [(i, "big") for i in range(900)] + [(1000 + i, str(i % 20)) for i in range(60)] + [(2000, None)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.interleave(df, weights, cycle=None, block_docs=2).collect()
+    got = mixing.interleave(df, weights, block_docs=2).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in rows)
     slots = {}
     for r in got:
@@ -92,5 +49,19 @@ def test_exact_weights_are_kept_at_every_prefix(spark, weights):
             had, since = Counter(done), t + 1
 
 
-def test_exact_schedule_of_no_rows(spark):
-    assert mixing.interleave(spark.createDataFrame([], "doc_id long, source string"), cycle=None).count() == 0
+def test_schedule_of_no_rows(spark):
+    assert mixing.interleave(spark.createDataFrame([], "doc_id long, source string")).count() == 0
+
+
+def test_many_sources_of_very_uneven_weights(spark):
+    rows = [(f"s{i:03}", 20, 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, n_docs long, n_blocks long")
+    weights = {"s000": 0.3, **{f"s{i:03}": 0.001 for i in range(1, 300)}}
+    order = [r["source"] for r in mixing.schedule(df, weights).orderBy("slot").collect()]
+    assert Counter(order) == Counter({s: 10 for s, *_ in rows})
+    until = max(t for t, s in enumerate(order) if s == "s000") + 1
+    assert until <= 21
+    done, total = Counter(), sum(weights.values())
+    for t, s in enumerate(order[:until], 1):
+        done[s] += 1
+        assert all(abs(done[x] - t * w / total) < 1 + 1e-5 for x, w in weights.items())

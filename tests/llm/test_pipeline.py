@@ -39,13 +39,21 @@ def test_stages(spark, tmp_path):
 
 def test_run_and_odd_documents(spark, tables, no_tables):
     out = corpus_pipeline.run(spark, tables)
-    assert out.columns == ["doc_id", "source", "ids", "n_ids", "decoded_sha256"] and out.count() > 20
+    assert out.columns == ["position", "doc_id", "source", "ids", "n_ids", "decoded_sha256"] and out.count() > 20
     assert corpus_pipeline.run(spark, no_tables).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mix_sources", "pieces"]
 
 
 def test_run_keeps_the_order_of_the_schedule(spark):
-    got = [(r["doc_id"], r["source"]) for r in corpus_pipeline.run(spark, SF).select("doc_id", "source").collect()]
+    rows = corpus_pipeline.run(spark, SF).select("position", "doc_id", "source").collect()
+    assert [r["position"] for r in rows] == list(range(len(rows)))
+    got = [(r["doc_id"], r["source"]) for r in rows]
     docs = spark.createDataFrame(sorted(got), "doc_id long, source string")
-    want = mixing.interleave(docs, cycle=None).orderBy("_slot", "_place").collect()
+    want = mixing.interleave(docs).orderBy("_slot", "_place").collect()
     assert got == [(r["doc_id"], r["source"]) for r in want] and got != sorted(got)
+
+
+def test_pieces_of_rows_that_come_from_no_file(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "a") for i in range(30)], "doc_id long, text string, source string").repartition(4)
+    got = corpus_pipeline.encode_pieces(spark, docs, SF).collect()
+    assert [r["position"] for r in got] == list(range(30)) and sorted(r["doc_id"] for r in got) == list(range(30))
