@@ -50,13 +50,6 @@ def slices(texts: list[str], limit: int = 1 << 19) -> Iterator[list[str]]:
         yield held
 
 
-def distinct_of(hashes: np.ndarray, scratch: np.ndarray) -> np.ndarray:
-    """Each hash once. `scratch` has a place for every possible hash; its contents do not matter."""
-    order = np.arange(len(hashes), dtype=scratch.dtype)
-    scratch[hashes] = order
-    return hashes[scratch[hashes] == order]
-
-
 def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """About `per_label` rows of each label, or all where there are fewer, chosen by the hash of the key."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}

@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Texts meet their labels compressed, in one merge join whose result is written to the shared folder. For every
-hashed n-gram the numbers of toxic and of clean training texts that hold it are counted over all labelled rows; the logarithm of their smoothed ratio scales the feature. On top of it a logistic
-regression learns from a bounded sample (`PER_LABEL` texts of each label, chosen by the hash of the
-key), and its intercept is moved from the sample's share of toxic texts to the one of all labelled rows.
-The driver holds 2**BITS ratios and the sample's features, nothing of the other documents.
+Texts meet their labels compressed, in one merge join whose result is written to the shared folder. Features are hashed n-grams of SIZES
+characters. Over all labelled rows, the toxic training texts that hold each feature are counted; of those in at least LEAST of them, the clean ones
+too. The logarithm of the smoothed ratio scales the feature, and features below RATIO are left out: what is as frequent in clean texts, such as the common words of
+a language, says nothing. On top a logistic regression learns from a bounded sample (`PER_LABEL` texts of each label, chosen by the
+hash of the key), and its intercept is moved from the sample's share of toxic texts to the one of all labelled rows.
+The driver and each task hold at most 2**BITS counts, the driver also the sample's features, nothing of the other documents.
 
 Defined cases: a document labelled twice counts with the higher label. A null text counts as empty; an empty text has no n-grams and gets the score of the
 intercept. Rows without a label teach nothing; without rows of both labels every score is the share of
@@ -14,6 +15,7 @@ toxic rows (0 without any). Repeated rows score alike. An empty table gives no r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,33 +25,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procmon.llm.common import stored
-from procmon.llm.ngrams import Ftrl, bounded_sample, distinct_of, hashed, short_batches, slices
+from procmon.llm.ngrams import Ftrl, bounded_sample, hashed, short_batches, slices
 
-BITS = 18
-SIZES = range(3, 6)
-PER_LABEL = 800
+BITS = 22
+SIZES = range(5, 10)
+PER_LABEL = 1500
 EPOCHS = 4
+#: Toxic training texts that a feature must stand in, and the least size of its logarithmic ratio.
+LEAST = 4
+RATIO = 1.0
 #: Added to the counts of both labels before the ratio is taken.
 SMOOTHING = 1.0
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weights: of the n-grams, ratio and learned weight multiplied."""
+    """features: rising; ratio: of each; weights: ratio and learned weight multiplied."""
 
+    features: np.ndarray
+    ratio: np.ndarray
     weights: np.ndarray
     intercept: float
 
+    @cached_property
+    def _known(self) -> np.ndarray:
+        return mask(self.features)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        scratch = np.zeros(1 << BITS, np.int32)
         margins = [
-            self.weights[distinct_of(grams, scratch)].sum()
+            self.weights[np.searchsorted(self.features, present(grams, self._known))].sum()
             for part in slices([t or "" for t in texts])
             for grams in hashed(part, SIZES, BITS)
         ]
         return 1.0 / (1.0 + np.exp(-np.clip(np.array(margins, float) + self.intercept, -500.0, 500.0)))
 
 
+def mask(features: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BITS, bool)
+    out[features] = True
+    return out
+
+
+def present(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The known features of a text, each once, rising."""
+    return np.unique(grams[known[grams]])
+
+
 def _packed(batches):
     for batch in batches:
         small = [zstandard.compress(t.encode(), 3) for t in batch.column("text").to_pylist()]
@@ -60,31 +81,39 @@ def _texts(batch) -> list[str]:
     return [zstandard.decompress(p).decode() for p in batch.column("packed").to_pylist()]
 
 
-def _counts(batches):
-    """Per task: texts of label 0 and 1 with each feature; feature -1 counts the texts."""
-    total, texts = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-    scratch = np.zeros(1 << BITS, np.int32)
-    for batch in batches:
-        labels = iter(batch.column("label").to_pylist())
-        for part in slices(_texts(batch)):
-            for grams in hashed(part, SIZES, BITS):
-                k = next(labels)
-                total[k, distinct_of(grams, scratch)] += 1
-                texts[k] += 1
-    found = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(found, -1)), pa.array(np.append(total[0, found], texts[0]).astype(np.int64)), pa.array(np.append(total[1, found], texts[1]).astype(np.int64))],
-        ["feature", "clean", "toxic"],
-    )
-
-
-def _features(batches):
-    scratch = np.zeros(1 << BITS, np.int32)
-    for batch in batches:
-        found = [np.sort(distinct_of(g, scratch)) for part in slices(_texts(batch)) for g in hashed(part, SIZES, BITS)]
-        at = np.cumsum([0, *map(len, found)])
-        values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), values], ["label", "h", "feature"])
+def _counts(known):
+    """Function that counts, per task, the texts with each known feature; `known` is a broadcast mask, or None for all features."""
+
+    def counted(batches):
+        total, every = np.zeros(1 << BITS, np.int32), np.ones(1 << BITS, bool) if known is None else known.value
+        for batch in batches:
+            for part in slices(_texts(batch)):
+                for grams in hashed(part, SIZES, BITS):
+                    total[present(grams, every)] += 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found].astype(np.int64))], ["feature", "n"])
+
+    return counted
+
+
+def _features(known):
+    def found(batches):
+        for batch in batches:
+            rows = [present(g, known.value).astype(np.int32) for part in slices(_texts(batch)) for g in hashed(part, SIZES, BITS)]
+            at = np.cumsum([0, *map(len, rows)])
+            values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), values], ["label", "h", "feature"])
+
+    return found
+
+
+def _summed(rows: DataFrame, known, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(features, texts that hold each) of all rows, rising; features in fewer than `least` texts are left out. At most 2**BITS of them."""
+    counts = rows.select("packed").mapInArrow(_counts(known), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    table = counts.where(F.col("n") >= least).toArrow()
+    features, n = np.asarray(table.column("feature")), np.asarray(table.column("n"))
+    order = np.argsort(features)
+    return features[order], n[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = PER_LABEL) -> ToxicityModel:
@@ -96,28 +125,28 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     # The same join at every size: labels are many, so they are never broadcast.
     packed = own.mapInArrow(_packed, f"key {own.schema['key'].dataType.simpleString()}, h long, packed binary")
     usable = stored(packed.join(told.hint("merge"), "key"), "labelled")
-    counts = (
-        usable.select("packed", "label").mapInArrow(_counts, "feature long, clean long, toxic long")
-        .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    )
-    clean, toxic = (int(counts.loc[counts.feature < 0, c].sum()) for c in ("clean", "toxic"))
-    none = np.zeros(1 << BITS)
+    texts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    clean, toxic = texts.get(0, 0), texts.get(1, 0)
+    none = np.zeros(0)
     if not clean or not toxic:
-        return ToxicityModel(none, 40.0 if toxic else -40.0)
-    counts = counts[counts.feature >= 0]
-    p, q = (np.full(1 << BITS, SMOOTHING) for _ in range(2))
-    p[counts.feature.to_numpy()] += counts.toxic.to_numpy()
-    q[counts.feature.to_numpy()] += counts.clean.to_numpy()
-    ratio = np.log(p / (toxic + 2.0 * SMOOTHING)) - np.log(q / (clean + 2.0 * SMOOTHING))
-    ratio[(p == SMOOTHING) & (q == SMOOTHING)] = 0.0
-
+        return ToxicityModel(none.astype(np.int64), none, none, 40.0 if toxic else -40.0)
+    features, p = _summed(usable.where("label = 1"), None, LEAST)
+    shared = spark.sparkContext.broadcast(mask(features))
+    of_clean, n = _summed(usable.where("label = 0"), shared)
+    q = np.zeros(len(features))
+    q[np.searchsorted(features, of_clean)] = n
+    ratio = np.log((p + SMOOTHING) / (toxic + 2.0 * SMOOTHING)) - np.log((q + SMOOTHING) / (clean + 2.0 * SMOOTHING))
+    strong = np.abs(ratio) >= RATIO
+    features, ratio = features[strong], ratio[strong]
+
+    shared = spark.sparkContext.broadcast(mask(features))
     sample = bounded_sample(usable, "label", "key", per_label).select("label", "h", "packed")
-    found = sample.mapInArrow(_features, "label int, h long, feature array<int>").toArrow()
+    found = sample.mapInArrow(_features(shared), "label int, h long, feature array<int>").toArrow()
     labels, h = np.asarray(found.column("label")), np.asarray(found.column("h"))
     lists = found.column("feature").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
-    learner = Ftrl(1 << BITS, 2, rate=0.1, l1=1e-4, l2=1e-2)
+    flat, at = np.searchsorted(features, np.asarray(lists.values)), np.asarray(lists.offsets)
+    learner = Ftrl(len(features), 2, rate=0.1, l1=1e-4, l2=1e-2)
     for _ in range(EPOCHS):
         for i in np.lexsort((labels, h)):
             rows_of = flat[at[i] : at[i + 1]]
@@ -125,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     w = learner.weights()
     w = w[:, 1] - w[:, 0]
     picked = max(1, (labels == 1).sum()) / max(1, (labels == 0).sum())
-    return ToxicityModel(w[:-1] * ratio, float(w[-1] + np.log(toxic / clean) - np.log(picked)))
+    return ToxicityModel(features, ratio, w[:-1] * ratio, float(w[-1] + np.log(toxic / clean) - np.log(picked)))
 
 
 def score(model: ToxicityModel, text: Column, spark) -> Column:
