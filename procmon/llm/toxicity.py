@@ -34,6 +34,8 @@ EPOCHS = 4
 #: Toxic training texts that a feature must stand in, and the least size of its logarithmic ratio.
 LEAST = 4
 RATIO = 1.0
+#: Texts counted in one task: a task names nearly every feature once it has seen some thousands of texts, so few large ones send less.
+TOXIC_TEXTS, CLEAN_TEXTS = 1 << 13, 1 << 14
 #: Added to the counts of both labels before the ratio is taken.
 SMOOTHING = 1.0
 
@@ -130,9 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     none = np.zeros(0)
     if not clean or not toxic:
         return ToxicityModel(none.astype(np.int64), none, none, 40.0 if toxic else -40.0)
-    features, p = _summed(usable.where("label = 1"), None, LEAST)
+    of = lambda label, n, texts: usable.where(f"label = {label}").repartition(-(-n // texts), "h")
+    features, p = _summed(of(1, toxic, TOXIC_TEXTS), None, LEAST)
     shared = spark.sparkContext.broadcast(mask(features))
-    of_clean, n = _summed(usable.where("label = 0"), shared)
+    of_clean, n = _summed(of(0, clean, CLEAN_TEXTS), shared)
     q = np.zeros(len(features))
     q[np.searchsorted(features, of_clean)] = n
     ratio = np.log((p + SMOOTHING) / (toxic + 2.0 * SMOOTHING)) - np.log((q + SMOOTHING) / (clean + 2.0 * SMOOTHING))
