@@ -54,10 +54,10 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         at = [F.struct(F.shiftright(number, 33).alias("part")).alias("_file"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")]
     # Written first, so that finding the ranges to sort by does not encode everything twice.
     rows = stored(coded(docs.select("doc_id", "source", "text", *at), keep=("doc_id", "source", "_file", "_at")), "coded")
-    # One row a file.
+    # One row a file, of about a hundred bytes; there are no more files than tasks that wrote the stage before.
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = rows.join(files, "_file").withColumn("position", F.col("_before") + F.col("_at"))
+    placed = rows.join(F.broadcast(files), "_file").withColumn("position", F.col("_before") + F.col("_at"))
     return placed.select("position", "doc_id", "source", "ids", "n_ids", "decoded_sha256").orderBy("position")
 
 
