@@ -8,29 +8,26 @@ from procmon.operators.replay import replay, replay_contributions, replay_summar
 from procmon.operators.scoring import Model
 from tests.frames import series
 
-# Five-minute readings; the gap lies between minutes 65 and 80.
+# Five-minute readings; there is none from minute 65 to 80, the 12th lacks one tag, and the 10th is of another state.
 MINUTES = [*range(0, 70, 5), *range(80, 115, 5)]
-A = [0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0, 1.2, 1.5, 1.7, 2.0, None, 1.0, 1.2, 0.2, 0.4, 1.5, 2.0, 3.0, 4.0, 0.5]
-B = [0.1, 0.3, 0.4, 0.5, 0.6, 0.7, 0.9, 1.1, 1.4, 1.6, 1.8, 1.9, 1.0, 1.1, 0.2, 0.3, 1.4, 1.8, 2.8, 3.8, 0.4]
-MODE = [1] * 9 + [0] + [1] * 11
+A = [None if i == 11 else 0.35 * ((7 * i) % 13) for i in range(21)]
+B = [0.125 * ((5 * i) % 17) for i in range(21)]
+MODE = [int(i != 9) for i in range(21)]
+REASONS = {55: "missing_input", 60: "insufficient_context", 65: "insufficient_context", 85: "time_gap_reset"}
+SCORED = [20, 25, 30, 35, 40, 90, 95, 100, 105, 110]
+
+
+def directly():
+    """minute: (means of the two tags over two readings, T2 of them, SPE of those five minutes before, status)."""
+    at = dict(zip(MINUTES, zip(A, B)))
+    mean = {m: np.add(at[m], at[m - 5]) / 2 for m in SCORED + [15, 85]}
+    out = {}
+    for m in SCORED:
+        t2, spe = float(mean[m] @ mean[m]), float(mean[m - 5] @ mean[m - 5])
+        out[m] = mean[m], t2, spe, "abnormal" if max(t2, spe) > 7 else "attention" if max(t2, spe) > 4 else "normal"
+    return out
+
 
-# time: (T2, SPE, status, reason) with unit scaling and the two unlagged tags as components.
-EXPECTED = {
-    "00:20": (0.725, 0.505, "normal", None),
-    "00:25": (0.985, 0.725, "normal", None),
-    "00:30": (1.45, 0.985, "normal", None),
-    "00:35": (2.21, 1.45, "normal", None),
-    "00:40": (3.385, 2.21, "normal", None),
-    "00:55": (None, None, "not_scored", "missing_input"),
-    "01:00": (None, None, "not_scored", "insufficient_context"),
-    "01:05": (None, None, "not_scored", "insufficient_context"),
-    "01:25": (None, None, "not_scored", "time_gap_reset"),
-    "01:30": (1.625, 0.1525, "normal", None),
-    "01:35": (5.6225, 1.625, "attention", None),
-    "01:40": (11.54, 5.6225, "abnormal", None),
-    "01:45": (23.14, 11.54, "abnormal", None),
-    "01:50": (9.4725, 23.14, "abnormal", None),
-}
 TAGS = ["A", "B"]
 WINDOW = ("2026-01-01T00:20:00", "2026-01-01T01:50:00")
 
@@ -47,28 +44,36 @@ def test_legacy_replay(spark, shard):
         5, 10, 5, 5, filter_method="trailing_mean", state_filters=({"column": "mode", "minimum": 1.0},)
     )
     scores, rows = replay(df, model(), TAGS, config, *WINDOW, semantics="legacy", shard_minutes=shard)
-    got = {r["ts"].strftime("%H:%M"): r for r in scores.collect()}
-    assert list(sorted(got)) == sorted(EXPECTED)
-    for time, (t2, spe, status, reason) in EXPECTED.items():
-        row = got[time]
-        assert (row["status"], row["invalid_reason"]) == (status, reason)
-        assert row["t2"] == (None if t2 is None else pytest.approx(t2, rel=1e-9))
-        assert row["spe"] == (None if spe is None else pytest.approx(spe, rel=1e-9))
+    got = {r["ts"].hour * 60 + r["ts"].minute: r for r in scores.collect()}
+    want = directly()
+    assert sorted(got) == sorted([*want, *REASONS])
+    for minute, reason in REASONS.items():
+        row = got[minute]
+        assert (row["status"], row["invalid_reason"], row["t2"], row["spe"]) == ("not_scored", reason, None, None)
+    for minute, (_, t2, spe, status) in want.items():
+        row = got[minute]
+        assert (row["status"], row["invalid_reason"]) == (status, None), minute
+        assert (row["t2"], row["spe"]) == (pytest.approx(t2, rel=1e-9), pytest.approx(spe, rel=1e-9))
+    assert {w[3] for w in want.values()} == {"normal", "attention", "abnormal"}
 
     meta = {t: {"description": f"Tag {t}", "unit": "u"} for t in TAGS}
     shares = replay_contributions(scores, model(), meta).collect()
-    assert len(shares) == 7
-    first = next(r for r in shares if r["ts"].strftime("%H:%M") == "01:35")
-    assert [(t["tag"], t["unit"], t["lag_start_minutes"], t["lag_end_minutes"]) for t in first["tags"]] == [
-        ("A", "u", 0, 0), ("B", "u", 0, 0),
-    ]
-    assert first["tags"][0]["contribution_pct"] == pytest.approx(54.468652734548684, rel=1e-9)
+    assert len(shares) == sum((t2 > 4) + (spe > 4) for _, t2, spe, _ in want.values())
+    only_t2 = [m for m, (_, t2, spe, _) in want.items() if t2 > 4 >= spe]
+    assert only_t2
+    for r in shares:
+        minute = r["ts"].hour * 60 + r["ts"].minute
+        if minute in only_t2:
+            share = 100 * want[minute][0] ** 2 / want[minute][1]
+            assert {t["tag"]: pytest.approx(t["contribution_pct"], rel=1e-9) for t in r["tags"]} == dict(zip(TAGS, share))
+            assert [(t["unit"], t["lag_start_minutes"], t["lag_end_minutes"]) for t in r["tags"]] == [("u", 0, 0)] * 2
 
     row = replay_summary(scores, rows, model(), *WINDOW, semantics="legacy").collect()[0]
     assert (row["source_row_count"], row["output_row_count"], row["score_valid_count"]) == (19, 14, 10)
     assert row["state_filter_excluded_rows"] == 3
-    assert (row["t2_exceedance_95_count"], row["spe_exceedance_99_count"]) == (4, 2)
-    assert row["maximum_t2"] == pytest.approx(23.14)
+    over = lambda k, limit: sum(w[k] > limit for w in want.values())
+    assert (row["t2_exceedance_95_count"], row["spe_exceedance_99_count"]) == (over(1, 4), over(2, 7))
+    assert row["maximum_t2"] == pytest.approx(max(w[1] for w in want.values()))
 
 
 @pytest.mark.parametrize("shard", [None, 60])
