@@ -146,7 +146,8 @@ def preprocess(
     label = bucket_label(F.col("us"), config.interval_us) if config.resamples else F.col("us")
     sharded = shard_rows(numeric.withColumn("label", label), "label", width, margin)
 
-    rows = _raw_segments(sharded, lay, config, raw_gap_us, source_interval_minutes)
+    times = shard_rows(numeric.select(*keys, "us", label.alias("label")), "label", width)
+    rows = _raw_segments(sharded, times, lay, config, raw_gap_us, source_interval_minutes)
     if config.resamples:
         rows = _resample(rows, lay, config, list(ranges), bounds)
     else:
@@ -216,7 +217,7 @@ def _fail(message: str, kind: str = "double") -> Column:
     return F.raise_error(F.lit(message)).cast(kind)
 
 
-def _raw_segments(rows, lay, config, raw_gap_us, source_interval_minutes) -> DataFrame:
+def _raw_segments(rows, times, lay, config, raw_gap_us, source_interval_minutes) -> DataFrame:
     """Mark rows that follow a physical gap and number the segments inside the shard."""
     window = shard_window(lay.keys, "us")
     step_us = (
@@ -224,25 +225,32 @@ def _raw_segments(rows, lay, config, raw_gap_us, source_interval_minutes) -> Dat
         if config.resamples
         else config.interval_us
     )
-    step = F.col("us") - F.lag("us").over(window)
-    # The first row of a shard without a neighbour in the halo is measured against the shards before.
-    ends = rows.where(F.col(OWN)).groupBy(*[col(k) for k in lay.keys], SHARD).agg(F.max("us").alias("end"))
-    along = Window.partitionBy(*[col(k) for k in lay.keys]).orderBy(SHARD)
-    ends = ends.select(*[col(k) for k in lay.keys], SHARD, F.lag("end").over(along).alias("before"))
-    rows = rows.join(ends, [*lay.keys, SHARD], "left")
-    since = F.when(F.col("step").isNull() & F.col(OWN), F.col("us") - F.col("before"))
-    since = F.coalesce(F.col("step"), since)
-    off_grid = (since < step_us) | ~near_integer(since / F.lit(float(step_us)))
-    rows = rows.withColumn("step", step).withColumn(
-        "gap",
-        F.when(off_grid, _fail("timestamps must follow the sampling grid", "boolean")).otherwise(
-            F.col("step").isNull() | (F.col("step") > raw_gap_us)
-        ),
-    )
+    # In a condition, not in a column: a result that leaves columns out is checked as well.
+    refused = lambda since: F.when(
+        (since < step_us) | ~near_integer(since / F.lit(float(step_us))),
+        _fail("timestamps must follow the sampling grid", "boolean"),
+    ).otherwise(True)
+    rows = rows.withColumn("step", F.col("us") - F.lag("us").over(window))
+    rows = rows.where(refused(F.col("step")))
+    rows = rows.where(_boundary_steps(times, lay, refused).scalar())
+    rows = rows.withColumn("gap", F.col("step").isNull() | (F.col("step") > raw_gap_us))
     return rows.withColumn(
         "seg",
         F.sum(F.col("gap").cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-    ).drop("step", "before")
+    ).drop("step")
+
+
+def _boundary_steps(times, lay, refused) -> DataFrame:
+    """One row: true if every step from one shard of a series into the next one in use is on the grid.
+
+    Such a step may be longer than any halo. Only keys and times are read for it, reduced to two
+    times a shard before they travel; the rows themselves are neither joined nor read again.
+    """
+    keys = [col(k) for k in lay.keys]
+    ends = times.groupBy(*keys, SHARD).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    along = Window.partitionBy(*keys).orderBy(SHARD)
+    since = F.col("first") - F.lag("last").over(along)
+    return ends.select(refused(since).alias("fine")).agg(F.coalesce(F.bool_and("fine"), F.lit(True)))
 
 
 def _resample(rows, lay, config, ranged, bounds) -> DataFrame:

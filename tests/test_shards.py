@@ -127,11 +127,24 @@ def test_shards_follow_the_denser_of_the_two_intervals():
     assert width / 1_000_000 <= 65_536 + 3_600
 
 
-def test_raw_rows_cross_one_exchange_up_to_the_features(spark):
+def test_rows_cross_one_exchange_and_meet_no_join(spark):
     *_, df = readings(spark)
-    plan = preprocess(df, ["A", "B"], config("trailing_mean"))._jdf.queryExecution().executedPlan().toString()
-    lines = [x.lstrip(" :+-") for x in plan.splitlines()]
+    plan = preprocess(df, ["A", "B"], config("trailing_mean"))._jdf.queryExecution().sparkPlan()
+    rows = plan.toString()
+    assert "Join" not in rows
+    prepared = preprocess(df, ["A", "B"], config("trailing_mean"))._jdf.queryExecution().executedPlan().toString()
+    lines = [x.lstrip(" :+-") for x in prepared.splitlines()]
+    # Of the check of the steps between shards only two times a shard travel, never a value column.
     exchanges = [i for i, x in enumerate(lines) if x.startswith("Exchange")]
-    # The last time of each shard also travels: three exchanges of one row per shard.
-    assert len(exchanges) == 4
-    assert sum("generate" in lines[i + 1].lower() or "explode" in lines[i + 2].lower() or "x0" in lines[i + 1] for i in exchanges) == 1
+    assert sum("x0" in lines[i + 1] for i in exchanges) == 1
+    assert all("x0" in lines[i + 1] or "first" in lines[i + 1] or "partial_bool_and" in lines[i + 1] or "partial_min" in lines[i + 1] for i in exchanges)
+
+
+@pytest.mark.parametrize("shard", [None, 10, 500])
+def test_steps_off_the_grid_are_refused_when_columns_are_left_out(spark, shard):
+    for times in ([0, 5, 10, 73, 78], [0, 5, 601], [0, 5, 5]):
+        rows = preprocess(series(spark, times, A=[1.0] * len(times)), ["A"], PreprocessingConfig(5, 0, 0, 5), shard_minutes=shard)
+        with pytest.raises(Exception, match="sampling grid"):
+            rows.select("A").count()
+    empty = series(spark, [], A=[])
+    assert preprocess(empty, ["A"], PreprocessingConfig(5, 0, 0, 5), shard_minutes=shard).count() == 0
