@@ -46,6 +46,42 @@ def test_later_batches_meet_the_index(spark):
     assert "SelectedBucketsCount: 3 out of 3" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_batch_tried_again_keeps_the_same_documents(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    first, second = rows((1, "a"), (2, "b"), (5, "a")), rows((9, "a"), (7, "c"))
+    verdict = lambda docs, **named: sorted(exact_dedup.deduplicate(docs, index, **named).collect())
+    once = verdict(first)
+    assert [(r["doc_id"], r["kept"]) for r in once] == [(1, False), (2, True), (5, True)]
+    assert verdict(first) == once and index.rows().count() == 2
+    later = verdict(second)
+    assert [(r["doc_id"], r["keep_id"], r["kept"]) for r in later] == [(7, 7, True), (9, 5, False)]
+    assert verdict(first) == once and verdict(second) == later and index.rows().count() == 3
+    # Equal rows under another name are new data: the index knows all of their texts.
+    assert not any(r["kept"] for r in verdict(first, batch="another day"))
+    # Only a part of the digests had been appended when the job was lost.
+    half = exact_dedup.DigestIndex(spark, buckets=3)
+    seen = exact_dedup.identities(first)
+    half.learn(seen.where("doc_id = 2"), exact_dedup.batch_name(seen))
+    assert sorted(exact_dedup.deduplicate(first, half).collect()) == once
+
+
+def test_parts_change_nothing(spark, documents):
+    whole = exact_dedup.deduplicate(documents, exact_dedup.DigestIndex(spark))
+    index = exact_dedup.DigestIndex(spark)
+    parts = exact_dedup.deduplicate(documents, index, parts=4)
+    assert Counter(whole.collect()) == Counter(parts.collect())
+    assert index.rows().count() == index.rows().select("digest").distinct().count()
+
+
+def test_parts_of_nothing_and_of_one_id(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert exact_dedup.deduplicate(empty, exact_dedup.DigestIndex(spark), parts=3).count() == 0
+    same_id = spark.createDataFrame([(4, "x"), (4, "y"), (4, "x"), (None, "y")], "doc_id long, text string")
+    got = exact_dedup.deduplicate(same_id, exact_dedup.DigestIndex(spark), parts=3).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(0, 4, 2, False), (4, 4, 2, False), (4, 4, 2, True), (4, 4, 2, True)]
+
+
 def judge_directly(url):
     host = path = ""
     if url is not None and "://" in url:
