@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from procmon.config import MINUTE, PerformanceConfig
 from procmon.functions.columns import col, from_micros, is_finite, micros, range_deviation, within
 from procmon.operators.clustering import stability
-from procmon.operators.shards import OWN, default_width, shard_rows, shard_window
+from procmon.operators.shards import OWN, SHARD, default_width, shard_rows
 from procmon.operators.windows import in_windows
 
 
@@ -33,56 +35,83 @@ def sliding_windows(
 ) -> DataFrame:
     """Every gap-free window of the configured length: start, end and ranking measures.
 
-    Windows end at their last row; shards read the rows before them from their halo.
+    Windows end at their last row; shards read the rows before them from their halo. The time a row
+    takes does not grow with the length of the window. A shard, with its halo, is one Arrow group; it holds at most
+    twice the larger of the rows of a shard and of a window.
     """
     w = window_rows(config, interval_us)
     width = max(width or default_width(interval_us), w * interval_us)
+    names = {f"k{i}": col(k) for i, k in enumerate(keys)}
+    value_type = points.schema[value].dataType
+    x = col(value).cast("double")
+    off = range_deviation(x, config.lower, config.upper) if config.direction == "target_range" else F.lit(0.0)
     finite = points.where(is_finite(col(value))).select(
-        *[col(k) for k in keys],
+        *[c.alias(n) for n, c in names.items()],
         micros(F.col("ts")).alias("us"),
-        col(value).alias("x"),
-        *([col(segment).alias("seg")] if segment else []),
+        x.alias("x"),
+        within(x, config.target_min, config.target_max).cast("double").alias("hit"),
+        off.alias("off"),
+        (col(segment) if segment else F.lit(None).cast("int")).alias("seg"),
     )
     rows = shard_rows(finite, "us", width, (w - 1) * interval_us)
-    order = shard_window(keys, "us")
-    broken = F.lag("us").over(order).isNull() | (F.col("us") - F.lag("us").over(order) != interval_us)
-    if segment:
-        broken = broken | ~F.lag("seg").over(order).eqNullSafe(F.col("seg"))
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("broken", broken)
-    begun = F.max(F.when(F.col("broken"), F.col("at"))).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    frame = order.rowsBetween(-(w - 1), 0)
-    measured = rows.select(
-        "*",
-        (F.col("at") - begun + 1).alias("run"),
-        F.avg("x").over(frame).alias("mean"),
-        F.percentile("x", F.lit(0.5)).over(frame).alias("median"),
-        F.min("x").over(frame).alias("minimum"),
-        F.max("x").over(frame).alias("maximum"),
-        F.avg(within(F.col("x"), config.target_min, config.target_max).cast("double"))
-        .over(frame)
-        .alias("target_ratio"),
-        (
-            F.avg(range_deviation(F.col("x"), config.lower, config.upper)).over(frame)
-            if config.direction == "target_range"
-            else F.lit(0.0)
-        ).alias("mean_target_deviation"),
-    )
-    return measured.where(F.col(OWN) & (F.col("run") >= w)).select(
-        *[col(k) for k in keys],
+    measures = ["mean", "median", "minimum", "maximum", "target_ratio", "mean_target_deviation"]
+    kept = [f for f in finite.schema.fields if f.name in names or f.name == "us"]
+    schema = T.StructType([*kept, *[T.StructField(m, T.DoubleType()) for m in measures]])
+
+    def measure(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("us")
+        us = shard["us"].to_numpy()
+        ends = np.flatnonzero((_run_lengths(us, shard["seg"], interval_us) >= w) & shard[OWN].to_numpy())
+        values = {n: shard[n].to_numpy() for n in ("x", "hit", "off")}
+        median = pd.Series(values["x"]).rolling(w).median().to_numpy()
+        columns = [
+            trailing(np.add, values["x"], w, ends) / w,
+            median[ends],
+            trailing(np.minimum, values["x"], w, ends),
+            trailing(np.maximum, values["x"], w, ends),
+            trailing(np.add, values["hit"], w, ends) / w,
+            trailing(np.add, values["off"], w, ends) / w,
+        ]
+        rest = shard.select([f.name for f in kept]).take(pa.array(ends))
+        return pa.table([*rest.columns, *map(pa.array, columns)], [*rest.column_names, *measures])
+
+    measured = rows.groupBy(*names, SHARD).applyInArrow(measure, schema)
+    return measured.select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)],
         from_micros(F.col("us") - (w - 1) * interval_us).alias("start"),
         from_micros(F.col("us")).alias("end"),
         F.lit(w).alias("sample_count"),
         "mean",
         "median",
-        "minimum",
-        "maximum",
+        F.col("minimum").cast(value_type).alias("minimum"),
+        F.col("maximum").cast(value_type).alias("maximum"),
         "target_ratio",
         "mean_target_deviation",
     )
 
 
+def _run_lengths(us: np.ndarray, segments: pa.ChunkedArray, interval_us: int) -> np.ndarray:
+    """How many rows in unbroken succession end at each row; NULL is a segment of its own."""
+    codes = segments.combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = (pa.concat_arrays(codes.chunks) if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+    at = np.arange(len(us))
+    broken = np.ones(len(us), bool)
+    broken[1:] = (np.diff(us) != interval_us) | (np.diff(codes) != 0)
+    return at - np.maximum.accumulate(np.where(broken, at, 0)) + 1
+
+
+def trailing(combine: np.ufunc, values: np.ndarray, w: int, ends: np.ndarray) -> np.ndarray:
+    """`combine` over the w values up to each of `ends`, which must not lie before row w - 1.
+
+    The values are cut into blocks of w. A window is the tail of one block and the head of the next, so two
+    running results are enough for any window. Nothing is ever taken away again: the rounding is that of a plain sum.
+    """
+    blocks = np.concatenate([values, np.zeros(-len(values) % w)]).reshape(-1, w)
+    heads = combine.accumulate(blocks, axis=1).ravel()
+    tails = combine.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.where((ends + 1) % w == 0, heads[ends], combine(tails[ends - (w - 1)], heads[ends]))
+
+
 def _ranking(config: PerformanceConfig) -> list:
     if config.direction == "higher_is_better":
         return [F.col("mean").desc(), F.col("median").desc(), F.col("start")]
