@@ -391,6 +391,8 @@ def _filter_rows(rows, lay, config, rin, part, width) -> DataFrame:
         return rows.select("*", *[F.col(x).alias(y) for x, y in zip(lay.xs, lay.ys)])
     if method == "first_order":
         return _first_order(rows, lay, config, width)
+    if method == "trailing_mean" and w > LONG_FRAME:
+        return _long_means(rows, lay, w, rin, part)
     frame = shard_window(lay.keys, "us", *([part] if part else [])).rowsBetween(-(w - 1), 0)
     pick = (
         (lambda x: F.avg(x).over(frame))
@@ -401,6 +403,32 @@ def _filter_rows(rows, lay, config, rin, part, width) -> DataFrame:
     return rows.select("*", *[F.when(full(x), pick(x)).alias(y) for x, y in zip(lay.xs, lay.ys)])
 
 
+# Spark adds up a sliding frame anew for each row. From this length on, sorting the blocks of `_long_means` costs less.
+LONG_FRAME = 64
+
+
+def _long_means(rows, lay, w, rin, part) -> DataFrame:
+    """Trailing means over `w` rows whose cost does not grow with `w`.
+
+    The rows of a shard are cut into blocks of `w`. A frame is the tail of one block and the head of the next, and
+    running sums give both, one of them backwards. Nothing is subtracted, so large values leave no rounding behind.
+    """
+    split = [part] if part else []
+    run = shard_window(lay.keys, "us", *split)
+    before = run.rowsBetween(Window.unboundedPreceding, 0)
+    block = Window.partitionBy(*[col(k) for k in lay.keys], SHARD, *split, "blk")
+    upto = lambda order: block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    columns = rows.columns
+    rows = rows.withColumn("at", F.row_number().over(run)).withColumn("blk", F.expr(f"(at - 1) div {w}"))
+    rows = rows.select("*", *[F.count(x).over(before).alias(f"n{x}") for x in lay.xs])
+    rows = rows.select("*", *[F.sum(x).over(upto(F.col("us"))).alias(f"h{x}") for x in lay.xs])
+    rows = rows.select("*", *[F.sum(x).over(upto(F.col("us").desc())).alias(f"t{x}") for x in lay.xs])
+    whole = (F.col("at") % w) == 0
+    total = lambda x: F.when(whole, F.col(f"h{x}")).otherwise(F.lag(f"t{x}", w - 1).over(run) + F.col(f"h{x}"))
+    full = lambda x: (F.col(rin) >= w) & (F.col(f"n{x}") - F.coalesce(F.lag(f"n{x}", w).over(run), F.lit(0)) == w)
+    return rows.select(*columns, *[F.when(full(x), total(x) / w).alias(y) for x, y in zip(lay.xs, lay.ys)])
+
+
 def _first_order(rows, lay, config, width) -> DataFrame:
     """y_t = a*x_t + (1-a)*y_(t-1), starting each segment at its first value.
 

@@ -1,4 +1,4 @@
-"""Sliding windows against a direct computation, and their cost."""
+"""Sliding windows and long trailing means against a direct computation, and their cost."""
 
 import time
 
@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import DAY, series
-from procmon import PerformanceConfig
+from procmon import PerformanceConfig, PreprocessingConfig
 from procmon.operators.performance import sliding_windows, trailing
+from procmon.operators.preprocess import LONG_FRAME, preprocess
 
 
 @pytest.mark.parametrize("w", [1, 2, 5, 16, 40])
@@ -68,3 +69,43 @@ def test_a_row_costs_the_same_in_a_long_window(spark):
         assert count == 1_000_000 - w + 1 and abs(total / count - 0.5) < 0.05
     # A thousand times the window; an order statistic with deletion takes the logarithm of it.
     assert seconds[10_000] < 10 * seconds[10] + 10
+
+
+@pytest.mark.parametrize("semantics, shard", [("schema5", None), ("schema5", 600), ("legacy", None)])
+def test_long_trailing_means_equal_the_definition(spark, semantics, shard):
+    w = LONG_FRAME + 3
+    times = [5 * i for i in range(150)] + [5 * i for i in range(160, 330)]
+    values = np.random.default_rng(5).normal(size=len(times))
+    values[20] = 1e15  # leaves the frame again
+    tag = [None if i == 250 else float(v) for i, v in enumerate(values)]
+    df = series(spark, times, A=tag)
+    config = PreprocessingConfig(5, 5 * w, 0, 5, filter_method="trailing_mean")
+    out = preprocess(df, ["A"], config, semantics=semantics, shard_minutes=shard, intermediates=True).orderBy("ts").toPandas()
+    got = out["A__filtered"].to_numpy(float)
+    broken = {150, 250} if semantics == "legacy" else {150, 251}
+    want, held = [], []
+    for i, v in enumerate(tag):
+        if i in broken and semantics != "legacy" or i == 150:
+            held = []
+        held = [*held, np.nan if v is None else v][-w:]
+        full = len(held) == w and not (semantics == "schema5" and v is None)
+        want.append(np.mean(held) if full else np.nan)
+    np.testing.assert_array_equal(np.isnan(got), np.isnan(want))
+    np.testing.assert_allclose(got[~np.isnan(got)], np.array(want)[~np.isnan(got)], rtol=1e-9, atol=1e-9)
+
+
+def test_a_row_costs_the_same_under_a_long_trailing_mean(spark):
+    points = spark.range(1_000_000).select(
+        F.lit("s").alias("series_id"),
+        (F.lit(pd.Timestamp("2020-01-01")).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 5).cast("int"))).alias("ts"),
+        F.rand(1).alias("x"),
+    )
+    seconds = {}
+    for w in (100, 10_000):
+        config = PreprocessingConfig(5, 5 * w, 0, 5, filter_method="trailing_mean")
+        started = time.perf_counter()
+        rows = preprocess(points, ["x"], config).where("row_class = 'valid'")
+        count, mean = rows.agg(F.count("*"), F.avg("x__lag_000min")).first()
+        seconds[w] = time.perf_counter() - started
+        assert count == 1_000_000 - w + 1 and abs(mean - 0.5) < 0.01
+    assert seconds[10_000] < 3 * seconds[100] + 10
