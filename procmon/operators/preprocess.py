@@ -328,6 +328,24 @@ def _state_ok(config, value_of) -> Column:
     )
 
 
+def apply_state_filters(readings: DataFrame, config: PreprocessingConfig, *, allow_empty: bool = False) -> DataFrame:
+    """The rows that satisfy every state filter; a NULL satisfies none.
+
+    Filters that leave nothing of readings that were there are an error unless `allow_empty`. It is raised when the
+    result is computed, and is found out by one reading of the filtered columns alone.
+    """
+    require_columns(readings, [f.column for f in config.state_filters])
+    if not config.state_filters:
+        return readings
+    fine = _state_ok(config, lambda name: to_number(readings, name))
+    kept = readings.where(fine)
+    if allow_empty:
+        return kept
+    nothing = (F.count(F.lit(1)) > 0) & (F.count_if(fine) == 0)
+    checked = readings.agg(F.when(nothing, _fail("state filters removed all rows", "boolean")).otherwise(True))
+    return kept.where(checked.scalar())
+
+
 def _classify_inputs(rows, lay, config, ranged, exclude) -> DataFrame:
     """Everything that can be said about a row without looking at its neighbours."""
     needed = dict.fromkeys([*lay.tags, *[f.column for f in config.state_filters]])
