@@ -408,6 +408,25 @@ def series_models(spark, sf):
     return _series_models(spark, sf).select("series_id", "n", "k", "t2_95", "t2_99", "q_95", "q_99", "problem")
 
 
+@query(
+    "spectrum_moments",
+    with_ctes(
+        v="SELECT label, vec_id, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
+        c="SELECT a.label, a.j AS i, b.j AS j, corr(a.x, b.x) AS c, count(*) AS n FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2, 3",
+    )
+    + f"""SELECT CAST(label AS VARCHAR) AS series_id, max(n) AS n, {r('sum(c) FILTER (i = j) * max(n) / (max(n) - 1)')} AS total,
+      {r('sum(c * c) * power(max(n) / (max(n) - 1), 2)')} AS squares FROM c GROUP BY 1""",
+)
+def spectrum_moments(spark, sf):
+    """Sum and sum of squares of the eigenvalues of one model per label, over all 64 dimensions: trace and squared entries of its correlations."""
+    rows = vectors(spark, sf)
+    models = dpca.fit_series(rows, [vector_feature(j) for j in range(64)], n_components=2)
+    total = lambda f: F.aggregate(F.transform("eigenvalues", f), F.lit(0.0), lambda s, v: s + v)
+    return models.select(
+        F.col("series_id").cast("string").alias("series_id"), "n", rounded(total(lambda v: v)).alias("total"), rounded(total(lambda v: v * v)).alias("squares")
+    )
+
+
 @query("series_scores")
 def series_scores(spark, sf):
     rows = vectors(spark, sf)

@@ -1,4 +1,4 @@
-"""Fitting dynamic PCA models from distributed second moments."""
+"""Fitting dynamic PCA models from merged triangular factors."""
 
 from __future__ import annotations
 
@@ -8,18 +8,15 @@ from math import sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procmon.functions.columns import all_finite, col, require_columns
+from procmon.functions.columns import col, require_columns
 from procmon.functions.distributions import f_quantile, normal_quantile
 from procmon.operators.quantiles import exact_quantiles
 from procmon.operators.scoring import EPS, Model, score
+from procmon.operators.tsqr import Part, factors, part_of
 from procmon.session import ensure_checkpoint_dir
 
 LEVELS = (0.95, 0.99)
@@ -32,55 +29,53 @@ class FitError(ValueError):
 
 @dataclass(frozen=True)
 class Moments:
+    """n, means, population deviations, and a factor z of the standardised rows: z'z is theirs summed."""
+
     n: int
     mean: np.ndarray
     scale: np.ndarray
-    correlation: np.ndarray
+    z: np.ndarray
 
     @property
-    def eigenvalues(self) -> np.ndarray:
-        """Spectrum of the standardised data, largest first; n - 1 in the denominator."""
-        values = np.linalg.eigvalsh(self.correlation)[::-1] * self.n / (self.n - 1)
-        return np.clip(values[: min(self.n - 1, len(values))], 0.0, None)
+    def correlation(self) -> np.ndarray:
+        return self.z.T @ self.z / self.n
+
+    def decomposed(self) -> tuple[np.ndarray, np.ndarray]:
+        """(eigenvalues, loadings by row) of the standardised data, largest first; n - 1 in the denominator."""
+        p = len(self.mean)
+        tall = self.z if len(self.z) >= p else np.vstack([self.z, np.zeros((p - len(self.z), p))])
+        _, singular, loadings = np.linalg.svd(tall, full_matrices=False)
+        most = min(self.n - 1, p)
+        return singular[:most] ** 2 / (self.n - 1), loadings[:most]
 
 
 def effective_rank(eigenvalues: np.ndarray) -> int:
-    """Eigenvalues clearly above the rounding noise of a p x p decomposition."""
-    return int((eigenvalues > len(eigenvalues) * EPS * eigenvalues.max()).sum())
+    """Eigenvalues above the machine precision."""
+    return int((eigenvalues > EPS).sum())
+
+
+def _standardised(part: Part, features: Sequence[str]) -> Moments:
+    if part.bad:
+        raise FitError("the training matrix contains non-finite values")
+    if part.n < 3 or len(features) < 2:
+        raise FitError("a model needs at least three rows and two features")
+    scale = part.scale
+    flat = [f for f, s in zip(features, scale) if s <= EPS]
+    if flat:
+        raise FitError(f"constant features cannot be standardised: {', '.join(flat)}")
+    return Moments(part.n, part.mean, scale, part.r / scale)
 
 
 def moments(dynamic: DataFrame, features: Sequence[str]) -> Moments:
-    """Count, means, population deviations and correlations of a feature matrix.
+    """Count, means, population deviations and the triangular factor of a feature matrix.
 
-    Only p numbers per statistic and one p x p matrix come back; the products are summed
-    on the executors in a tree.
+    The rows are read once and nothing is kept of them; one p x p factor comes back.
     """
     require_columns(dynamic, features)
-    named = dynamic.select(*[col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    names = named.columns
-    named = named.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        row = named.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(~all_finite([F.col(f) for f in names])).alias("bad"),
-            *[F.avg(f).alias(f"m_{f}") for f in names],
-            *[F.stddev_pop(f).alias(f"s_{f}") for f in names],
-        ).collect()[0]
-        if row["bad"]:
-            raise FitError("the training matrix contains non-finite values")
-        n, p = row["n"], len(names)
-        if n < 3 or p < 2:
-            raise FitError("a model needs at least three rows and two features")
-        mean = np.array([row[f"m_{f}"] for f in names])
-        scale = np.array([row[f"s_{f}"] for f in names])
-        flat = [f for f, s in zip(features, scale) if s <= EPS]
-        if flat:
-            raise FitError(f"constant features cannot be standardised: {', '.join(flat)}")
-        vectors = VectorAssembler(inputCols=names, outputCol="v").transform(named).select("v")
-        matrix = Correlation.corr(vectors, "v").collect()[0][0].toArray()
-    finally:
-        named.unpersist()
-    return Moments(n, mean, scale, (matrix + matrix.T) / 2)
+    found = factors(dynamic, features).toPandas()
+    if found.empty:
+        raise FitError("a model needs at least three rows and two features")
+    return _standardised(part_of(next(found.itertuples(index=False)), len(features)), features)
 
 
 def t2_limit(n: int, k: int, level: float) -> float:
@@ -111,10 +106,7 @@ def solve(
     if not 0 < variance_threshold < 1:
         raise FitError("the variance threshold must lie strictly between 0 and 1")
     most = min(n - 1, p)
-    values, vectors = np.linalg.eigh(found.correlation)
-    order = np.argsort(values)[::-1][:most]
-    eigenvalues = np.clip(values[order] * n / (n - 1), 0.0, None)
-    loadings = vectors[:, order].T
+    eigenvalues, loadings = found.decomposed()
     rank = effective_rank(eigenvalues)
     if rank < 3:
         raise FitError("the effective rank must be at least 3 to leave room for SPE")
@@ -174,7 +166,7 @@ def matrix_report(dynamic: DataFrame, features: Sequence[str]) -> dict:
     """Whether a merged matrix can be trained on, and features that barely vary."""
     try:
         found = moments(dynamic, features)
-        if effective_rank(found.eigenvalues) < 3:
+        if effective_rank(found.decomposed()[0]) < 3:
             raise FitError("the effective rank is too low")
     except FitError as error:
         text = str(error)
@@ -199,9 +191,6 @@ MODEL_FIELDS = """n long, k int, mean array<double>, scale array<double>,
 components array<array<double>>, eigenvalues array<double>, explained array<double>,
 t2_95 double, t2_99 double, q_95 double, q_99 double, problem string"""
 
-# Partial product sums kept per Python task before they are handed on.
-HELD_NUMBERS = 4_000_000
-
 
 def fit_series(
     dynamic: DataFrame,
@@ -213,74 +202,28 @@ def fit_series(
 ) -> DataFrame:
     """One model per series, as a table; `problem` says why a series has none.
 
-    Rows are centred on their series' means first. Tasks then add up products per series,
-    and the partial sums meet in two steps, so a dominant series spreads over all tasks.
+    The rows are read once. Tasks reduce them to one triangular factor per series, and the
+    factors merge in a tree, so a dominant series spreads over all tasks.
     """
     key_cols = [col(k) for k in keys]
     p = len(features)
     names = [f"f{i}" for i in range(p)]
     rows = dynamic.select(*key_cols, *[col(f).cast("double").alias(n) for f, n in zip(features, names)])
-    sums = rows.groupBy(*key_cols).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(n) for n in names]).alias("mean"),
-        F.array(*[F.stddev_pop(n) for n in names]).alias("scale"),
-    )
-    centred = rows.join(sums.select(*key_cols, "mean"), list(keys))
-    centred = centred.select(
-        *key_cols, *[(F.col(n) - F.get("mean", F.lit(i))).alias(n) for i, n in enumerate(names)]
-    )
     key_names = list(keys)
-    packed = p * (p + 1) // 2
-    upper = np.triu_indices(p)
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        flush = lambda: pd.DataFrame(
-            [(*key, total[upper].tolist()) for key, total in held.items()], columns=[*key_names, "products"]
-        )
-        for batch in batches:
-            for key, group in batch.groupby(key_names, sort=False, dropna=False):
-                x = group[names].to_numpy(dtype=float)
-                held[key] = held.get(key, 0.0) + x.T @ x
-            if len(held) * p * p > HELD_NUMBERS:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
-
-    schema = T.StructType(
-        [rows.schema[k] for k in keys] + [T.StructField("products", T.ArrayType(T.DoubleType()))]
-    )
-    partial = centred.mapInPandas(products, schema).select(
-        *key_cols, array_to_vector("products").alias("v"), F.pmod(F.spark_partition_id(), F.lit(32)).alias("_salt")
-    )
-    partial = partial.groupBy(*key_cols, "_salt").agg(Summarizer.sum(F.col("v")).alias("v"))
-    total = partial.groupBy(*key_cols).agg(Summarizer.sum(F.col("v")).alias("v"))
-    joined = total.select(*key_cols, vector_to_array("v").alias("products")).join(sums, list(keys))
 
     def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                values = row._asdict()
-                key = [values[k] for k in key_names]
-                mean, scale = np.asarray(row.mean), np.asarray(row.scale)
-                empty = [None] * 4 + [None] * 4
-                if row.n < 3 or (scale <= EPS).any() or not np.isfinite(scale).all():
-                    why = "too few rows" if row.n < 3 else "constant or non-finite features"
-                    out.append([*key, row.n, None, mean.tolist(), scale.tolist(), None, None, None, *empty[:4], why])
-                    continue
-                matrix = np.zeros((p, p))
-                matrix[upper] = row.products
-                matrix = matrix + np.triu(matrix, 1).T
-                matrix = matrix / row.n / np.outer(scale, scale)
+                part, key = part_of(row, p), row[: len(key_names)]
+                head = [*key, part.n + part.bad]
                 try:
-                    s = solve(Moments(int(row.n), mean, scale, matrix), variance_threshold, n_components)
+                    s = solve(_standardised(part, features), variance_threshold, n_components)
                 except FitError as error:
-                    out.append([*key, row.n, None, mean.tolist(), scale.tolist(), None, None, None, *empty[:4], str(error)])
+                    out.append([*head, None, part.mean.tolist(), part.scale.tolist(), *[None] * 7, str(error)])
                     continue
                 out.append(
-                    [*key, row.n, s["k"], mean.tolist(), scale.tolist(), s["components"].tolist(),
+                    [*head, s["k"], part.mean.tolist(), part.scale.tolist(), s["components"].tolist(),
                      s["eigenvalues"].tolist(), s["explained"].tolist(), *s["t2_limits"], *s["q_limits"], None]
                 )
             columns = [*key_names, "n", "k", "mean", "scale", "components", "eigenvalues", "explained",
@@ -290,7 +233,7 @@ def fit_series(
     fields = T.StructType([rows.schema[k] for k in keys] + T._parse_datatype_string(MODEL_FIELDS).fields)
     # One small row per series, read again below and by every caller; written once.
     ensure_checkpoint_dir(dynamic.sparkSession)
-    models = joined.mapInPandas(decompose, fields).checkpoint()
+    models = factors(rows, names, keys).mapInPandas(decompose, fields).checkpoint()
     return _fill_q_limits(models, rows, names, keys)
 
 

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from procmon.operators import diagnostics, dpca
+from procmon.operators import diagnostics, dpca, tsqr
 from procmon.operators.scoring import Model, score
 from procmon.sources import model_store
 
@@ -88,6 +89,57 @@ def test_fit_refuses_bad_matrices(spark):
     assert report["code"] == "insufficient_effective_rank"
 
 
+def test_rank_of_copied_and_of_nearly_copied_columns(spark):
+    values = matrix(3, 400) * 1e-3 + 1e4
+    values[:, 5] = values[:, 0]
+    found = dpca.moments(frame(spark, values).repartition(9), FEATURES)
+    eigenvalues, _ = found.decomposed()
+    assert dpca.effective_rank(eigenvalues) == 5
+    near = matrix(3, 400)
+    near[:, 5] = near[:, 0] + 1e-6 * np.random.default_rng(1).normal(size=400)
+    eigenvalues, _ = dpca.moments(frame(spark, near).repartition(9), FEATURES).decomposed()
+    assert dpca.effective_rank(eigenvalues) == 6
+    assert eigenvalues == pytest.approx(by_svd(near)[1], rel=1e-6)
+
+
+@pytest.mark.parametrize("held", [60, 4_000_000])
+def test_factors_do_not_depend_on_the_tasks(spark, monkeypatch, held):
+    monkeypatch.setattr(tsqr, "HELD_NUMBERS", held)
+    values = {"a": matrix(1, 700), "b": matrix(2, 2), "c": matrix(4, 40)}
+    values["c"][3, 2] = np.nan
+    df = None
+    for key, rows in values.items():
+        df = frame(spark, rows, key) if df is None else df.union(frame(spark, rows, key))
+    for n in (1, 7):
+        found = {r["series_id"]: r for r in tsqr.factors(df.repartition(n), FEATURES, ["series_id"]).toPandas().to_dict("records")}
+        assert {k: (r["n"], r["bad"]) for k, r in found.items()} == {"a": (700, 0), "b": (2, 0), "c": (39, 1)}
+        for key, r in found.items():
+            good = values[key][np.isfinite(values[key]).all(1)]
+            r_ = np.array(r["r"]).reshape(-1, 6)
+            assert np.array(r["mean"]) == pytest.approx(good.mean(0), rel=1e-12)
+            assert r_.T @ r_ == pytest.approx((good - good.mean(0)).T @ (good - good.mean(0)), rel=1e-9, abs=1e-9)
+    assert tsqr.factors(df.limit(0), FEATURES).count() == 0
+
+
+def test_a_fit_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    names = [f"x{i}" for i in range(6)]
+    df = frame(spark, matrix()).toDF("series_id", *names)
+    rows = df.mapInPandas(counted, df.schema)
+    dpca.fit(rows, names)
+    assert read.value == 300
+    dpca.fit_series(rows, names)
+    assert read.value == 600
+    with pytest.raises(dpca.FitError, match="non-finite"):
+        dpca.fit(df.withColumn("x1", F.lit(None).cast("double")), names)
+
+
 def test_store_and_checks(spark, tmp_path):
     model = dpca.fit(frame(spark, matrix()), FEATURES)
     tables = model_store.model_tables(spark, {"m": model}, {"m": {"tags": ["A.PV", "B", "C"]}})
