@@ -22,7 +22,7 @@ from procmon.functions.columns import (
     outside,
     to_number,
 )
-from procmon.operators.quantiles import exact_quantiles
+from procmon.operators.brackets import bracket_columns, resolve
 from procmon.operators.shards import default_width, number_rows, with_previous
 
 RANGES = ("engineering", "normal", "alarm")
@@ -67,6 +67,9 @@ def _range_counts(tag_configs: Mapping[str, Mapping] | None) -> list[Column]:
     return found
 
 
+PROFILE_QUANTILES = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def tag_profile(
     df: DataFrame,
     tags: Sequence[str],
@@ -90,6 +93,7 @@ def tag_profile(
         F.max(good).alias("maximum"),
         F.avg(good).alias("mean"),
         F.stddev_pop(good).alias("standard_deviation"),
+        *bracket_columns(good, PROFILE_QUANTILES),
         *_range_counts(tag_configs),
     )
     usable = cells.where(finite)
@@ -99,11 +103,9 @@ def tag_profile(
         .groupBy(*[col(k) for k in by])
         .agg(F.count(F.lit(1)).alias("unique_count"))
     )
-    quantiles = exact_quantiles(
-        usable, by, "value", {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
-    )
+    quantiles = resolve(usable, by, "value", PROFILE_QUANTILES, counts)
     return (
-        counts.join(distinct, by, "left")
+        counts.drop("_n", "_ends").join(distinct, by, "left")
         .join(quantiles, by, "left")
         .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
     )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from procmon.operators import quality
+from procmon.operators.brackets import bracketed_quantiles
 from procmon.operators.quantiles import exact_quantiles
 from tests.frames import series
 
@@ -23,6 +24,37 @@ def test_quantiles_by_narrowing_equal_the_plain_ones(spark):
     assert one == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
 
+@pytest.mark.parametrize("accuracy", [10, 25, 10_000])
+def test_quantiles_by_brackets(spark, accuracy):
+    rng = random.Random(5)
+    rows = [("a", rng.gauss(5, 2)) for _ in range(3000)] + [("a", 1.5)] * 900
+    rows += [("b", float(int(rng.expovariate(0.01)))) for _ in range(1000)] + [("c", 2.0), ("c", None), ("d", None)]
+    rows += [("e", v) for v in (1.0, 2.0, float("inf"), float("-inf"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    wanted = {"low": 0.0, "p01": 0.01, "median": 0.5, "p90": 0.9, "p99": 0.99, "high": 1.0}
+    got = {r["k"]: r for r in bracketed_quantiles(df, ["k"], "v", wanted, accuracy).collect()}
+    assert set(got) == set("abce")
+    for key in "abc":
+        values = [v for k, v in rows if k == key and v is not None]
+        for name, p in wanted.items():
+            assert got[key][name] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    assert (got["e"]["low"], got["e"]["median"], got["e"]["high"]) == (float("-inf"), 1.5, float("inf"))
+    finite = df.where("k in ('a', 'b')")
+    one = bracketed_quantiles(finite, [], "v", {"m": 0.3}, accuracy).collect()
+    assert one[0]["m"] == pytest.approx(np.quantile([v for k, v in rows if k in "ab"], 0.3))
+    assert bracketed_quantiles(df.limit(0), ["k"], "v", wanted, accuracy).count() == 0
+
+
+def test_a_profile_writes_no_cells(spark):
+    df = series(spark, range(50), A=[float(i % 7) for i in range(50)], B=[None] * 50)
+    before = spark._jsc.sc().statusTracker().getJobIdsForGroup(None)
+    profile = quality.tag_profile(df, ["A", "B"])
+    assert len(spark._jsc.sc().statusTracker().getJobIdsForGroup(None)) == len(before)
+    rows = {r["tag"]: r for r in profile.collect()}
+    assert rows["A"]["median"] == np.median([i % 7 for i in range(50)]) and rows["A"]["unique_count"] == 7
+    assert rows["B"]["median"] is None and rows["B"]["valid_count"] == 0
+
+
 def test_raw_profile_kinds(spark):
     df = series(spark, range(8), A=["1", None, "", "  ", "BAD", "inf", "-inf", "2"])
     row = quality.raw_profile(df, ["A"]).collect()[0]
