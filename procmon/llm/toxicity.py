@@ -5,7 +5,8 @@ characters. Over all labelled rows, the toxic training texts that hold each feat
 too. The logarithm of the smoothed ratio scales the feature, and features below RATIO are left out: what is as frequent in clean texts, such as the common words of
 a language, says nothing. On top a logistic regression learns from a bounded sample (`PER_LABEL` texts of each label, chosen by the
 hash of the key), and its intercept is moved from the sample's share of toxic texts to the one of all labelled rows.
-The driver and each task hold at most 2**BITS counts, the driver also the sample's features, nothing of the other documents.
+The driver and each task hold at most 2**BITS counts, the driver also the sample's features, nothing of the other documents. Counts travel as
+compressed blocks, one a task and range of features. Features that no text of the sample holds have no weight and are not kept.
 
 Defined cases: a document labelled twice counts with the higher label. A null text counts as empty; an empty text has no n-grams and gets the score of the
 intercept. Rows without a label teach nothing; without rows of both labels every score is the share of
@@ -38,24 +39,32 @@ RATIO = 1.0
 TOXIC_TEXTS, CLEAN_TEXTS = 1 << 13, 1 << 14
 #: Added to the counts of both labels before the ratio is taken.
 SMOOTHING = 1.0
+#: Counts sent in one compressed block.
+BLOCK = 1 << 12
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """features: rising; ratio: of each; weights: ratio and learned weight multiplied."""
+    """features: those of the learned sample, rising; ratio: of each; weights: ratio and learned weight multiplied."""
 
     features: np.ndarray
     ratio: np.ndarray
     weights: np.ndarray
     intercept: float
 
+    @cached_property
+    def _weight(self) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        out[self.features] = self.weights
+        return out
+
     @cached_property
     def _known(self) -> np.ndarray:
         return mask(self.features)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         margins = [
-            self.weights[np.searchsorted(self.features, present(grams, self._known))].sum()
+            self._weight[present(grams, self._known)].sum()
             for part in slices([t or "" for t in texts])
             for grams in hashed(part, SIZES, BITS)
         ]
@@ -70,7 +79,10 @@ def mask(features: np.ndarray) -> np.ndarray:
 
 def present(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The known features of a text, each once, rising."""
-    return np.unique(grams[known[grams]])
+    held = np.sort(grams[known[grams]])
+    first = np.ones(len(held), bool)
+    np.not_equal(held[1:], held[:-1], out=first[1:])
+    return held[first]
 
 
 def _packed(batches):
@@ -87,17 +99,34 @@ def _counts(known):
     """Function that counts, per task, the texts with each known feature; `known` is a broadcast mask, or None for all features."""
 
     def counted(batches):
-        total, every = np.zeros(1 << BITS, np.int32), np.ones(1 << BITS, bool) if known is None else known.value
+        total, every = np.zeros(1 << BITS, np.int64), np.ones(1 << BITS, bool) if known is None else known.value
         for batch in batches:
             for part in slices(_texts(batch)):
                 for grams in hashed(part, SIZES, BITS):
                     total[present(grams, every)] += 1
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found].astype(np.int64))], ["feature", "n"])
+        blocks = total.reshape(-1, BLOCK)
+        found = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([_small(blocks[i]) for i in found], pa.binary())], ["block", "counts"])
 
     return counted
 
 
+def _small(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.tobytes(), 1)
+
+
+def _block(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.int64)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The counts of one block, summed over the tasks."""
+    total = np.zeros(BLOCK, np.int64)
+    for packed in table.column("counts").to_pylist():
+        total += _block(packed)
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([_small(total)], pa.binary())})
+
+
 def _features(known):
     def found(batches):
         for batch in batches:
@@ -109,13 +138,14 @@ def _features(known):
     return found
 
 
-def _summed(rows: DataFrame, known, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(features, texts that hold each) of all rows, rising; features in fewer than `least` texts are left out. At most 2**BITS of them."""
-    counts = rows.select("packed").mapInArrow(_counts(known), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    table = counts.where(F.col("n") >= least).toArrow()
-    features, n = np.asarray(table.column("feature")), np.asarray(table.column("n"))
-    order = np.argsort(features)
-    return features[order], n[order]
+def _summed(rows: DataFrame, known) -> np.ndarray:
+    """The number of texts that hold each of the 2**BITS features."""
+    kind = "block long, counts binary"
+    summed = rows.select("packed").mapInArrow(_counts(known), kind).groupBy("block").applyInArrow(_added, kind).toArrow()
+    total = np.zeros((1 << BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
+    for block, packed in zip(summed.column("block").to_pylist(), summed.column("counts").to_pylist()):
+        total[block] = _block(packed)
+    return total.reshape(-1)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = PER_LABEL) -> ToxicityModel:
@@ -132,15 +162,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     none = np.zeros(0)
     if not clean or not toxic:
         return ToxicityModel(none.astype(np.int64), none, none, 40.0 if toxic else -40.0)
-    of = lambda label, n, texts: usable.where(f"label = {label}").repartition(-(-n // texts), "h")
-    features, p = _summed(of(1, toxic, TOXIC_TEXTS), None, LEAST)
+    # Files are taken together, so that a task counts many texts without sending them through another exchange.
+    of = lambda label, n, texts: usable.where(f"label = {label}").coalesce(-(-n // texts))
+    counts = _summed(of(1, toxic, TOXIC_TEXTS), None)
+    features = np.flatnonzero(counts >= LEAST)
+    p = counts[features]
     shared = spark.sparkContext.broadcast(mask(features))
-    of_clean, n = _summed(of(0, clean, CLEAN_TEXTS), shared)
-    q = np.zeros(len(features))
-    q[np.searchsorted(features, of_clean)] = n
+    q = _summed(of(0, clean, CLEAN_TEXTS), shared)[features]
     ratio = np.log((p + SMOOTHING) / (toxic + 2.0 * SMOOTHING)) - np.log((q + SMOOTHING) / (clean + 2.0 * SMOOTHING))
     strong = np.abs(ratio) >= RATIO
     features, ratio = features[strong], ratio[strong]
+    del counts, p, q, strong
 
     shared = spark.sparkContext.broadcast(mask(features))
     sample = bounded_sample(usable, "label", "key", per_label).select("label", "h", "packed")
@@ -148,11 +180,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     labels, h = np.asarray(found.column("label")), np.asarray(found.column("h"))
     lists = found.column("feature").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    flat, at = np.searchsorted(features, np.asarray(lists.values)), np.asarray(lists.offsets)
+    flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
+    # A feature outside the sample would keep the weight 0.
+    used = mask(flat)[features]
+    features, ratio = features[used], ratio[used]
+    place = np.zeros(1 << BITS, np.int32)
+    place[features] = np.arange(len(features), dtype=np.int32)
     learner = Ftrl(len(features), 2, rate=0.1, l1=1e-4, l2=1e-2)
     for _ in range(EPOCHS):
         for i in np.lexsort((labels, h)):
-            rows_of = flat[at[i] : at[i + 1]]
+            rows_of = place[flat[at[i] : at[i + 1]]]
             learner.learn(rows_of, ratio[rows_of], int(labels[i]))
     w = learner.weights()
     w = w[:, 1] - w[:, 0]

@@ -100,6 +100,18 @@ def test_planted_words_and_odd_documents(spark, documents):
     assert (one.scores(["x", ""]) < 0.5).all()
 
 
+def test_features_outside_the_sample_are_not_kept_and_copies_count_once(spark):
+    rows = [(i, prose(i, 40) + (f" gnarf{i % 30:02d}" if i % 2 else ""), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole = toxicity.train(df.drop("toxic"), df.drop("text"))
+    model = toxicity.train(df.drop("toxic"), df.drop("text"), per_label=10)
+    assert 0 < len(model.features) < len(whole.features) and np.isin(model.features, whole.features).all()
+    # The ratio is the one over all labelled rows, whatever the sample.
+    assert np.array_equal(model.ratio, whole.ratio[np.searchsorted(whole.features, model.features)])
+    assert np.array_equal(toxicity.present(np.array([7, 3, 7, 9, 3]), toxicity.mask(np.array([3, 7]))), [3, 7])
+    assert len(toxicity.present(np.zeros(0, np.int32), toxicity.mask(np.array([3])))) == 0
+
+
 def test_ngrams_stay_inside_their_text():
     alone = [np.sort(next(ngrams.hashed([t], range(1, 4), 15))) for t in ("abc", "", "Ünï", "z")]
     together = [np.sort(g) for g in ngrams.hashed(["abc", "", "Ünï", "z"], range(1, 4), 15)]
