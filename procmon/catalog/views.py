@@ -5,7 +5,7 @@ Sums run over whole cents and percents, so both engines get identical averages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 1440
@@ -15,11 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole(value: Column) -> Column:
+    """round(value) as a long, halves away from zero, without the decimal numbers that `round` goes through."""
+    whole = value.cast("long")
+    return F.when(value - whole >= 0.5, whole + 1).when(value - whole <= -0.5, whole - 1).otherwise(whole)
+
+
 def _daily(spark, sf_dir, series) -> DataFrame:
-    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / F.lit(100.0)
+    """Nearly every group of a supplier is one row, so keys and days are grouped as numbers and named afterwards."""
+    cents = lambda c: F.sum(_whole(F.col(c) * 100)).cast("double") / F.lit(100.0)
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(series.cast("string").alias("series_id"), F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts"))
+        .groupBy(series.alias("_series"), F.col("l_shipdate").cast("date").alias("_day"))
         .agg(
             (F.sum("l_quantity") / F.count(F.lit(1))).alias("qty"),
             (cents("l_extendedprice") / F.count(F.lit(1))).alias("price"),
@@ -27,6 +34,10 @@ def _daily(spark, sf_dir, series) -> DataFrame:
             (cents("l_tax") / F.count(F.lit(1))).alias("tax"),
             F.count(F.lit(1)).alias("lines"),
         )
+        .select(
+            F.col("_series").cast("string").alias("series_id"), F.col("_day").cast("timestamp_ntz").alias("ts"),
+            "qty", "price", "disc", "tax", "lines",
+        )
     )
 
 
