@@ -136,7 +136,13 @@ def cluster_summary(
     segment: str | None = None,
     width: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(per cluster, per cluster and tag): size, duration, spread, and unlagged tag values."""
+    """(per cluster, per cluster and tag): size, duration, spread, and unlagged tag values.
+
+    The points are written once: the counts, both quantiles, the runs and the values read them, not the scoring behind them.
+    """
+    needed = dict.fromkeys([*keys, "ts", "cluster_id", "center_distance", *([segment] if segment else []), *[feature_name(t, 0) for t in tags]])
+    ensure_checkpoint_dir(points.sparkSession)
+    points = points.select(*[col(c) for c in needed]).checkpoint()
     counted = points.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.stddev_pop("center_distance").alias("pc_score_dispersion"),

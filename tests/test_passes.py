@@ -31,6 +31,12 @@ def test_join_keys_are_not_tested_below_the_grouping(spark):
     assert {(r["p"], r["q"]) for r in placed.collect()} == {(i, i) for i in range(40)}
 
 
+def test_cluster_summary_scores_once(spark):
+    clusters, tags = clustering.cluster_summary(points(spark), ["A"], STEP)
+    assert "Range (" not in optimised(clusters) and "Range (" not in optimised(tags)
+    assert {r["cluster_id"]: (r["sample_count"], r["segment_count"]) for r in clusters.collect()} == {"cluster_001": (20, 2), "cluster_002": (20, 2)}
+
+
 def test_whole_numbers_round_like_round(spark):
     values = [0.5, -0.5, 1.5, -2.5, 2.4999999999999996, 0.49999999999999994, 104.99999999999999, 7.0, -7.9, 0.0, 123456789012.5, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
