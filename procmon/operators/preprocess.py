@@ -32,6 +32,7 @@ from procmon.functions.columns import (
     within,
 )
 from procmon.operators.shards import OWN, SHARD, scan, shard_rows, shard_window
+from procmon.session import ensure_checkpoint_dir
 
 SEMANTICS = ("schema5", "legacy")
 
@@ -503,6 +504,9 @@ def _first_order(rows, lay, config, width) -> DataFrame:
     carried = F.when(F.col("from_") == 0, power(F.col("j") + 1)).otherwise(F.lit(0.0))
     rows = rows.withColumn("slope", carried).drop(*zs, *[f"p{z}" for z in zs], *[f"q{z}" for z in zs])
 
+    # Read once for the states of the shards and once for the result, with everything before it behind both.
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()
     in_stride = F.col("act") & (F.col("us") < F.col(SHARD) + F.lit(width - reach))
     states = (
         rows.where(in_stride)

@@ -37,6 +37,13 @@ def test_cluster_summary_scores_once(spark):
     assert {r["cluster_id"]: (r["sample_count"], r["segment_count"]) for r in clusters.collect()} == {"cluster_001": (20, 2), "cluster_002": (20, 2)}
 
 
+def test_first_order_prepares_once(spark):
+    config = PreprocessingConfig(5, 0, 0, 5, filter_method="first_order", first_order_alpha=0.5)
+    rows = preprocess(points(spark), ["A"], config, shard_minutes=50)
+    assert "Range (" not in optimised(rows)
+    assert rows.where("row_class = 'valid'").count() == 40
+
+
 def test_whole_numbers_round_like_round(spark):
     values = [0.5, -0.5, 1.5, -2.5, 2.4999999999999996, 0.49999999999999994, 104.99999999999999, 7.0, -7.9, 0.0, 123456789012.5, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
