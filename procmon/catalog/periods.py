@@ -29,6 +29,7 @@ from procmon.config import MINUTE, PreprocessingConfig
 from procmon.operators import validation, windows
 from procmon.operators.contributions import combined_events, event_contributions
 from procmon.plans import training
+from procmon.session import ensure_checkpoint_dir
 
 YEAR = 365 * 1440 * MINUTE
 
@@ -257,7 +258,9 @@ def _validated(spark, sf):
             for i, k, a, b in PERIODS
         ],
     )
-    scores = windows.in_windows(scored(spark, sf), w)
+    # Written once: the metrics and the events both read the scores.
+    ensure_checkpoint_dir(spark)
+    scores = windows.in_windows(scored(spark, sf), w).checkpoint()
     events = combined_events(scores, MODEL, INTERVAL, keys=["series_id", "window_id", "window_type"], width=40 * INTERVAL)
     return scores, events
 
