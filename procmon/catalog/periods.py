@@ -72,18 +72,18 @@ def merge_exclusions(spark, sf):
     )
 
 
-def _exclusions(spark, sf):
+def _exclusions(shipments):
     """A closed period per supplier around each of its largest shipments."""
-    s = supply(spark, sf).where(F.col("price") > 100000)
+    s = shipments.where(F.col("price") > 100000)
     return s.select(
         "series_id", F.concat_ws("-", "series_id", text_time(F.col("ts"))).alias("window_id"),
         F.col("ts").alias("window_start"), (F.col("ts") + F.expr("INTERVAL 6 DAYS")).alias("window_end"),
     )
 
 
-def _halves(spark, sf):
+def _halves(shipments):
     """Two candidate periods per supplier: before and after the start of 1999."""
-    s = supply(spark, sf).withColumn("window_id", F.when(F.year("ts") < 1999, "early").otherwise("late"))
+    s = shipments.withColumn("window_id", F.when(F.year("ts") < 1999, "early").otherwise("late"))
     return s.groupBy("series_id", "window_id").agg(F.min("ts").alias("window_start"), F.max("ts").alias("window_end"))
 
 
@@ -108,7 +108,10 @@ def _halves(spark, sf):
     UNION ALL SELECT series_id, window_id, {t('lo')}, {t('hi')} FROM c WHERE (series_id, window_id) NOT IN (SELECT (series_id, window_id) FROM hit)""",
 )
 def subtract_exclusions(spark, sf):
-    p = windows.subtract_windows(_halves(spark, sf), _exclusions(spark, sf), supply(spark, sf), width=YEAR)
+    # Written once: candidates, exclusions and timestamps all read the shipments.
+    ensure_checkpoint_dir(spark)
+    shipments = supply(spark, sf).select("series_id", "ts", "price").checkpoint()
+    p = windows.subtract_windows(_halves(shipments), _exclusions(shipments), shipments, width=YEAR)
     return p.select("series_id", "window_id", text_time(F.col("start")).alias("start"), text_time(F.col("end")).alias("stop"))
 
 

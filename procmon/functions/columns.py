@@ -134,11 +134,14 @@ DAY_US = 24 * 60 * MINUTE
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a naive time, read off its calendar fields: no time zone takes part."""
+    """Microseconds since 1970 of a naive time, by its day and the time since midnight: no time zone takes part.
+
+    An interval turns into a whole number by its seconds; a day of microseconds, taken as seconds, fits.
+    """
     naive = ts.cast("timestamp_ntz")
-    seconds = (F.hour(naive) * 60 + F.minute(naive)) * 60
-    fraction = (F.date_part(F.lit("SECOND"), naive) * 1_000_000).cast("long")
-    return F.unix_date(naive.cast("date")).cast("long") * DAY_US + seconds.cast("long") * 1_000_000 + fraction
+    day = naive.cast("date")
+    since = (naive - day.cast("timestamp_ntz")) * F.lit(1_000_000)
+    return F.unix_date(day).cast("long") * DAY_US + since.cast("interval second").cast("long")
 
 
 def from_micros(us: Column) -> Column:

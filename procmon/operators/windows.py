@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procmon.config import MINUTE, PreprocessingConfig
 from procmon.functions.columns import col, from_micros, micros
-from procmon.operators.shards import scan, shard_rows
+from procmon.operators.shards import SHARD, scan, shard_of, shard_rows
+from procmon.session import ensure_checkpoint_dir
 
 # The exact fields of each kind of window, and the validation types.
 TRAINING_FIELDS = ("id", "start", "end", "source", "source_ref", "enabled", "comment")
@@ -238,14 +240,22 @@ def subtract_windows(
 
     Cuts snap to timestamps that exist: the last one before an exclusion and the first one
     after it. Outer ends stay as given; a candidate no exclusion touches is returned whole.
-    Both window tables carry `keys`, window_id, window_start and window_end. Exclusions,
-    candidate ends and timestamps are swept once, in time order.
+    Both window tables carry `keys`, window_id, window_start and window_end. The timestamps are swept
+    once, shard by shard, and only the first and last free one between two events (a begin of an exclusion,
+    an end of a candidate) go on; an exclusion that reaches into later shards is told to each of them.
     """
     key_cols = [col(k) for k in keys]
-    merged = merge_windows(exclusions, keys=keys, width=width)
     none = F.lit(None).cast("long")
-
-    def event(df, us, kind, stop, name):
+    # Windows and stretches are few beside the timestamps; written once, read by each step below.
+    ensure_checkpoint_dir(times.sparkSession)
+    exclusions = exclusions.select(*key_cols, "window_id", "window_start", "window_end").checkpoint()
+    merged = merge_windows(exclusions, keys=keys, width=width).select(
+        *key_cols, micros(F.col("window_start")).alias("_from"), micros(F.col("window_end")).alias("_to")
+    ).checkpoint()
+    named = candidates.withColumn("window_id", F.col("window_id").cast("string")).checkpoint()
+    start, end = micros(F.col("window_start")), micros(F.col("window_end"))
+
+    def event(df, us, kind, stop=none, name=F.lit(None).cast("string")):
         return df.select(
             *key_cols,
             us.alias("_us"),
@@ -254,41 +264,64 @@ def subtract_windows(
             name.alias("_name"),
         )
 
-    begin = event(
-        merged, micros(F.col("window_start")), 0, micros(F.col("window_end")), F.lit(None).cast("string")
-    )
-    moments = times.select(*key_cols, micros(col(ts)).alias("_t")).distinct()
-    moment = event(moments, F.col("_t"), 1, none, F.lit(None).cast("string"))
-    finish = event(candidates, micros(F.col("window_end")), 2, none, F.col("window_id").cast("string"))
-    swept = scan(
-        shard_rows(begin.unionByName(moment).unionByName(finish), "_us", width),
+    begin = event(merged, F.col("_from"), 0, F.col("_to"))
+    finish = event(named, end, 2, name=F.col("window_id"))
+    totals = scan(
+        shard_rows(begin.unionByName(finish), "_us", width),
         keys,
         "_us",
-        {
-            "_begun": ("sum", (F.col("_kind") == 0).cast("long")),
-            "_blocked": ("max", F.col("_stop")),
-        },
+        {"_all": ("sum", (F.col("_kind") == 0).cast("long")), "_last_stop": ("max", F.col("_stop"))},
         then=["_kind", "_name"],
     )
-    totals = swept.where("_kind = 2").select(
+    totals = totals.where("_kind = 2").select(*key_cols, F.col("_name").alias("window_id"), "_all", "_last_stop")
+    open_candidates = named.join(totals, [*keys, "window_id"]).checkpoint()
+    touched = F.coalesce(F.col("_last_stop") >= start, F.lit(False))
+    whole = open_candidates.where(~touched).select(
+        *key_cols, "window_id", F.col("window_start").alias("start"), F.col("window_end").alias("end")
+    )
+
+    # Order at one time: exclusions that go on, candidates that start, exclusions that begin, timestamps, candidates that end.
+    later = merged.withColumn("_at", F.explode(F.sequence(shard_of(F.col("_from"), width), shard_of(F.greatest("_from", "_to"), width), F.lit(width))))
+    events = (
+        event(later.where(F.col("_at") > F.col("_from")), F.col("_at"), -2, F.col("_to"))
+        .unionByName(event(named, start, -1))
+        .unionByName(begin)
+        .unionByName(event(times, micros(col(ts)), 1))
+        .unionByName(finish)
+    )
+    upto = Window.partitionBy(*key_cols, SHARD).orderBy("_us", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = shard_rows(events.drop("_name"), "_us", width).select(
         *key_cols,
-        F.col("_name").alias("window_id"),
-        F.col("_begun").alias("_all"),
-        F.col("_blocked").alias("_last_stop"),
+        SHARD,
+        "_us",
+        "_kind",
+        F.max("_stop").over(upto).alias("_here"),
+        F.count_if(F.col("_kind") == 0).over(upto).alias("_begun"),
+        F.count_if(F.col("_kind").isin(-1, 2)).over(upto).alias("_edges"),
     )
-    open_candidates = candidates.withColumn("window_id", F.col("window_id").cast("string")).join(
-        totals, [*keys, "window_id"]
+    free = F.when((F.col("_kind") == 1) & (F.col("_here").isNull() | (F.col("_here") < F.col("_us"))), F.col("_us"))
+    stretches = swept.groupBy(*key_cols, SHARD, "_begun", "_edges").agg(
+        F.min(free).alias("_first"), F.max(free).alias("_last"), F.max("_here").alias("_here")
+    ).checkpoint()
+    along = Window.partitionBy(*key_cols).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    before = stretches.groupBy(*key_cols, SHARD).agg(F.max("_begun").alias("_n"), F.max("_here").alias("_stop")).select(
+        *key_cols, SHARD, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_n"), F.max("_stop").over(along).alias("_stop")
     )
-    touched = F.coalesce(F.col("_last_stop") >= micros(F.col("window_start")), F.lit(False))
-    whole = open_candidates.where(~touched).select(
-        *key_cols, "window_id", F.col("window_start").alias("start"), F.col("window_end").alias("end")
+    placed = stretches.where(F.col("_first").isNotNull()).join(before, [*keys, SHARD]).select(
+        *key_cols,
+        from_micros(F.col("_first")).alias("_first"),
+        from_micros(F.col("_last")).alias("_last"),
+        (F.col("_begun") + F.col("_n")).alias("_begun"),
+        F.greatest("_here", "_stop").alias("_blocked"),
+    )
+    # Bins as long as the average candidate: each falls into few of them, and few share one.
+    length = open_candidates.agg(F.avg(end - start)).first()[0] or 0
+    inside = in_windows(
+        placed, open_candidates.where(touched), ts="_first", on=keys, bin_us=DAY_US * max(1, ceil(length / DAY_US))
     )
-    free = swept.where((F.col("_kind") == 1) & (F.col("_blocked").isNull() | (F.col("_blocked") < F.col("_us"))))
-    free = free.select(*key_cols, from_micros(F.col("_us")).alias("_ts"), "_begun", "_blocked")
-    inside = in_windows(free, open_candidates.where(touched), ts="_ts", on=keys)
-    leads = F.col("_blocked").isNull() | (F.col("_blocked") < micros(F.col("window_start")))
+    leads = F.col("_blocked").isNull() | (F.col("_blocked") < start)
     pieces = inside.groupBy(*key_cols, "window_id", "window_start", "window_end", "_begun", "_all").agg(
-        F.min("_ts").alias("_first"), F.max("_ts").alias("_last"), F.bool_and(leads).alias("_leads")
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.bool_and(leads).alias("_leads")
     )
     cut = pieces.select(
         *key_cols,
