@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procmon.catalog.registry import number, query, r, rounded, t, text_time, with_ctes
 from procmon.catalog.timegrid import BASE, CLASSES, FEATURES, SHARD, TAGS, class_ctes, prepared
-from procmon.catalog.views import DAY, supply, table, vector_feature, vectors
+from procmon.catalog.views import DAY, supply, supply_times, table, vector_feature, vectors
 from procmon.config import MINUTE
 from procmon.operators import contributions, diagnostics, dpca
 from procmon.operators.replay import replay, replay_contributions, replay_summary
@@ -301,7 +301,8 @@ _REPLAY_CTES = {
 
 def _replay(spark, sf):
     return replay(
-        supply(spark, sf), MODEL, TAGS, BASE, _START, _END, source_interval_minutes=DAY, shard_minutes=SHARD
+        supply(spark, sf), MODEL, TAGS, BASE, _START, _END, source_interval_minutes=DAY, shard_minutes=SHARD,
+        times=supply_times(spark, sf),
     )
 
 

@@ -46,6 +46,13 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir, F.col("l_suppkey"))
 
 
+def supply_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and days as in `supply`, a row for each shipment: nothing is grouped."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").cast("date").cast("timestamp_ntz").alias("ts")
+    )
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments per return flag and day: few dense series."""
     return _daily(spark, sf_dir, F.col("l_returnflag"))

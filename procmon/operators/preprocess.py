@@ -103,6 +103,7 @@ def preprocess(
     shard_minutes: int | None = None,
     segment_ids: bool = False,
     intermediates: bool = False,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Classify every row and attach its lagged features.
 
@@ -111,6 +112,9 @@ def preprocess(
     outside it are classed `partial_bin`. With resampling, the raw step must be known:
     `source_interval_minutes`, which `segments.modal_interval` measures.
 
+    The step from one shard into the next is checked on keys and times read apart. Where `readings` come out of a
+    grouping, `times` names rows with the same keys and times before it, repeated ones included.
+
     Result: keys, `ts`, `row_class`, `bucket_rows`, `bucket_first`, `bucket_last` (raw
     rows behind the row and their times), `raw_segment_start`, `segment_start`,
     tag values on the target grid, one column per feature; with `intermediates` also
@@ -147,7 +151,13 @@ def preprocess(
     label = bucket_label(F.col("us"), config.interval_us) if config.resamples else F.col("us")
     sharded = shard_rows(numeric.withColumn("label", label), "label", width, margin)
 
-    times = shard_rows(numeric.select(*keys, "us", label.alias("label")), "label", width)
+    if times is not None:
+        require_columns(times, [*keys, ts])
+        seen = times.select(*[present(times, k).alias(k) for k in keys], micros(present(times, ts)).alias("us"))
+        seen = seen.withColumn("label", label)
+    else:
+        seen = numeric.select(*keys, "us", label.alias("label"))
+    times = shard_rows(seen, "label", width)
     rows = _raw_segments(sharded, times, lay, config, raw_gap_us, source_interval_minutes)
     if config.resamples:
         rows = _resample(rows, lay, config, list(ranges), bounds)
@@ -170,7 +180,13 @@ def preprocess(
 
     result = rows.where(F.col(OWN))
     if segment_ids:
-        result = _number_segments(result, lay)
+        features = [f"f{i}" for i in range(len(tags) * len(config.lags))]
+        flags = [f"e{i}" for i in range(len(tags))]
+        needed = {
+            *keys, SHARD, "us", "cls", "n", "first_us", "last_us", "gap", "starts", "kept", *lay.xs, *flags, *features,
+            *(lay.ys if intermediates else ()),
+        }
+        result = _number_segments(result, lay, needed)
     return _project(result, lay, config, intermediates, segment_ids)
 
 
@@ -643,9 +659,14 @@ def _legacy(rows, lay, config) -> DataFrame:
     return present.unionByName(partial, allowMissingColumns=True)
 
 
-def _number_segments(rows, lay) -> DataFrame:
-    """Global zero-based segment numbers from the shard summary."""
+def _number_segments(rows, lay, needed) -> DataFrame:
+    """Global zero-based segment numbers from the shard summary.
+
+    The `needed` columns are written once: the numbers in the shard and the summary both read the finished rows.
+    """
     starts = F.coalesce(F.col("starts"), F.lit(False))
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.select(*[col(c) for c in rows.columns if c in needed]).checkpoint()
     rows = scan(
         rows,
         lay.keys,

@@ -62,11 +62,12 @@ def replay(
     semantics: str = "schema5",
     source_interval_minutes: float | None = None,
     shard_minutes: int | None = None,
+    times: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores of [start, end] and the preprocessed history behind them.
 
     The history bound is applied before the windows, so it prunes the scan. Rows that
-    cannot be scored stay in the result with a reason.
+    cannot be scored stay in the result with a reason. `times` as in `preprocess`.
     """
     if list(model.features) != feature_names(tags, config):
         raise ValueError("the model's features do not match the preprocessing")
@@ -74,12 +75,10 @@ def replay(
     if first > last:
         raise ValueError("the replay starts after its end")
     upto = F.lit(last).cast("timestamp_ntz")
-    history = readings.where(col(ts) <= upto)
     bound = history_start(first, config, semantics)
-    if bound is not None:
-        history = history.where(col(ts) >= bound)
+    inside = col(ts) <= upto if bound is None else (col(ts) <= upto) & (col(ts) >= bound)
     rows = preprocess(
-        history,
+        readings.where(inside),
         tags,
         config,
         ts=ts,
@@ -88,6 +87,7 @@ def replay(
         source_interval_minutes=source_interval_minutes,
         shard_minutes=shard_minutes,
         segment_ids=True,
+        times=None if times is None else times.where(inside),
     )
     output = rows.where(
         F.col("ts").between(F.lit(first).cast("timestamp_ntz"), upto)
