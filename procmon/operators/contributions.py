@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from procmon.functions.columns import append_columns, col, from_micros, is_finite, micros, parse_feature
 from procmon.operators.runs import runs
 from procmon.operators.scoring import Model, dot, exceeds, fence, standardised
+from procmon.session import ensure_checkpoint_dir
 
 
 def _magnitudes(df: DataFrame, model: Model) -> DataFrame:
@@ -44,12 +45,6 @@ def _magnitudes(df: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def _reach(values: Column, threshold: Column) -> Column:
-    """How many leading entries are at least `threshold`."""
-    stop = F.array_position(F.transform(values, lambda v: v >= threshold), F.lit(False))
-    return F.when(stop > 0, stop - 1).otherwise(F.size(values)).cast("int")
-
-
 def tag_shares(
     magnitudes: Column, features: Sequence[str], tag_configs: Mapping[str, Mapping] | None = None
 ) -> Column:
@@ -63,34 +58,57 @@ def tag_shares(
     for j, name in enumerate(features):
         tag, lag = parse_feature(name)
         places.setdefault(tag, []).append((lag, j))
-    total = F.aggregate(magnitudes, F.lit(0.0), lambda a, v: a + v)
+    plus = lambda a, v: a + v
+    total = F.aggregate(magnitudes, F.lit(0.0), plus)
     entries = []
     for tag, spots in places.items():
         spots.sort()
-        lags = F.array(*[F.lit(lag) for lag, _ in spots])
-        values = F.array(*[F.get(magnitudes, F.lit(j)) for _, j in spots])
-        peak = F.array_max(values)
-        at = F.array_position(values, peak).cast("int")
-        left = F.reverse(F.slice(values, F.lit(1), at - 1))
-        right = F.slice(values, at + 1, F.lit(len(spots)))
-        first = at - _reach(left, peak * 0.5)
-        last = at + _reach(right, peak * 0.5)
-        share = F.when(total == 0, F.lit(0.0)).otherwise(
-            F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / total * 100.0
-        )
         meta = (tag_configs or {}).get(tag, {})
         entries.append(
             F.struct(
-                (-share).alias("order"),
                 F.lit(tag).alias("tag"),
                 F.lit(str(meta.get("description", ""))).alias("description"),
                 F.lit(str(meta.get("unit", ""))).alias("unit"),
-                share.alias("contribution_pct"),
-                F.get(lags, first - 1).alias("lag_start_minutes"),
-                F.get(lags, last - 1).alias("lag_end_minutes"),
+                F.array(*[F.lit(lag) for lag, _ in spots]).alias("lags"),
+                F.array(*[F.get(magnitudes, F.lit(j)) for _, j in spots]).alias("values"),
+                total.alias("total"),
             )
         )
-    return F.transform(F.array_sort(F.array(*entries)), lambda e: e.dropFields("order"))
+    # Each step is handed to the next as a field: an expression used twice would be computed twice.
+    step = lambda array, names, more: F.transform(
+        array, lambda e: F.struct(*[e[n].alias(n) for n in names], *[v.alias(n) for n, v in more(e).items()])
+    )
+    known = ["tag", "description", "unit", "lags", "values", "total"]
+    peaked = step(
+        F.array(*entries), known,
+        lambda e: {"peak": F.array_max(e["values"]), "sum": F.aggregate(e["values"], F.lit(0.0), plus)},
+    )
+    below = lambda e: F.transform(e["values"], lambda v, i: F.when(v < e["peak"] * 0.5, i + 1))
+    placed = step(
+        peaked, known,
+        lambda e: {
+            "at": F.array_position(e["values"], e["peak"]).cast("int"),
+            "below": F.array_compact(below(e)),
+            "contribution_pct": F.when(e["total"] == 0, F.lit(0.0)).otherwise(e["sum"] / e["total"] * 100.0),
+        },
+    )
+    found = step(
+        placed, ["tag", "description", "unit", "lags", "contribution_pct"],
+        lambda e: {
+            "first": F.coalesce(F.array_max(F.filter(e["below"], lambda i: i < e["at"])) + 1, F.lit(1)),
+            "last": F.coalesce(F.array_min(F.filter(e["below"], lambda i: i > e["at"])) - 1, F.size(e["values"])),
+        },
+    )
+    shaped = F.transform(
+        found,
+        lambda e: F.struct(
+            (-e["contribution_pct"]).alias("order"),
+            *[e[n].alias(n) for n in ("tag", "description", "unit", "contribution_pct")],
+            F.get(e["lags"], e["first"] - 1).alias("lag_start_minutes"),
+            F.get(e["lags"], e["last"] - 1).alias("lag_end_minutes"),
+        ),
+    )
+    return F.transform(F.sort_array(shaped), lambda e: e.dropFields("order"))
 
 
 def exceedance_contributions(
@@ -196,14 +214,15 @@ def event_contributions(
 ) -> DataFrame:
     """Events with the tag shares of their peak row.
 
-    Peaks meet their feature rows on (keys, time), which spreads a busy series evenly.
+    Peaks meet their feature rows on (keys, time), which spreads a busy series evenly. The rows above a limit are
+    written once: the runs and the features both read them, not the scoring behind them.
     """
-    events = statistic_events(scored, model, interval_us, keys=keys, width=width)
-    rows = scored.where(F.col("score_valid") & exceeds(model)["overall"]).select(
-        *[col(k) for k in keys],
-        F.col("ts").alias("peak_ts"),
-        *[col(f) for f in model.features],
-    )
+    ensure_checkpoint_dir(scored.sparkSession)
+    hit = scored.where(F.col("score_valid") & exceeds(model)["overall"]).select(
+        *[col(k) for k in keys], "ts", "t2", "spe", "score_valid", *[col(f) for f in model.features]
+    ).checkpoint()
+    events = statistic_events(hit, model, interval_us, keys=keys, width=width)
+    rows = hit.select(*[col(k) for k in keys], F.col("ts").alias("peak_ts"), *[col(f) for f in model.features])
     at_peak = _magnitudes(events.join(rows, [*keys, "peak_ts"]), model)
     values = F.when(F.col("statistic") == "t2", F.col("_c_t2")).otherwise(F.col("_c_spe"))
     found = fence(at_peak, events.columns, magnitudes=values)
