@@ -204,14 +204,13 @@ def cluster_candidates(
 ) -> DataFrame:
     """Long, calm stretches near their cluster's center, best first within each cluster."""
     same = ["cluster_id", *([segment] if segment else [])]
-    tagged = tag_runs(
-        points.select(
-            *[col(k) for k in keys], "ts", *[col(s) for s in same], "center_distance", *[col(p) for p in pcs]
-        ),
-        interval_us, keys=keys, same=same, width=width,
-    )
-    # Read four times below; written once so that the runs are not found again each time.
+    # Written once: the rows and the shard ends that carry runs on both read them, not the scoring behind them.
     ensure_checkpoint_dir(points.sparkSession)
+    points = points.select(
+        *[col(k) for k in keys], "ts", *[col(s) for s in same], "center_distance", *[col(p) for p in pcs]
+    ).checkpoint()
+    tagged = tag_runs(points, interval_us, keys=keys, same=same, width=width)
+    # Read four times below; written once so that the runs are not found again each time.
     tagged = tagged.checkpoint()
     by = [*keys, "cluster_id", "run_start"]
     means = tagged.groupBy(*[col(b) for b in by]).agg(
