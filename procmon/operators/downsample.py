@@ -35,7 +35,7 @@ def _with_totals(rows: DataFrame, keys: Sequence[str], **totals: Column) -> Data
 
 
 def _keep(rows: DataFrame) -> DataFrame:
-    """Write the marked rows once; the choices below read them several times."""
+    """Write the rows once: neighbours and totals read them twice, and the choices below the marked ones several times."""
     ensure_checkpoint_dir(rows.sparkSession)
     return rows.checkpoint()
 
@@ -156,7 +156,7 @@ def downsample_scores(
     key_cols = [col(k) for k in keys]
     statuses = ("status", "t2_status", "spe_status")
     numbered = annotate(
-        scores.withColumn("_us", micros(col(ts))), keys, "_us", width,
+        _keep(scores.withColumn("_us", micros(col(ts)))), keys, "_us", width,
         previous={f"_was_{s}": F.col(s) for s in statuses},
         following={f"_then_{s}": F.col(s) for s in statuses},
         position="_pos", total="_n",
@@ -271,7 +271,7 @@ def downsample_states(
     if segment:
         near["_segment_"] = col(segment)
     numbered = annotate(
-        points.withColumn("_us", micros(col(ts))), keys, "_us", width,
+        _keep(points.withColumn("_us", micros(col(ts)))), keys, "_us", width,
         previous=near, position="_pos", total="_n",
     )
     broken = F.col("_us") - F.col("_us_") != interval_us
