@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procmon.config import PreprocessingConfig
@@ -26,8 +26,9 @@ def loss_summary(
     by: Sequence[str] = ("series_id",),
     semantics: str = "schema5",
     n_tags: int = 0,
+    more: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Counters of one preprocessed frame per group, in a single aggregation."""
+    """Counters of one preprocessed frame per group, in a single aggregation, with `more` aggregates if wanted."""
     cls = F.col("row_class")
     partial = cls == "partial_bin"
     present = ~partial
@@ -59,6 +60,7 @@ def loss_summary(
         count(cls == "lag_context").alias("lag_context_invalid_loss"),
         count(cls == "valid").alias("final_dynamic_row_count"),
         F.lit(n_tags * len(config.lags)).alias("dynamic_feature_count"),
+        *[value.alias(name) for name, value in (more or {}).items()],
     )
 
 

@@ -63,11 +63,12 @@ def build_training_set(
     shard_minutes: int | None = None,
     tag_configs: Mapping[str, Mapping] | None = None,
     check_quality: bool = False,
+    times: DataFrame | None = None,
 ) -> TrainingSet:
     """Cut the readings into the enabled windows and preprocess all of them in one job.
 
     With `tag_configs` the roles of the tags are checked; `check_quality` refuses readings
-    with faults that must not be trained on, and runs a job for it.
+    with faults that must not be trained on, and runs a job for it. `times` as in `preprocess`.
     """
     if tag_configs is not None:
         required_roles(tags, [f.column for f in config.state_filters], tag_configs)
@@ -78,9 +79,8 @@ def build_training_set(
     frame = windows_frame(readings.sparkSession, checked)
     # The outer bounds reach the scan; the join then assigns rows to windows.
     first, last = min(w["start"] for w in enabled), max(w["end"] for w in enabled)
-    near = readings.where(
-        col(ts).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"))
-    )
+    inside = col(ts).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"))
+    near = readings.where(inside)
     bounds = frame.where("enabled").select("window_id", "window_start", "window_end")
     if check_quality:
         quality_gate(
@@ -100,6 +100,7 @@ def build_training_set(
         source_interval_minutes=source_interval_minutes,
         shard_minutes=shard_minutes,
         segment_ids=True,
+        times=None if times is None else in_windows(times.where(inside), bounds, ts=ts),
     )
     return TrainingSet(rows, frame, tuple(tags), config, tuple(keys))
 
@@ -120,11 +121,9 @@ def _outcome(summary: DataFrame, config: PreprocessingConfig) -> DataFrame:
 def segment_summary(training: TrainingSet) -> DataFrame:
     """Losses and outcome per window and physical segment."""
     by = [*training.keys, "window_id", "raw_segment_id"]
-    counted = loss_summary(training.rows, training.config, by=by, n_tags=len(training.tags))
-    spans = training.rows.groupBy(*[col(b) for b in by]).agg(
-        F.min("bucket_first").alias("start"), F.max("bucket_last").alias("end")
-    )
-    result = _outcome(counted.join(spans, by), training.config)
+    spans = {"start": F.min("bucket_first"), "end": F.max("bucket_last")}
+    counted = loss_summary(training.rows, training.config, by=by, n_tags=len(training.tags), more=spans)
+    result = _outcome(counted, training.config)
     number = F.format_string("%s-segment-%03d", F.col("window_id"), F.col("raw_segment_id") + 1)
     return result.withColumn("segment_name", number).drop("raw_segment_count", "raw_gap_count")
 
