@@ -23,6 +23,7 @@ from procmon.catalog.views import (
     daily,
     order_windows,
     supply,
+    supply_times,
     table,
 )
 from procmon.config import MINUTE, PreprocessingConfig
@@ -158,7 +159,8 @@ CONFIG = PreprocessingConfig(
 
 def _training(spark, sf):
     return training.build_training_set(
-        supply(spark, sf), WINDOWS, TAGS, CONFIG, source_interval_minutes=DAY, shard_minutes=SHARD
+        supply(spark, sf), WINDOWS, TAGS, CONFIG, source_interval_minutes=DAY, shard_minutes=SHARD,
+        times=supply_times(spark, sf),
     )
 
 
@@ -347,7 +349,9 @@ def detection(spark, sf):
       count(*) AS row_count FROM scored WHERE year(make_timestamp(us)) % 4 <> 3 GROUP BY 1, 2""",
 )
 def label_crosstab(spark, sf):
-    scores = scored(spark, sf)
+    # Written once: the statuses and the labels made of their times both read the scores.
+    ensure_checkpoint_dir(spark)
+    scores = scored(spark, sf).select("series_id", "ts", "status").checkpoint()
     year = F.year("ts") % 4
     labels = scores.select("series_id", "ts", F.when(year != 3, year).alias("label"))
     return validation.label_crosstab(scores, labels)

@@ -1,13 +1,18 @@
 """What is read once stays read once, and join keys cost nothing below the grouping that makes the rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from procmon import PreprocessingConfig
+from procmon import ExplorationConfig, PreprocessingConfig
+from procmon.catalog.periods import label_crosstab
 from procmon.catalog.views import _whole
 from procmon.functions.columns import from_micros, micros
-from procmon.operators import clustering
+from procmon.operators import clustering, contributions
+from procmon.operators.downsample import downsample_scores, downsample_states
 from procmon.operators.preprocess import preprocess
+from procmon.operators.scoring import Model, score
 from procmon.operators.shards import number_rows
+from procmon.plans import training
 
 STEP = 5 * 60_000_000
 
@@ -54,3 +59,92 @@ def test_times_come_back_to_the_microsecond(spark):
     us = [0, 1, -1, 86_399_999_999, 86_400_000_000, -86_400_000_001, 1_700_000_000_123_457, -2_208_988_800_000_001]
     df = spark.createDataFrame([(u,) for u in us], "us long")
     assert [r[0] for r in df.select(micros(from_micros(F.col("us")))).collect()] == us
+
+
+def scores(spark):
+    features = [f"{t}__lag_{lag:03d}min" for lag in (0, 5, 10, 15, 20) for t in "AB"]
+    model = Model(
+        features, [0.0] * 10, [1.0] * 10, [[10**-0.5] * 10, [10**-0.5, -(10**-0.5)] * 5], [1.0] * 10, [0.1] * 10, (0.5, 2.0), (0.5, 2.0), 100,
+    )
+    made = [((F.col("id") * (j + 3) * 7) % 11 / 4.0 - 1.0).alias(f) for j, f in enumerate(features)]
+    rows = spark.range(120).select(F.lit("s").alias("series_id"), from_micros(F.col("id") * STEP).alias("ts"), *made)
+    return score(rows, model), model
+
+
+def test_scores_are_computed_once(spark):
+    scored, model = scores(spark)
+    centers = [[-1.0, 0.0], [1.0, 0.0]]
+    points = clustering.assign(scored, ["pc1", "pc2"], centers)
+    config = ExplorationConfig(minimum_candidate_duration_minutes=5)
+    for found in (
+        contributions.event_contributions(scored, model, STEP),
+        clustering.cluster_candidates(points, ["pc1", "pc2"], centers, config, STEP),
+        downsample_scores(scored, limit=20),
+        downsample_states(points, STEP, limit=20),
+    ):
+        assert "Range (" not in optimised(found) and found.count() > 0
+
+
+def test_neighbours_of_chart_rows_read_the_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    scored, _ = scores(spark)
+    for thin in (lambda rows: downsample_scores(rows, limit=20), lambda rows: downsample_states(rows.withColumn("cluster_id", F.lit("c")), STEP, limit=20)):
+        before = seen.value
+        thin(scored.mapInPandas(count, scored.schema)).count()
+        assert seen.value - before == 120
+
+
+def test_label_crosstab_reads_shipments_once(spark):
+    assert "Relation" not in optimised(label_crosstab(spark, "/root/testdata/sf0.001"))
+
+
+def test_segments_are_prepared_once(spark):
+    config = PreprocessingConfig(5, 0, 5, 5)
+    assert "Range (" not in optimised(preprocess(points(spark), ["A"], config, shard_minutes=50, segment_ids=True))
+    window = {"id": "w", "start": "1970-01-01", "end": "1970-01-02", "source": "manual", "source_ref": None, "enabled": True, "comment": ""}
+    found = training.segment_summary(training.build_training_set(points(spark), [window], ["A"], config, shard_minutes=50))
+    assert optimised(found).count("Aggregate") == 2  # the summary of the shards, the account
+    rows = found.collect()
+    assert [(r["source_row_count"], r["start"].minute, r["end"].hour) for r in rows] == [(40, 0, 3)]
+
+
+def test_grid_check_reads_the_times_it_is_given(spark):
+    config = PreprocessingConfig(5, 0, 0, 5)
+    twice = points(spark).unionByName(points(spark)).where("minute(ts) < 10 OR hour(ts) > 2")
+    grouped = lambda rows: rows.groupBy("series_id", "ts").agg(F.avg("A").alias("A"))
+    plain = preprocess(grouped(twice), ["A"], config, shard_minutes=20)
+    given = preprocess(grouped(twice), ["A"], config, shard_minutes=20, times=twice)
+    assert given.exceptAll(plain).count() == 0 and given.count() == plain.count() > 0
+    check = lambda rows: optimised(rows).split("scalar-subquery")[0].count("Aggregate")
+    assert check(given) <= check(plain)
+    late = twice.withColumn("ts", F.when(F.hour("ts") > 2, F.col("ts") + F.expr("INTERVAL 1 MINUTE")).otherwise(F.col("ts")))
+    with pytest.raises(Exception, match="sampling grid"):
+        preprocess(grouped(late), ["A"], config, shard_minutes=20, times=late).collect()
+
+
+def test_tag_shares_by_hand(spark):
+    features = [f"{t}__lag_{lag:03d}min" for lag in (0, 5, 10, 15, 20) for t in "AB"]
+    cases = [[1.0, 0.0, 4.0, 3.0, 9.0, 3.0, 4.5, 1.0, 4.0, 3.0], [0.0] * 10, [5.0, 2.0, 1.0, 2.0, 5.0, 2.0, 2.5, 2.0, 9.0, 2.0]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, m array<double>")
+    shares = contributions.tag_shares(F.col("m"), features)
+    got = {r["i"]: [tuple(t) for t in r["tags"]] for r in df.select("i", shares.alias("tags")).collect()}
+    for i, case in enumerate(cases):
+        want = []
+        for t, tag in enumerate("AB"):
+            v = case[t::2]
+            at, half = v.index(max(v)), max(v) * 0.5
+            first, last = at, at
+            while first > 0 and v[first - 1] >= half:
+                first -= 1
+            while last < 4 and v[last + 1] >= half:
+                last += 1
+            want.append((tag, "", "", sum(v) / sum(case) * 100.0 if sum(case) else 0.0, first * 5, last * 5))
+        want.sort(key=lambda w: (-w[3], w[0]))
+        assert [(*g[:3], round(g[3], 9), *g[4:]) for g in got[i]] == [(*w[:3], round(w[3], 9), *w[4:]) for w in want]
+    assert str(df.select(shares)._jdf.queryExecution().analyzed()).count("array_position") <= 2
