@@ -22,6 +22,7 @@ from procmon.catalog.views import (
 from procmon.config import MINUTE
 from procmon.operators import clustering, performance
 from procmon.operators.downsample import (
+    SCORE_STATUSES,
     downsample_scores,
     downsample_states,
     downsample_trend,
@@ -372,7 +373,8 @@ def trend_downsample(spark, sf):
 @query("score_downsample")
 def score_downsample(spark, sf):
     """At most 40 scores per supplier; checked by brute force in the tests."""
-    thin = downsample_scores(scored(spark, sf), limit=40)
+    scores = scored(spark, sf).select("series_id", "ts", "t2", "spe", "t2_limit_ratio", "spe_limit_ratio", *SCORE_STATUSES)
+    thin = downsample_scores(scores, limit=40)
     return thin.select("series_id", text_time(F.col("ts")).alias("ts"), "t2", "spe", "status")
 
 

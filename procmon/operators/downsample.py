@@ -14,17 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procmon.config import MINUTE
-from procmon.functions.columns import STATUSES, col, is_finite, micros
+from procmon.functions.columns import STATUSES, col, is_finite, micros, present
 from procmon.operators.shards import (
+    SHARD,
     annotate,
     default_width,
     number_rows,
+    shard_rows,
+    shard_window,
     with_previous,
 )
 from procmon.session import ensure_checkpoint_dir
 
 CHART_POINTS = 1200
 
+SCORE_STATUSES = ("status", "t2_status", "spe_status")
+
 
 def _with_totals(rows: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Attach per-series aggregates; one row per series."""
@@ -58,14 +63,19 @@ def _spread(rows: DataFrame, keys, width: int, room: str, rounded: bool) -> Data
             | ((rank == m - 1) & (room_col > 1))
         )
         hit = F.when(room_col <= 1, rank == 0).otherwise(hit)
+        keep = F.when(room_col <= 0, F.lit(False)).when(m <= room_col, F.lit(True)).otherwise(hit)
     else:
-        # Some i has floor(i * m / room) = rank.
-        first = F.ceil(rank * room_col / m)
-        hit = F.floor(first * m / room_col) == rank
-    keep = F.when(room_col <= 0, F.lit(False)).when(m <= room_col, F.lit(True)).otherwise(hit)
+        keep = _by_steps(rank, m, room_col)
     return placed.where(keep).drop("_rank", "_m")
 
 
+def _by_steps(rank: Column, m: Column, room: Column) -> Column:
+    """Whether the row of this rank among `m` is one of `room` rows at whole-number steps from the first."""
+    # Some i has floor(i * m / room) = rank.
+    hit = F.floor(F.ceil(rank * room / m) * m / room) == rank
+    return F.when(room <= 0, F.lit(False)).when(m <= room, F.lit(True)).otherwise(hit)
+
+
 def downsample_trend(
     rows: DataFrame,
     values: Sequence[str],
@@ -148,38 +158,19 @@ def downsample_scores(
     limit: int = CHART_POINTS,
     width: int | None = None,
 ) -> DataFrame:
-    """Ends, exceedances, maxima and status switches, else the worst of each time bucket."""
+    """Ends, exceedances, maxima and status switches, else the worst of each time bucket.
+
+    The rows are written once, with what a shard knows of them. All else comes from one row per shard, or per shard
+    and bucket, and meets the rows again on keys and shard, so a series is never in one task as a whole.
+    """
     if limit < 2:
         raise ValueError("a chart needs at least two points")
     width = width or default_width(5 * MINUTE)
     columns = scores.columns
     key_cols = [col(k) for k in keys]
-    statuses = ("status", "t2_status", "spe_status")
-    numbered = annotate(
-        _keep(scores.withColumn("_us", micros(col(ts)))), keys, "_us", width,
-        previous={f"_was_{s}": F.col(s) for s in statuses},
-        following={f"_then_{s}": F.col(s) for s in statuses},
-        position="_pos", total="_n",
-    )
-    rank = F.lit(-1)
-    for code, name in enumerate(STATUSES):
-        rank = F.when(F.col("status") == name, code).otherwise(rank)
-    switched = reduce(
-        lambda a, b: a | b,
-        [
-            F.coalesce(F.col(f"{side}{s}") != F.col(s), F.lit(False))
-            for s in statuses
-            for side in ("_was_", "_then_")
-        ],
-    )
-    numbered = _keep(numbered.withColumn("_sev", rank).withColumn("_side", switched))
-    first_of = lambda order: F.min_by("_pos", F.struct(*order, F.col("_pos")))
-    low = lambda name: -F.coalesce(F.col(name), F.lit(float("-inf")))
-    numbered = _with_totals(
-        numbered, keys,
-        _top_t2=first_of([low("t2")]), _top_spe=first_of([low("spe")]),
-        _t0=F.min("_us"), _t1=F.max("_us"),
-    )
+    rows = _keep(_score_rows(scores, ts, keys, width))
+    shards = _keep(_score_shards(rows, keys))
+    marked = rows.join(shards, [*keys, SHARD]).withColumn("_pos", F.col("_before") + F.col("_rn") - 1)
     ends = (F.col("_pos") == 0) | (F.col("_pos") == F.col("_n") - 1)
     critical = (
         ends
@@ -187,45 +178,128 @@ def downsample_scores(
         | (F.col("_pos") == F.col("_top_t2"))
         | (F.col("_pos") == F.col("_top_spe"))
         | F.col("_side")
+        | ((F.col("_rn") == 1) & F.col("_side_first"))
+        | ((F.col("_rn") == F.col("_count")) & F.col("_side_last"))
     )
-    numbered = _with_totals(numbered.withColumn("_critical", critical), keys, _kept=F.count_if("_critical"))
-    whole = F.col("_n") <= limit
-    crowded = F.col("_kept") > limit
+    marked = marked.withColumn("_critical", critical)
+    long_ones = marked.where(F.col("_n") > limit)
+    low = lambda value: -F.coalesce(value, F.lit(float("-inf")))
     worst_ratio = F.greatest(F.col("t2_limit_ratio"), F.col("spe_limit_ratio"))
+    every = Window.partitionBy(*key_cols)
+    here = lambda best: F.when(best.getField(SHARD) == F.col(SHARD), best.getField("_pos"))
+    at_ends = F.when(ends, F.col("_pos"))
     if limit < 5:
-        order = Window.partitionBy(*key_cols).orderBy(
-            ends.desc(), F.col("_sev").desc(), worst_ratio.desc(), F.col("_pos")
-        )
-        crowd = numbered.where(~whole & crowded).withColumn("_rank", F.row_number().over(order))
-        spots = crowd.where(F.col("_rank") <= limit).select(*key_cols, "_pos")
+        kept = long_ones.groupBy(*key_cols, SHARD).agg(F.count_if("_critical").alias("_picked"))
+        kept = kept.withColumn("_kept", F.sum("_picked").over(every))
+        order = every.orderBy(ends.desc(), F.col("_sev").desc(), worst_ratio.desc(), F.col("_pos"))
+        top = long_ones.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+        top = top.groupBy(*key_cols, SHARD).agg(F.collect_set("_pos").alias("_spots"))
+        picks = kept.join(top, [*keys, SHARD], "left")
     else:
         count = max(1, (limit - 2) // 3)
         share = (F.col("_us") - F.col("_t0")) * 1000.0 / ((F.col("_t1") - F.col("_t0")) * 1000.0 + 1.0)
         bucket = F.least(F.floor(share * count), F.lit(count - 1))
-        ratio = lambda name: -F.coalesce(F.col(name), F.lit(float("-inf")))
-        spots = (
-            numbered.where(~whole & crowded)
-            .groupBy(*key_cols, bucket.alias("_bucket"))
-            .agg(
-                F.array(
-                    first_of([-F.col("_sev"), -F.coalesce(worst_ratio, F.lit(float("-inf")))]),
-                    first_of([ratio("t2_limit_ratio")]),
-                    first_of([ratio("spe_limit_ratio")]),
-                ).alias("_spots")
-            )
-            .select(*key_cols, F.explode("_spots").alias("_pos"))
-            .distinct()
+        orders = {
+            "_worst": (-F.col("_sev"), low(worst_ratio)),
+            "_most_t2": (low(F.col("t2_limit_ratio")),),
+            "_most_spe": (low(F.col("spe_limit_ratio")),),
+        }
+        first_of = lambda order: F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.col("_pos"), col(SHARD)))
+        parts = long_ones.groupBy(*key_cols, SHARD, bucket.alias("_bucket")).agg(
+            F.count_if("_critical").alias("_picked"),
+            F.min(at_ends).alias("_end_0"),
+            F.max(at_ends).alias("_end_1"),
+            *[first_of(order).alias(name) for name, order in orders.items()],
+        )
+        same = Window.partitionBy(*key_cols, "_bucket")
+        parts = parts.select(
+            *key_cols, SHARD, "_picked", "_end_0", "_end_1",
+            F.sum("_picked").over(every).alias("_kept"),
+            *[F.min(name).over(same).alias(name) for name in orders],
+        )
+        found = F.array("_end_0", "_end_1", *[here(F.col(name)) for name in orders])
+        picks = parts.groupBy(*key_cols, SHARD).agg(
+            F.sum("_picked").alias("_picked"),
+            F.max("_kept").alias("_kept"),
+            F.array_distinct(F.array_compact(F.flatten(F.collect_list(found)))).alias("_spots"),
         )
-    marked = numbered.join(spots.withColumn("_spot", F.lit(True)), [*keys, "_pos"], "left")
-    spot = F.coalesce(F.col("_spot"), F.lit(False))
-    marked = marked.withColumn(
-        "_picked", F.when(whole, True).when(crowded, spot | ends).otherwise(F.col("_critical"))
+    # Of a crowded series only the spots are taken, of others all critical rows.
+    crowded = F.col("_kept") > limit
+    spots = F.coalesce(F.col("_spots"), F.array().cast("array<bigint>"))
+    taken = F.when(crowded, F.size(spots).cast("bigint")).otherwise(F.col("_picked"))
+    picks = picks.select(*key_cols, SHARD, taken.alias("_taken"), F.when(crowded, spots).alias("_spots"))
+    earlier = every.orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
+    picks = picks.select(
+        *key_cols, SHARD, "_spots",
+        F.coalesce(F.sum("_taken").over(earlier), F.lit(0)).alias("_taken_before"),
+        F.sum("_taken").over(every).alias("_all_taken"),
+    )
+    # Every shard of a longer series has its picks; a series without them is shown whole.
+    marked = marked.join(picks, [*keys, SHARD], "left")
+    spot = F.array_contains("_spots", F.col("_pos"))
+    picked = F.when(F.col("_n") <= limit, True).otherwise(F.coalesce(spot, F.col("_critical")))
+    marked = marked.withColumn("_picked", picked)
+    upto = shard_window(keys, "_us").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.col("_taken_before") + F.sum(F.col("_picked").cast("bigint")).over(upto)
+    marked = marked.withColumn("_rank", F.col("_pos") - taken)
+    room, m = F.lit(limit) - F.col("_all_taken"), F.col("_n") - F.col("_all_taken")
+    chosen = marked.where(F.col("_picked") | _by_steps(F.col("_rank"), m, room))
+    return chosen.select(*[col(c) for c in columns])
+
+
+def _score_rows(scores: DataFrame, ts: str, keys: Sequence[str], width: int) -> DataFrame:
+    """Rows with their shard, their number in it, their severity, and whether a status switches beside them inside the shard."""
+    rows = scores.withColumn("_us", micros(col(ts)))
+    rows = rows.select(*[present(rows, c).alias(c) if c in (*keys, "_us") else col(c) for c in rows.columns])
+    order = shard_window(keys, "_us")
+    rank = F.lit(-1)
+    for code, name in enumerate(STATUSES):
+        rank = F.when(F.col("status") == name, code).otherwise(rank)
+    sides = {f"_{name}_{s}": move(col(s)).over(order) for name, move in (("was", F.lag), ("then", F.lead)) for s in SCORE_STATUSES}
+    local = shard_rows(rows, "_us", width).select(
+        *[col(c) for c in rows.columns], SHARD, F.row_number().over(order).alias("_rn"), *[v.alias(n) for n, v in sides.items()]
+    )
+    switched = reduce(
+        lambda a, b: a | b,
+        [F.coalesce(F.col(f"_{name}_{s}") != col(s), F.lit(False)) for name in ("was", "then") for s in SCORE_STATUSES],
+    )
+    return local.withColumn("_sev", rank).withColumn("_side", switched).drop(*sides)
+
+
+def _score_shards(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per shard: rows in it and before it, switches at its ends, and facts of the whole series."""
+    key_cols = [col(k) for k in keys]
+    pack = F.struct(*SCORE_STATUSES)
+    best = lambda name: F.min(F.struct((-F.coalesce(F.col(name), F.lit(float("-inf")))).alias("_v"), "_rn"))
+    shards = rows.groupBy(*key_cols, SHARD).agg(
+        F.count(F.lit(1)).alias("_count"),
+        F.min("_us").alias("_t0"),
+        F.max("_us").alias("_t1"),
+        F.min_by(pack, "_rn").alias("_head"),
+        F.max_by(pack, "_rn").alias("_tail"),
+        best("t2").alias("_best_t2"),
+        best("spe").alias("_best_spe"),
+    )
+    every = Window.partitionBy(*key_cols)
+    along = every.orderBy(SHARD)
+    shards = shards.select(
+        "*",
+        F.coalesce(F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_tail").over(along).alias("_was"),
+        F.lead("_head").over(along).alias("_then"),
+    )
+    differ = lambda a, b: reduce(lambda x, y: x | y, [F.coalesce(F.col(a)[s] != F.col(b)[s], F.lit(False)) for s in SCORE_STATUSES])
+    top = lambda best: F.min(F.struct(F.col(best)["_v"], (F.col("_before") + F.col(best)["_rn"] - 1).alias("_pos"))).over(every)["_pos"]
+    return shards.select(
+        *key_cols, SHARD, "_count", "_before",
+        differ("_was", "_head").alias("_side_first"),
+        differ("_then", "_tail").alias("_side_last"),
+        F.sum("_count").over(every).alias("_n"),
+        F.min("_t0").over(every).alias("_t0"),
+        F.max("_t1").over(every).alias("_t1"),
+        top("_best_t2").alias("_top_t2"),
+        top("_best_spe").alias("_top_spe"),
     )
-    marked = _with_totals(marked, keys, _taken=F.count_if("_picked"))
-    rest = marked.where(~F.col("_picked")).withColumn("_room", F.lit(limit) - F.col("_taken"))
-    filled = _spread(rest, keys, width, "_room", rounded=False)
-    pick = lambda frame: frame.select(*[col(c) for c in columns])
-    return pick(marked.where("_picked")).unionByName(pick(filled))
 
 
 def mark_breaks(

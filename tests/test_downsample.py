@@ -1,5 +1,7 @@
 """Chart sampling against a direct computation on small series."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 
@@ -135,3 +137,27 @@ def test_states(spark, limit):
     assert got == sorted(chosen)
     marks = {r["ts"]: r["break_before"] for r in mark_breaks(df, STEP, segment="seg", width=7 * STEP).collect()}
     assert sum(marks.values()) == 3
+
+
+@pytest.mark.parametrize("lo,hi,limit", [(7.0, 8.0, 40), (2.0, 4.0, 40), (2.0, 4.0, 4), (9.0, 9.5, 5), (2.0, 4.0, 400)])
+def test_scores_over_shards(spark, lo, hi, limit):
+    """Shards of one row, of few and of many rows, with gaps, choose the same rows of every series."""
+    rng = np.random.default_rng(7)
+    name = lambda v: "not_scored" if v is None else "abnormal" if v >= hi else "attention" if v >= lo else "normal"
+    frames = []
+    for s, n in (("a", N), ("b", 3 * N), ("c", 1), ("d", 41)):
+        times = np.cumsum(5 * (1 + 40 * (rng.random(n) < 0.1))).tolist()
+        t2, spe = ([None if v < 0.2 else float(v) for v in np.round(rng.gamma(2, 1, n), 1)] for _ in range(2))
+        ratio = lambda values: [None if v is None else v / lo for v in values]
+        frames.append(
+            series(
+                spark, times, s, t2=t2, spe=spe, t2_limit_ratio=ratio(t2), spe_limit_ratio=ratio(spe), t2_status=[name(v) for v in t2],
+                spe_status=[name(v) for v in spe], status=[name(None if None in p else max(p)) for p in zip(t2, spe)],
+            )
+        )
+    df = reduce(lambda a, b: a.unionByName(b), frames)
+    chosen = lambda width: sorted((r["series_id"], r["ts"]) for r in downsample_scores(df, limit=limit, width=width).collect())
+    whole = chosen(None)
+    assert {s: sum(k[0] == s for k in whole) for s in "abcd"} == {"a": min(limit, N), "b": min(limit, 3 * N), "c": 1, "d": min(limit, 41)}
+    for width in (STEP, 13 * STEP, 100 * STEP):
+        assert chosen(width) == whole

@@ -100,6 +100,13 @@ def test_neighbours_of_chart_rows_read_the_scores_once(spark):
         assert seen.value - before == 120
 
 
+def test_chart_rows_meet_their_picks_in_one_pass(spark):
+    scored, _ = scores(spark)
+    plan = optimised(downsample_scores(scored, limit=20))
+    assert plan.count("LogicalRDD") <= 4  # the rows and one row per shard, for the picks and for the result
+    assert plan.count("Join") <= 3 and "Union" not in plan
+
+
 def test_label_crosstab_reads_shipments_once(spark):
     assert "Relation" not in optimised(label_crosstab(spark, "/root/testdata/sf0.001"))
 
