@@ -64,7 +64,7 @@ TIME = t("make_timestamp(us)")
 
 
 def scored(spark, sf):
-    rows = prepared(spark, sf).where("row_class = 'valid'")
+    rows = prepared(spark, sf, valid_only=True)
     return score(rows.select("series_id", "ts", *[F.col(f) for f in FEATURES]), MODEL)
 
 

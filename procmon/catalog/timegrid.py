@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from procmon.catalog.registry import number, query, r, rounded, t, text_time, with_ctes
-from procmon.catalog.views import DAILY_SQL, DAY, SUPPLY_SQL, daily, supply, supply_times
+from procmon.catalog.views import DAILY_SQL, DAY, SUPPLY_SQL, daily, supply, supply_number_times, supply_numbers
 from procmon.config import MINUTE, PreprocessingConfig
 from procmon.functions.columns import feature_name
 from procmon.operators.losses import engineering_losses, loss_ratios, loss_summary
@@ -34,9 +34,10 @@ BASE = PreprocessingConfig(
 def prepared(spark, sf, config=BASE, **more):
     options = dict(
         engineering_ranges=RANGES, exclude_engineering_range=True, source_interval_minutes=DAY, shard_minutes=SHARD,
-        times=supply_times(spark, sf),
+        times=supply_number_times(spark, sf),
     )
-    return preprocess(supply(spark, sf), TAGS, config, **{**options, **more})
+    rows = preprocess(supply_numbers(spark, sf), TAGS, config, **{**options, **more})
+    return rows.withColumn("series_id", F.col("series_id").cast("string"))
 
 
 def grid_ctes(method: str = "mean") -> dict[str, str]:

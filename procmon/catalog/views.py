@@ -21,12 +21,12 @@ def _whole(value: Column) -> Column:
     return F.when(value - whole >= 0.5, whole + 1).when(value - whole <= -0.5, whole - 1).otherwise(whole)
 
 
-def _daily(spark, sf_dir, series) -> DataFrame:
-    """Nearly every group of a supplier is one row, so keys and days are grouped as numbers and named afterwards."""
+def _days(spark, sf_dir, series) -> DataFrame:
+    """Nearly every group of a supplier is one row, so keys and days are grouped as numbers."""
     cents = lambda c: F.sum(_whole(F.col(c) * 100)).cast("double") / F.lit(100.0)
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(series.alias("_series"), F.col("l_shipdate").cast("date").alias("_day"))
+        .groupBy(series.alias("series_id"), F.col("l_shipdate").cast("date").alias("ts"))
         .agg(
             (F.sum("l_quantity") / F.count(F.lit(1))).alias("qty"),
             (cents("l_extendedprice") / F.count(F.lit(1))).alias("price"),
@@ -34,10 +34,14 @@ def _daily(spark, sf_dir, series) -> DataFrame:
             (cents("l_tax") / F.count(F.lit(1))).alias("tax"),
             F.count(F.lit(1)).alias("lines"),
         )
-        .select(
-            F.col("_series").cast("string").alias("series_id"), F.col("_day").cast("timestamp_ntz").alias("ts"),
-            "qty", "price", "disc", "tax", "lines",
-        )
+    )
+
+
+def _daily(spark, sf_dir, series) -> DataFrame:
+    """The groups of `_days`, named afterwards."""
+    return _days(spark, sf_dir, series).select(
+        F.col("series_id").cast("string").alias("series_id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "qty", "price", "disc", "tax", "lines",
     )
 
 
@@ -53,6 +57,16 @@ def supply_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supply_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`supply` with suppliers as numbers and days as dates, which cost less to compare and to count."""
+    return _days(spark, sf_dir, F.col("l_suppkey"))
+
+
+def supply_number_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`supply_times` of `supply_numbers`."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series_id"), F.col("l_shipdate").cast("date").alias("ts"))
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments per return flag and day: few dense series."""
     return _daily(spark, sf_dir, F.col("l_returnflag"))

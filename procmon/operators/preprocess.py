@@ -14,9 +14,11 @@ from math import ceil, exp, floor, log1p
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from procmon.config import MINUTE, PreprocessingConfig
 from procmon.functions.columns import (
+    DAY_US,
     all_finite,
     bucket_label,
     col,
@@ -104,6 +106,7 @@ def preprocess(
     segment_ids: bool = False,
     intermediates: bool = False,
     times: DataFrame | None = None,
+    valid_only: bool = False,
 ) -> DataFrame:
     """Classify every row and attach its lagged features.
 
@@ -115,6 +118,8 @@ def preprocess(
     The step from one shard into the next is checked on keys and times read apart. Where `readings` come out of a
     grouping, `times` names rows with the same keys and times before it, repeated ones included.
 
+    With `valid_only` the result is the valid rows; the others leave as soon as what they mean for these is known.
+
     Result: keys, `ts`, `row_class`, `bucket_rows`, `bucket_first`, `bucket_last` (raw
     rows behind the row and their times), `raw_segment_start`, `segment_start`,
     tag values on the target grid, one column per feature; with `intermediates` also
@@ -140,7 +145,7 @@ def preprocess(
 
     numeric = readings.select(
         *[present(readings, k).alias(k) for k in keys],
-        micros(present(readings, ts)).alias("us"),
+        _us(readings, ts).alias("us"),
         *[to_number(readings, n).alias(x) for n, x in zip(names, lay.xs)],
         *([micros(col(bounds[0])).alias("lo"), micros(col(bounds[1])).alias("hi")] if bounds else []),
     )
@@ -153,14 +158,18 @@ def preprocess(
 
     if times is not None:
         require_columns(times, [*keys, ts])
-        seen = times.select(*[present(times, k).alias(k) for k in keys], micros(present(times, ts)).alias("us"))
+        seen = times.select(*[present(times, k).alias(k) for k in keys], _us(times, ts).alias("us"))
         seen = seen.withColumn("label", label)
     else:
         seen = numeric.select(*keys, "us", label.alias("label"))
     times = shard_rows(seen, "label", width)
+    # Rows of one bucket are less than an interval apart: where that is no gap, a bucket has no part in two segments.
+    whole = config.resamples and config.interval_us <= raw_gap_us
     rows = _raw_segments(sharded, times, lay, config, raw_gap_us, source_interval_minutes)
+    if not whole:
+        rows = _number_raw(rows, lay)
     if config.resamples:
-        rows = _resample(rows, lay, config, list(ranges), bounds)
+        rows = _resample(rows, lay, config, list(ranges), bounds, whole)
     else:
         rows = rows.select(
             "*",
@@ -172,11 +181,12 @@ def preprocess(
 
     if semantics == "schema5":
         rows = _classify_inputs(rows, lay, config, list(ranges), exclude_engineering_range)
-        rows = _segments_of_kept(rows, lay, config, exclude_engineering_range and bool(ranges))
+        early = valid_only and not segment_ids  # segments are numbered over all rows
+        rows = _segments_of_kept(rows, lay, config, exclude_engineering_range and bool(ranges), whole, early)
         rows = _filter_rows(rows, lay, config, "rin", "kept", width)
         rows = _lag_rows(rows, lay, config)
     else:
-        rows = _legacy(rows, lay, config)
+        rows = _legacy(_number_raw(rows, lay) if whole else rows, lay, config)
 
     result = rows.where(F.col(OWN))
     if segment_ids:
@@ -187,7 +197,8 @@ def preprocess(
             *(lay.ys if intermediates else ()),
         }
         result = _number_segments(result, lay, needed)
-    return _project(result, lay, config, intermediates, segment_ids)
+    result = _project(result, lay, config, intermediates, segment_ids)
+    return result.where(F.col("row_class") == "valid") if valid_only else result
 
 
 def dynamic_matrix(preprocessed: DataFrame, tags: Sequence[str], config: PreprocessingConfig,
@@ -221,6 +232,13 @@ def build_dynamic_matrix(
     return dynamic_matrix(rows, tags, plain, keys)
 
 
+def _us(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a time that must be there; a date is its midnight and needs no calendar."""
+    if isinstance(df.schema[ts].dataType, T.DateType):
+        return F.unix_date(present(df, ts)).cast("long") * DAY_US
+    return micros(present(df, ts))
+
+
 def raw_threshold_us(config: PreprocessingConfig, source_interval_minutes: float | None) -> int:
     """Longest raw step that does not start a new physical segment."""
     if not config.resamples:
@@ -235,7 +253,7 @@ def _fail(message: str, kind: str = "double") -> Column:
 
 
 def _raw_segments(rows, times, lay, config, raw_gap_us, source_interval_minutes) -> DataFrame:
-    """Mark rows that follow a physical gap and number the segments inside the shard."""
+    """Mark rows that follow a physical gap."""
     window = shard_window(lay.keys, "us")
     step_us = (
         int((source_interval_minutes or config.sample_interval_minutes) * MINUTE)
@@ -250,11 +268,17 @@ def _raw_segments(rows, times, lay, config, raw_gap_us, source_interval_minutes)
     rows = rows.withColumn("step", F.col("us") - F.lag("us").over(window))
     rows = rows.where(refused(F.col("step")))
     rows = rows.where(_boundary_steps(times, lay, refused).scalar())
-    rows = rows.withColumn("gap", F.col("step").isNull() | (F.col("step") > raw_gap_us))
-    return rows.withColumn(
-        "seg",
-        F.sum(F.col("gap").cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-    ).drop("step")
+    return rows.withColumn("gap", F.col("step").isNull() | (F.col("step") > raw_gap_us)).drop("step")
+
+
+def _raw_number(lay) -> Column:
+    """The number of a physical segment inside the shard, from 1."""
+    upto = shard_window(lay.keys, "us").rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(F.col("gap").cast("int")).over(upto)
+
+
+def _number_raw(rows, lay) -> DataFrame:
+    return rows.withColumn("seg", _raw_number(lay))
 
 
 def _boundary_steps(times, lay, refused) -> DataFrame:
@@ -270,11 +294,13 @@ def _boundary_steps(times, lay, refused) -> DataFrame:
     return ends.select(refused(since).alias("fine")).agg(F.coalesce(F.bool_and("fine"), F.lit(True)))
 
 
-def _resample(rows, lay, config, ranged, bounds) -> DataFrame:
+def _resample(rows, lay, config, ranged, bounds, whole) -> DataFrame:
     """Right-closed, right-labelled buckets per segment, empty ones included.
 
     The group-by reuses the (keys, shard) partitioning. Empty buckets are produced by the
-    bucket that follows them and so belong to that bucket's shard.
+    bucket that follows them and so belong to that bucket's shard. Where buckets are `whole`, in one
+    segment by their length, a bucket follows a gap if one of its rows does; otherwise raw rows bring the numbers
+    of their segments.
     """
     method = config.resampling_method
     reduced = {
@@ -289,8 +315,7 @@ def _resample(rows, lay, config, ranged, bounds) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
-        F.min("seg").alias("seg"),
-        F.max("seg").alias("seg_last"),
+        *([F.max("gap").alias("gap")] if whole else [F.min("seg").alias("seg"), F.max("seg").alias("seg_last")]),
         *[reduced(F.col(x)).alias(x) for x in lay.xs],
         *[F.max(e).alias(e) for e in flags],
         *[F.first(c).alias(c) for c in carried],
@@ -298,31 +323,21 @@ def _resample(rows, lay, config, ranged, bounds) -> DataFrame:
     )
     window = shard_window(lay.keys, "label")
     width = F.lit(config.interval_us)
-    joined = (F.lag("seg").over(window) == F.col("seg")) & (
-        F.lag("label").over(window) < F.col("label") - width
-    )
-    buckets = (
-        buckets.withColumn(
-            "seg",
-            F.when(
-                F.col("seg") != F.col("seg_last"),
-                _fail("two segments share one resampling bucket", "bigint"),
-            ).otherwise(F.col("seg")),
-        )
-        .withColumn("gap", F.coalesce(F.lag("seg").over(window) != F.col("seg"), F.lit(True)))
-        .withColumn(
-            "first_label",
-            F.when(joined, F.lag("label").over(window) + width).otherwise(F.col("label")),
-        )
-        .withColumn("us", F.explode(F.sequence("first_label", "label", width)))
-    )
+    if not whole:
+        mixed = _fail("two segments share one resampling bucket", "bigint")
+        buckets = buckets.withColumn("seg", F.when(F.col("seg") != F.col("seg_last"), mixed).otherwise(F.col("seg")))
+        buckets = buckets.withColumn("gap", F.coalesce(F.lag("seg").over(window) != F.col("seg"), F.lit(True)))
+    before = F.lag("label").over(window)
+    joined = ~F.col("gap") & (before < F.col("label") - width)
+    buckets = buckets.withColumn("first_label", F.when(joined, before + width).otherwise(F.col("label")))
+    buckets = buckets.withColumn("us", F.explode(F.sequence("first_label", "label", width)))
     real = F.col("us") == F.col("label")
     filled = buckets.select(
         *[col(k) for k in lay.keys],
         SHARD,
         OWN,
         "us",
-        "seg",
+        *([] if whole else ["seg"]),
         (real & F.col("gap")).alias("gap"),
         F.when(real, F.col("n")).otherwise(F.lit(0)).alias("n"),
         F.when(real, F.col("first_us")).alias("first_us"),
@@ -379,23 +394,25 @@ def _classify_inputs(rows, lay, config, ranged, exclude) -> DataFrame:
     return rows.withColumn("kept", F.col("cls").isNull())
 
 
-def _segments_of_kept(rows, lay, config, excluding) -> DataFrame:
+def _segments_of_kept(rows, lay, config, excluding, unnumbered, kept_only) -> DataFrame:
     """Number the kept rows inside their final segments (`rin`, from 1).
 
     A kept row starts a segment when a physical gap or an excluded out-of-range row lies
     between it and the kept row before, when the step is too long, or when a state filter
     skipped a usable row. All of these are differences of running counts, so a shard
-    with its halo decides them exactly.
+    with its halo decides them exactly. Physical segments are numbered here where rows
+    come `unnumbered`; with `kept_only` the other rows, counted by then, leave.
     """
     over_all = shard_window(lay.keys, "us").rowsBetween(Window.unboundedPreceding, 0)
     usable = F.col("kept") | (F.col("cls") == "state_filtered")
-    counts = {}
+    counts = {"seg": _raw_number(lay)} if unnumbered else {}
     if excluding:
         counts["forced"] = F.count_if(F.col("cls") == "engineering_range").over(over_all)
     if config.state_filters:
         counts["usable"] = F.count_if(usable).over(over_all)
-    for name, value in counts.items():
-        rows = rows.withColumn(name, value)
+    rows = rows.select("*", *[value.alias(name) for name, value in counts.items()])
+    if kept_only:
+        rows = rows.where("kept").withColumn("kept", F.lit(True))
     window = shard_window(lay.keys, "us", "kept")
     starts = (
         F.lag("us").over(window).isNull()
@@ -408,7 +425,7 @@ def _segments_of_kept(rows, lay, config, excluding) -> DataFrame:
         starts = starts | (F.col("usable") - F.lag("usable").over(window) > 1)
     return _row_in_segment(
         rows.withColumn("starts", F.col("kept") & starts), window, "starts", "rin"
-    ).drop(*counts)
+    ).drop("forced", "usable")
 
 
 def _row_in_segment(rows, window, starts, name) -> DataFrame:

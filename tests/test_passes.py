@@ -155,3 +155,48 @@ def test_tag_shares_by_hand(spark):
         want.sort(key=lambda w: (-w[3], w[0]))
         assert [(*g[:3], round(g[3], 9), *g[4:]) for g in got[i]] == [(*w[:3], round(w[3], 9), *w[4:]) for w in want]
     assert str(df.select(shares)._jdf.queryExecution().analyzed()).count("array_position") <= 2
+
+
+def uneven(spark, n=900):
+    """Two series on a five-minute grid with gaps, values that are missing or out of range, and a state."""
+    kept = spark.range(n).where("(id * 7919) % 23 > 1 AND id % 200 < 150").withColumn("s", F.explode(F.array(F.lit(7), F.lit(12))))
+    at = F.col("id") * STEP + (F.col("s") % 2) * 3 * 86_400_000_000
+    value = lambda k, m: ((F.col("id") * k + F.col("s")) % m).cast("double")
+    return kept.select(
+        F.col("s").cast("long").alias("series_id"), from_micros(at).alias("ts"),
+        F.when(F.col("id") % 31 > 0, value(13, 17)).alias("A"), value(29, 41).alias("B"), value(5, 11).alias("C"),
+    )
+
+
+@pytest.mark.parametrize("method,interval,smooth", [("none", 5, "trailing_mean"), ("mean", 15, "trailing_mean"), ("last", 15, "first_order"), ("mean", 15, "trailing_median")])
+def test_valid_rows_alone_are_the_valid_rows_of_all(spark, method, interval, smooth):
+    config = PreprocessingConfig(
+        interval, 2 * interval, 2 * interval, interval, resampling_method=method, filter_method=smooth, gap_threshold_minutes=30,
+        first_order_alpha=0.5 if smooth == "first_order" else None, state_filters=({"column": "C", "maximum": 8.0},),
+    )
+    made = lambda **more: preprocess(
+        uneven(spark), ["A", "B"], config, engineering_ranges={"B": (1.0, 39.0)}, exclude_engineering_range=True, source_interval_minutes=5,
+        shard_minutes=600, **more,
+    )
+    every = made().where("row_class = 'valid'")
+    assert every.count() > 20
+    alone = made(valid_only=True)
+    assert alone.columns == every.columns
+    assert alone.exceptAll(every).count() == 0 and every.exceptAll(alone).count() == 0
+
+
+def test_valid_rows_are_sorted_no_third_time(spark):
+    config = PreprocessingConfig(15, 30, 30, 15, resampling_method="mean", filter_method="trailing_mean", gap_threshold_minutes=30)
+    rows = preprocess(uneven(spark), ["A", "B"], config, source_interval_minutes=5, shard_minutes=600, valid_only=True).select("series_id", "A__lag_030min")
+    specs = optimised(rows).split("windowspecdefinition(")[1:]
+    assert specs and not any("kept" in spec.split(" ASC")[0] for spec in specs)
+
+
+def test_dates_are_midnights(spark):
+    days = spark.range(60).where("id % 25 < 20").select(F.lit(3).alias("series_id"), F.expr("date_add(date'1969-12-10', cast(id AS int))").alias("ts"), F.col("id").cast("double").alias("A"))
+    config = PreprocessingConfig(2 * 1440, 0, 0, 2 * 1440, resampling_method="mean", gap_threshold_minutes=3 * 1440)
+    made = lambda rows: preprocess(rows, ["A"], config, source_interval_minutes=1440, shard_minutes=10 * 1440, times=rows)
+    plain = made(days.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    assert made(days).exceptAll(plain).count() == 0 and made(days).count() == plain.count() > 20
+    with pytest.raises(Exception, match="ts must not be null"):
+        made(days.withColumn("ts", F.when(F.col("A") > 3, F.col("ts")))).collect()
